@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, splitting
+from . import encoding, language, splitting, subjects
+from .common import sample_rows
 
 
 def _texts(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str, str]]:
@@ -56,12 +58,82 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_restored(spark, d).select("source_table", "row_id", "field_name")
 
 
+# --- 6 ---
+
+LANGUAGE_SAMPLE = 1500  # labelled rows of each table to fit the classifiers on
+
+
+def _labelled_texts(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("source_table"), F.col("doc_id").alias("row_id"), "text", "lang")
+    chunks = table(spark, d, "chunks").where("metadata.chunk_type = 'prose'").select(F.lit("chunks").alias("source_table"), F.col("id").alias("row_id"), F.col("content").alias("text"), "lang")
+    return docs.unionByName(chunks).withColumn("label", language.normal_label(F.col("lang")))
+
+
+def language_model(spark: SparkSession, d: str) -> language.CodeModel:
+    rows = _labelled_texts(spark, d).where(F.col("label").isin(*language.LABELS) & F.col("text").isNotNull())
+    parts = [sample_rows(rows.where(F.col("source_table") == t).select("row_id", "text", F.col("label").alias("lang")), F.col("row_id"), LANGUAGE_SAMPLE) for t in ("documents", "chunks")]
+    return language.fit_languages(pd.concat(parts, ignore_index=True))
+
+
+def p6_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of one language of all documents and prose chunks."""
+    return language.label_languages(_labelled_texts(spark, d), ["source_table", "row_id", "label"], "text", language_model(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of the rows whose label is missing or wrong, and of those in several languages."""
+    by_row = p6_segments(spark, d).where("counts").groupBy("source_table", "row_id", "label").agg(F.array_sort(F.collect_set("segment_lang")).alias("langs"))
+    odd = F.col("label").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.col("label"))
+    return by_row.where(odd).select("source_table", "row_id", F.explode("langs").alias("lang"))
+
+
+# --- 10 ---
+
+SUBJECT_SAMPLE = 6000  # passages with weak labels to fit on
+KNOWN_SAMPLE = 3000  # documents with known subjects to calibrate on
+
+
+def subject_model(spark: SparkSession, d: str) -> subjects.SubjectModel:
+    names = [r.subject for r in table(spark, d, "subject_areas").select("subject").where("subject IS NOT NULL").distinct().collect()]  # a fixed list of ten
+    topic, address = F.lower(F.trim(F.col("metadata.topic"))), F.lower(F.col("metadata.filename"))
+    chunks = table(spark, d, "chunks").where("metadata.chunk_type = 'prose' AND content IS NOT NULL").where(topic.isin(*names)).select(F.col("id"), F.col("content").alias("text"), topic.alias("topic"), F.lit(None).cast("string").alias("address"))
+    docs = table(spark, d, "parsed_docs").where("text IS NOT NULL").where(topic.isin(*names) | F.col("metadata.topic").isNull()).select(F.col("parsed_id").alias("id"), "text", topic.alias("topic"), address.alias("address"))
+    weak = pd.concat([sample_rows(chunks, F.col("id"), SUBJECT_SAMPLE * 3 // 4), sample_rows(docs, F.col("id"), SUBJECT_SAMPLE // 4)], ignore_index=True)
+    weak["subject"] = [subjects.weak_label(t, a, names) for t, a in zip(weak["topic"], weak["address"])]
+    labels = table(spark, d, "subject_labels").where("doc_id IS NOT NULL AND subject IS NOT NULL").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
+    picked = labels.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(KNOWN_SAMPLE)
+    known = table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(picked), "doc_id").toPandas()  # at most KNOWN_SAMPLE rows
+    return subjects.fit_subjects(weak[weak["subject"].notna()], known, names)
+
+
+def p10_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects of all documents with their shares."""
+    return subjects.label_subjects(table(spark, d, "documents"), ["doc_id"], "text", subject_model(spark, d))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    labelled = table(spark, d, "subject_labels").select("doc_id").where("doc_id IS NOT NULL").distinct()
+    return p10_subjects(spark, d).join(labelled, "doc_id", "left_anti").select("doc_id", "subject")
+
+
+def p10_makeup(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, characters and share of the corpus by subject; texts on none count as '(none)'."""
+    docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
+    got = docs.join(p10_subjects(spark, d), "doc_id", "left").groupBy(F.coalesce("subject", F.lit("(none)")).alias("subject"))
+    return got.agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_characters"), F.round(F.avg("share"), 6).alias("avg_share"))
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found,
         "p1_pieces": p1_pieces,
         "p2_found": p2_found,
         "p2_restored": p2_restored,
+        "p6_found": p6_found,
+        "p6_segments": p6_segments,
+        "p10_found": p10_found,
+        "p10_subjects": p10_subjects,
+        "p10_makeup": p10_makeup,
     }
 
 

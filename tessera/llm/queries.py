@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, language, splitting, subjects
+from . import encoding, entities, language, splitting, subjects
 from .common import sample_rows
 
 
@@ -58,6 +58,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_restored(spark, d).select("source_table", "row_id", "field_name")
 
 
+# --- 4 ---
+
+
+def p4_mapped(spark: SparkSession, d: str) -> DataFrame:
+    """The meant entry (0: none) of every name and type of graph_nodes."""
+    return entities.map_nodes(table(spark, d, "graph_nodes"), table(spark, d, "canonical_entities"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_mapped(spark, d).where("NOT literal").select("node_id", "field_name", "ref_id")
+
+
+def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Values that the list has no entry for, with the number of their rows."""
+    return p4_mapped(spark, d).where("ref_id = 0").groupBy("field_name", "value").agg(F.count("*").alias("n_rows"))
+
+
 # --- 6 ---
 
 LANGUAGE_SAMPLE = 1500  # labelled rows of each table to fit the classifiers on
@@ -129,6 +146,9 @@ def queries() -> dict:
         "p1_pieces": p1_pieces,
         "p2_found": p2_found,
         "p2_restored": p2_restored,
+        "p4_found": p4_found,
+        "p4_mapped": p4_mapped,
+        "p4_unmatched": p4_unmatched,
         "p6_found": p6_found,
         "p6_segments": p6_segments,
         "p10_found": p10_found,

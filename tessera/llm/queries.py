@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, entities, language, splitting, subjects
+from . import encoding, entities, language, scan_noise, splitting, subjects
 from .common import sample_rows
 
 
@@ -58,6 +58,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_restored(spark, d).select("source_table", "row_id", "field_name")
 
 
+# --- 3 ---
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Running text of the rows of parsed_docs and chunks (without tables) that show scan noise."""
+    docs = table(spark, d, "parsed_docs").select(F.lit("parsed_docs").alias("source_table"), F.col("parsed_id").alias("row_id"), "text")
+    chunks = table(spark, d, "chunks").where("coalesce(metadata.chunk_type, '') <> 'table'").select(F.lit("chunks").alias("source_table"), F.col("id").alias("row_id"), F.col("content").alias("text"))
+    return scan_noise.repair_scans(docs.unionByName(chunks), ["source_table", "row_id"], "text")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_repaired(spark, d).select("source_table", "row_id")
+
+
 # --- 4 ---
 
 
@@ -146,6 +160,8 @@ def queries() -> dict:
         "p1_pieces": p1_pieces,
         "p2_found": p2_found,
         "p2_restored": p2_restored,
+        "p3_found": p3_found,
+        "p3_repaired": p3_repaired,
         "p4_found": p4_found,
         "p4_mapped": p4_mapped,
         "p4_unmatched": p4_unmatched,

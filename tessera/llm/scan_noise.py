@@ -86,7 +86,7 @@ def header_signatures(texts: DataFrame, text_col: str, *, least_edges: int = 3,
     pages = rows.withColumn("p", F.transform("l", is_page))
     parts = F.transform("l", lambda x, i: F.struct(x.alias("x"), (F.coalesce(F.get("p", i - 1), F.lit(False)) | F.coalesce(F.get("p", i + 1), F.lit(False)) | x.rlike(r"\S\s{2,}\d{1,4}\s*$")).alias("e"), F.get("p", i).alias("p"), F.xxhash64(F.get("l", i - 1), F.get("l", i + 1)).alias("around")))
     got = pages.select(F.explode(parts).alias("z")).where(~F.col("z.p") & (F.length("z.x") <= 76) & F.col("z.x").rlike(r"^\s*\p{Lu}.*[^.!?,;:\-‐¬­—\s]\s*$") & F.trim("z.x").contains(" "))
-    counted = got.groupBy(_signature_col(F.col("z.x")).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col("z.e").cast("int")).alias("edges"), F.approx_count_distinct("z.around").alias("contexts"))
+    counted = got.groupBy(_signature_col(F.col("z.x")).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col("z.e").cast("int")).alias("edges"), F.approx_count_distinct(F.when(F.col("z.e"), F.col("z.around"))).alias("contexts"))
     found = counted.where((F.col("contexts") >= least_edges) & (F.col("edges") >= least_edges) & (F.col("edges") >= least_share * F.col("n"))).limit(200_001).collect()
     if len(found) > 200_000:
         raise ValueError("more than 200,000 running headers: raise least_edges")

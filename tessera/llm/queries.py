@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, entities, language, scan_noise, splitting, subjects
+from . import encoding, entities, knn, language, scan_noise, splitting, subjects
 from .common import sample_rows
 
 
@@ -118,6 +118,31 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return by_row.where(odd).select("source_table", "row_id", F.explode("langs").alias("lang"))
 
 
+# --- 7 ---
+
+
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar other chunks of every chunk with a usable vector."""
+    near = knn.neighbours(table(spark, d, "chunks"), "id", "embedding")
+    return near.select("id", F.posexplode("near").alias("p", "z")).select("id", (F.col("p") + 1).alias("rank"), F.col("z.id").alias("neighbour_id"), F.col("z.cosine").alias("cosine"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    near = knn.neighbours(table(spark, d, "chunks"), "id", "embedding")
+    pairs = near.select("id", F.explode(F.filter("near", lambda z: z["cosine"] >= 0.9)).alias("z"))
+    return pairs.select(F.least("id", "z.id").alias("id_a"), F.greatest("id", "z.id").alias("id_b")).distinct()
+
+
+def p7_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall against the exact answer for the rows whose id is divisible by 100: the part of each one's found
+    neighbours that are at least as similar as the exact tenth."""
+    chunks = table(spark, d, "chunks")
+    exact = knn.exact_tenth(chunks, "id", "embedding", F.col("id") % 100 == 0)
+    near = knn.neighbours(chunks, "id", "embedding").where("id % 100 = 0")
+    got = near.join(exact, "id").select(F.size(F.filter("near", lambda z: z["cosine"] >= F.col("tenth") - 2e-6)).alias("hits"), "n_exact")
+    return got.agg(F.count("*").alias("n_queries"), F.round(F.sum("hits") / F.sum("n_exact"), 4).alias("recall"))
+
+
 # --- 10 ---
 
 SUBJECT_SAMPLE = 6000  # passages with weak labels to fit on
@@ -167,6 +192,9 @@ def queries() -> dict:
         "p4_unmatched": p4_unmatched,
         "p6_found": p6_found,
         "p6_segments": p6_segments,
+        "p7_found": p7_found,
+        "p7_neighbours": p7_neighbours,
+        "p7_recall": p7_recall,
         "p10_found": p10_found,
         "p10_subjects": p10_subjects,
         "p10_makeup": p10_makeup,

@@ -26,7 +26,7 @@ PAGE_LINE = (
     r"(?iu)^\s*(?:[-–—]\s*\d{1,4}\s*[-–—]|\[\d{1,4}\]|\d{1,4}(?:\s*/\s*\d{1,4})?"
     r"|(\p{L}[\p{L}\d!]{2,6}|p\.|s\.|pág\.|pag\.)\s*\d{1,4}(?:\s*(?:von|of|de|di|sur|/)\s*\d{1,4})?)\s*$"
 )
-_PAGE_LINE = re.compile(PAGE_LINE.replace(r"\p{L}", r"[^\W\d_]").replace("(?iu)", "(?i)"))
+_PAGE_LINE = re.compile(PAGE_LINE.replace(r"[\p{L}\d!]", r"[^\W_!]|!").replace(r"\p{L}", r"[^\W\d_]").replace("(?iu)", "(?i)").replace("[^\\W_!]|!{2,6}", "(?:[^\\W_]|!){2,6}"))
 _MARK = re.compile(r"\[PAGE_BREAK:\d+\]")
 _AFTER_SUSPENDED = frozenset("und oder bzw sowie and or y o e ed et ou".split())
 

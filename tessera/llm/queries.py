@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import encoding, entities, knn, language, scan_noise, splitting, subjects
+from . import encoding, entities, knn, language, mixing, packing, scan_noise, splitting, subjects, tokens
 from .common import sample_rows
 
 
@@ -143,6 +143,39 @@ def p7_recall(spark: SparkSession, d: str) -> DataFrame:
     return got.agg(F.count("*").alias("n_queries"), F.round(F.sum("hits") / F.sum("n_exact"), 4).alias("recall"))
 
 
+# --- 8 ---
+
+
+def p8_pack(spark: SparkSession, d: str, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
+    """All documents in containers of 2,048 tokens."""
+    sizes = tokens.count_tokens(table(spark, d, "documents"), ["doc_id"], "text", vocabulary=vocabulary)
+    return packing.pack_items(sizes, "doc_id", "n_tokens").withColumnsRenamed({"first": "first_token", "size": "n_tokens"})
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, the least number possible by size alone, and the unused room."""
+    per = p8_pack(spark, d).groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    return per.agg(F.count("*").alias("n_containers"), F.ceil(F.sum("used") / 2048).alias("least_possible"), F.round(1 - F.sum("used") / (F.count("*") * 2048), 6).alias("unused_share"))
+
+
+# --- 9 ---
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sizes = tokens.count_tokens(table(spark, d, "documents"), ["doc_id", "source"], "text")
+    return mixing.mix(sizes, table(spark, d, "mix_targets"), key_col="doc_id", source_col="source", size_col="n_tokens")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents drawn, by output shard and position."""
+    return _mixed(spark, d)[0].withColumnRenamed("size", "n_tokens")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares by source."""
+    return _mixed(spark, d)[1]
+
+
 # --- 10 ---
 
 SUBJECT_SAMPLE = 6000  # passages with weak labels to fit on
@@ -195,6 +228,10 @@ def queries() -> dict:
         "p7_found": p7_found,
         "p7_neighbours": p7_neighbours,
         "p7_recall": p7_recall,
+        "p8_pack": p8_pack,
+        "p8_fill": p8_fill,
+        "p9_mix": p9_mix,
+        "p9_shares": p9_shares,
         "p10_found": p10_found,
         "p10_subjects": p10_subjects,
         "p10_makeup": p10_makeup,

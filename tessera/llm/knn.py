@@ -353,7 +353,7 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, *, k: int = 10, dim: in
 
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"key": [], "near": []})
+            return pd.DataFrame({"key": [], "near": []}, dtype=object)
         graph, names = Graph.unpack(right["graph"].iloc[0]), right["keys"].iloc[0]
         idx, sim = graph.search(np.stack([np.frombuffer(r, np.float32) for r in left["x"]]), k, ef)
         return pd.DataFrame({"key": left["key"].to_numpy(), "near": [[{"c": float(c), "key": names[j]} for j, c in zip(i, s) if j >= 0] for i, s in zip(idx, sim)]})

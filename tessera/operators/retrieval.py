@@ -92,8 +92,9 @@ def hybrid(chunks: DataFrame, questions: DataFrame, *, k: int = 20) -> DataFrame
 
     Both legs give 2k; BM25 hits without a positive score go after the cut. ``chunks`` need id, content, embedding,
     quality_score, downvote_count and topic."""
-    sparse = top_k(bm25(chunks, questions, id_col="id", text_col="content"), 2 * k).where("score > 0")
-    near = top_k(dense(chunks, questions, id_col="id", vec_col="embedding"), 2 * k)
+    order = [F.round("score", 9).desc(), F.col("id")]  # sums in another order differ in the last digits
+    sparse = top_k(bm25(chunks, questions, id_col="id", text_col="content"), 2 * k, order=order).where("score > 0")
+    near = top_k(dense(chunks, questions, id_col="id", vec_col="embedding"), 2 * k, order=order)
     fused = fuse([near, sparse]).join(chunks.select("id", "quality_score", "downvote_count", "topic"), "id")
     best = top_k(adjust_quality(fused), k, order=[F.round("score", 9).desc(), F.col("id")], rank="_r").drop("_r")
     asked = questions.select("qid", "wanted_topic")

@@ -1 +1 @@
-"""Structured Streaming pipelines."""
+"""Structured Streaming pipelines: incremental ingestion and event windows."""

@@ -239,9 +239,11 @@ class Router:
         return np.argsort(-s, axis=1, kind="stable")[:, : self.probes]
 
 
-def fit_router(sample: np.ndarray, n_shards: int, *, k: int = 10, coverage: float = 0.985, rounds: int = 12, seed: int = 29) -> Router:
+def fit_router(sample: np.ndarray, n_shards: int, *, k: int = 10, part: float = 1.0, coverage: float = 0.985, rounds: int = 12, seed: int = 29) -> Router:
     """Centres by spherical k-means on the sample, and the least number of shards per query that hold ``coverage`` of
-    the exact k best within the sample."""
+    its exact best ones within the sample. Of the k best of all rows the sample, being ``part`` of them, holds only so
+    many, and the shards must hold those."""
+    k = max(1, min(k, round(k * part)))
     n_shards = max(1, min(n_shards, len(sample)))
     rng = np.random.default_rng(seed)
     if n_shards == 1 or len(sample) < 2:
@@ -257,7 +259,7 @@ def fit_router(sample: np.ndarray, n_shards: int, *, k: int = 10, coverage: floa
             sums[empty] = sample[rng.choice(len(sample), int(empty.sum()))]
         c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
     a = (sample @ c.T).argmax(axis=1)
-    q = rng.choice(len(sample), min(1000, len(sample)), replace=False)
+    q = rng.choice(len(sample), min(2000, len(sample)), replace=False)
     s = sample[q] @ sample.T
     s[np.arange(len(q)), q] = -2
     best = np.argpartition(-s, min(k, len(sample) - 1) - 1, axis=1)[:, :k]
@@ -312,7 +314,7 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, *, k: int = 10, dim: in
     total = merged.count()
     sample = merged.select("key", "x").orderBy(F.xxhash64("key"), "key").limit(sample_rows).toPandas()
     xs = np.stack([np.frombuffer(r, np.float32) for r in sample["x"]]) if len(sample) else np.zeros((0, dim), np.float32)
-    router = fit_router(xs, min(most_shards, -(-total // shard_rows)), k=k)
+    router = fit_router(xs, min(most_shards, -(-total // shard_rows)), k=k, part=len(xs) / max(1, total))
     shared = spark.sparkContext.broadcast(router)  # at most most_shards centres
 
     def route(batches):

@@ -260,9 +260,11 @@ def fit_router(sample: np.ndarray, n_shards: int, *, k: int = 10, part: float =
         c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
     a = (sample @ c.T).argmax(axis=1)
     q = rng.choice(len(sample), min(2000, len(sample)), replace=False)
-    s = sample[q] @ sample.T
-    s[np.arange(len(q)), q] = -2
-    best = np.argpartition(-s, min(k, len(sample) - 1) - 1, axis=1)[:, :k]
+    best = np.zeros((len(q), min(k, len(sample) - 1)), np.int64)
+    for lo in range(0, len(q), 128):
+        s = sample[q[lo : lo + 128]] @ sample.T
+        s[np.arange(len(s)), q[lo : lo + 128]] = -2
+        best[lo : lo + 128] = np.argpartition(s, s.shape[1] - best.shape[1], axis=1)[:, s.shape[1] - best.shape[1] :]
     order = np.argsort(-(sample[q] @ c.T), axis=1)
     for p in range(1, n_shards + 1):
         if (a[best][:, :, None] == order[:, None, :p]).any(axis=2).mean() >= coverage:
@@ -283,7 +285,7 @@ def usable_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFr
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v")).where((F.size("v") == dim) & F.col("id").isNotNull()).where(fine)
 
 
-def neighbours(df: DataFrame, id_col: str, vec_col: str, *, k: int = 10, dim: int = 64, shard_rows: int = 8192, most_shards: int = 4096, sample_rows: int = 20_000, ef: int = 40, least_cosine: float = -1.0) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str, vec_col: str, *, k: int = 10, dim: int = 64, shard_rows: int = 8192, most_shards: int = 4096, sample_rows: int = 20_000, ef: int = 32, least_cosine: float = -1.0) -> DataFrame:
     """``id`` and ``near``, an array of (cosine, id) of the k most similar other rows, best first; equal cosines by id.
 
     Null, all-zero and wrongly sized vectors are left out. Copies of a vector are each other's neighbours with
@@ -310,7 +312,7 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, *, k: int = 10, dim: in
 
     partial = rows.mapInPandas(points, "key binary, ids array<bigint>, n bigint, x binary")
     merged = partial.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.sum("n").alias("n"), F.min("x").alias("x"))
-    merged = cut(merged)
+    merged = cut(merged.withColumn("p", F.monotonically_increasing_id()))  # a point's number, fixed by writing it
     total = merged.count()
     sample = merged.select("key", "x").orderBy(F.xxhash64("key"), "key").limit(sample_rows).toPandas()
     xs = np.stack([np.frombuffer(r, np.float32) for r in sample["x"]]) if len(sample) else np.zeros((0, dim), np.float32)
@@ -322,54 +324,52 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, *, k: int = 10, dim: in
             if len(b):
                 x = np.stack([np.frombuffer(r, np.float32) for r in b["x"]])
                 b["probes"] = list(shared.value.near(x).astype(np.int32)) if router_many else [np.zeros(1, np.int32)] * len(b)
-                yield b[["key", "ids", "n", "x", "probes"]]
+                yield b[["p", "x", "probes"]]
 
     router_many = len(router.centres) > 1
-    routed = merged.mapInPandas(route, "key binary, ids array<bigint>, n bigint, x binary, probes array<int>")
+    routed = merged.select("p", "x").mapInPandas(route, "p bigint, x binary, probes array<int>")
     sizes = {r["s"]: r["c"] for r in routed.groupBy(F.get("probes", 0).alias("s")).agg(F.count("*").alias("c")).collect()}  # one row per shard
     parts = {s: -(-c // 60_000) for s, c in sizes.items()}
     n_parts = F.element_at(F.create_map(*[F.lit(v) for s in sorted(parts) for v in (s, parts[s])]), F.col("s")) if any(v > 1 for v in parts.values()) else F.lit(1)
-    home = routed.withColumn("s", F.get("probes", 0)).withColumn("part", F.pmod(F.xxhash64("key"), n_parts).cast("int"))
+    home = routed.withColumn("s", F.get("probes", 0)).withColumn("part", F.pmod(F.xxhash64("p"), n_parts).cast("int"))
 
     def make(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         """The shard's graph (one row) and its points' neighbours within it."""
         x = np.stack([np.frombuffer(r, np.float32) for r in b["x"]])
         graph, idx, sim = build(x, k)
-        keys = b["key"].to_numpy()
-        near = [[{"c": float(c), "key": keys[j]} for j, c in zip(i, s)] for i, s in zip(idx, sim)]
-        out = pd.DataFrame({"key": keys, "near": near})
-        whole = pd.DataFrame({"key": [None], "near": [None]})
-        out["s"], out["part"], out["graph"], out["keys"] = key[0], key[1], None, None
-        whole["s"], whole["part"], whole["graph"], whole["keys"] = key[0], key[1], [graph.pack()], [list(keys)]
-        return pd.concat([out, whole], ignore_index=True)
-
-    near_type = "array<struct<c:float,key:binary>>"
-    made = home.select("s", "part", "key", "x").groupBy("s", "part").applyInPandas(make, f"key binary, near {near_type}, s int, part int, graph binary, keys array<binary>")
+        names = b["p"].to_numpy(np.int64)
+        out = pd.DataFrame({"p": pd.array([*names, None], dtype="Int64"), "near": [*_near(names, idx, sim), None]})
+        out["s"], out["part"] = key[0], key[1]
+        out["graph"], out["names"] = [*[None] * len(names), graph.pack()], [*[None] * len(names), names.tobytes()]
+        return out
+
+    near_type = "array<struct<c:float,p:bigint>>"
+    made = home.select("s", "part", "p", "x").groupBy("s", "part").applyInPandas(make, f"p bigint, near {near_type}, s int, part int, graph binary, names binary")
     made = cut(made)
-    own = made.where("key IS NOT NULL").select("key", "near")
-    graphs = made.where("graph IS NOT NULL").select("s", "part", "graph", "keys")
-    visits = home.select("key", "x", "part", F.posexplode("probes").alias("i", "s"), F.col("s").alias("own_s"))
+    own = made.where("p IS NOT NULL").select("p", "near")
+    graphs = made.where("graph IS NOT NULL").select("s", "part", "graph", "names")
+    visits = home.select("p", "x", "part", F.posexplode("probes").alias("i", "s"), F.col("s").alias("own_s"))
     n_here = F.element_at(F.create_map(*[F.lit(v) for s in sorted(parts) for v in (s, parts[s])]), F.col("s")) if parts else F.lit(1)
     visits = visits.where(F.col("s").isin(*sorted(parts)) if len(parts) <= 512 else F.lit(True)).withColumn("to", F.explode(F.sequence(F.lit(0), F.coalesce(n_here, F.lit(1)) - 1)))
-    visits = visits.where((F.col("i") > 0) | (F.col("to") != F.col("part"))).select("key", "x", "s", F.col("to").cast("int").alias("part"))
+    visits = visits.where((F.col("i") > 0) | (F.col("to") != F.col("part"))).select("p", "x", "s", F.col("to").cast("int").alias("part"))
 
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"key": [], "near": []}, dtype=object)
-        graph, names = Graph.unpack(right["graph"].iloc[0]), right["keys"].iloc[0]
+            return pd.DataFrame({"p": pd.array([], dtype="Int64"), "near": pd.Series([], dtype=object)})
+        graph, names = Graph.unpack(right["graph"].iloc[0]), np.frombuffer(right["names"].iloc[0], np.int64)
         idx, sim = graph.search(np.stack([np.frombuffer(r, np.float32) for r in left["x"]]), k, ef)
-        return pd.DataFrame({"key": left["key"].to_numpy(), "near": [[{"c": float(c), "key": names[j]} for j, c in zip(i, s) if j >= 0] for i, s in zip(idx, sim)]})
+        return pd.DataFrame({"p": left["p"].to_numpy(), "near": _near(names, idx, sim)})
 
-    other = visits.groupBy("s", "part").cogroup(graphs.groupBy("s", "part")).applyInPandas(look, f"key binary, near {near_type}")
+    other = visits.groupBy("s", "part").cogroup(graphs.groupBy("s", "part")).applyInPandas(look, f"p bigint, near {near_type}")
     best = lambda a: F.slice(F.sort_array(a, asc=False), 1, k)
-    per_point = own.unionByName(other).groupBy("key").agg(best(F.flatten(F.collect_list("near"))).alias("near"))  # probes lists of k
+    per_point = own.unionByName(other).groupBy("p").agg(best(F.flatten(F.collect_list("near"))).alias("near"))  # probes lists of k
     if least_cosine > -1:
         per_point = per_point.withColumn("near", F.filter("near", lambda z: z["c"] >= least_cosine))
-    ids = merged.select("key", "ids", "n")
-    listed = per_point.select("key", F.explode("near").alias("z")).select("key", F.col("z.c").alias("c"), F.col("z.key").alias("other"))
-    listed = listed.join(ids.select(F.col("key").alias("other"), F.col("ids").alias("other_ids")), "other")
-    listed = listed.groupBy("key").agg(F.flatten(F.collect_list(F.transform("other_ids", lambda i: F.struct((-F.col("c")).cast("double").alias("d"), i.alias("id"))))).alias("far"))
-    ready = ids.join(listed, "key", "left").select(
+    ids = merged.select("p", "key", "ids", "n")
+    listed = per_point.select("p", F.explode("near").alias("z")).select("p", F.col("z.c").alias("c"), F.col("z.p").alias("other"))
+    listed = listed.join(ids.select(F.col("p").alias("other"), F.col("ids").alias("other_ids")), "other")
+    listed = listed.groupBy("p").agg(F.flatten(F.collect_list(F.transform("other_ids", lambda i: F.struct((-F.col("c")).cast("double").alias("d"), i.alias("id"))))).alias("far"))
+    ready = ids.join(listed, "p", "left").select(
         "key",
         "n",
         "ids",
@@ -383,6 +383,12 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, *, k: int = 10, dim: in
     return every.select("id", F.transform(mine, lambda z: F.struct(F.round(-z["d"], 6).alias("cosine"), z["id"].alias("id"))).alias("near"))
 
 
+def _near(names: np.ndarray, idx: np.ndarray, sim: np.ndarray) -> list[list[dict]]:
+    """Neighbour lists as rows; positions below 0 are left out."""
+    got, sims = names[np.maximum(idx, 0)].tolist(), sim.tolist()
+    return [[{"c": c, "p": q} for q, c, j in zip(g, s, i) if j >= 0] for g, s, i in zip(got, sims, idx.tolist())]
+
+
 def _keys_only(dim: int):
     def run(batches):
         for b in batches:

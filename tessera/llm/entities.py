@@ -43,6 +43,9 @@ def tokens_of(text: str | None) -> list[str]:
     return out
 
 
+LONGEST = 64  # tokens longer than this aren't repaired; no reference word is nearly as long
+
+
 def reach(n: int) -> int:
     """Edits allowed for a token of ``n`` characters."""
     return 0 if n < 3 else 1 if n < 4 else 2
@@ -51,7 +54,7 @@ def reach(n: int) -> int:
 def deletions(token: str) -> list[str]:
     """The token with up to ``reach`` characters left out: two tokens within that distance share one of these."""
     n = len(token.rstrip("."))
-    if token.isdigit():
+    if token.isdigit() or n > LONGEST:
         return [token]
     out = {token}
     for k in range(1, reach(n) + 1):

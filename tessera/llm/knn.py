@@ -239,6 +239,21 @@ class Router:
         return np.argsort(-s, axis=1, kind="stable")[:, : self.probes]
 
 
+def choose_router(sample: np.ndarray, total: int, *, k: int, shard_rows: int, most_shards: int) -> Router:
+    """The router with the least work among shards of ``shard_rows``, twice and four times as many rows. Building costs a
+    product with each row of the shard (about 15 ns), visiting another shard a search (about 350 µs)."""
+    best, least = None, 0.0
+    for f in (1, 2, 4):
+        rows = shard_rows * f
+        router = fit_router(sample, min(most_shards, -(-total // rows)), k=k, part=len(sample) / max(1, total))
+        work = min(rows, total) * 15e-9 + (router.probes - 1) * 350e-6
+        if best is None or work < least:
+            best, least = router, work
+        if len(router.centres) == 1:
+            break
+    return best
+
+
 def fit_router(sample: np.ndarray, n_shards: int, *, k: int = 10, part: float = 1.0, coverage: float = 0.985, rounds: int = 12, seed: int = 29) -> Router:
     """Centres by spherical k-means on the sample, and the least number of shards per query that hold ``coverage`` of
     its exact best ones within the sample. Of the k best of all rows the sample, being ``part`` of them, holds only so
@@ -316,7 +331,7 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, *, k: int = 10, dim: in
     total = merged.count()
     sample = merged.select("key", "x").orderBy(F.xxhash64("key"), "key").limit(sample_rows).toPandas()
     xs = np.stack([np.frombuffer(r, np.float32) for r in sample["x"]]) if len(sample) else np.zeros((0, dim), np.float32)
-    router = fit_router(xs, min(most_shards, -(-total // shard_rows)), k=k, part=len(xs) / max(1, total))
+    router = choose_router(xs, total, k=k, shard_rows=shard_rows, most_shards=most_shards)
     shared = spark.sparkContext.broadcast(router)  # at most most_shards centres
 
     def route(batches):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .common import plain
 
 
 class _Sizes:
@@ -166,7 +167,7 @@ def pack_items(items: DataFrame, key_col: str, size_col: str, *, capacity: int =
     def one(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["_size", "_key", "_i"], kind="stable")
         at = np.array(pack(b["_size"].tolist(), capacity), np.int64)
-        return pd.DataFrame({"container_id": b["_g"].to_numpy() * (1 << 32) + at, "_key": b["_key"].to_numpy(), "piece_no": b["_i"].to_numpy(), "first": b["_first"].to_numpy(), "size": b["_size"].to_numpy()})
+        return plain(pd.DataFrame({"container_id": b["_g"].to_numpy() * (1 << 32) + at, "_key": b["_key"].to_numpy(), "piece_no": b["_i"].to_numpy(), "first": b["_first"].to_numpy(), "size": b["_size"].to_numpy()}))
 
     got = dealt.groupBy("_g").applyInPandas(one, f"container_id bigint, _key {kind}, piece_no int, first bigint, size int")
     return got.withColumnRenamed("_key", key_col)

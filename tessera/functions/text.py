@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import vocab
 
@@ -103,7 +104,7 @@ def looks_like_raw_graph(answer: Column) -> Column:
     return F.coalesce(answer, F.lit("")).rlike(r"--[A-Z_]+-->")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_math(text: pd.Series) -> pd.Series:
     """Mathematical letters and signs as plain ones, composed (NFKC); null stays null."""
     signs = {"×": "*", "·": "*", "÷": "/", "−": "-", "–": "-", "≤": "<=", "≥": ">=", "≈": "~", "√": "sqrt", "∞": "inf"}

@@ -140,6 +140,7 @@ def parse_unit(text: str | None, prior: str | None = None) -> Unit | None:
     text = re.sub(r"\s+", " ", text.strip().strip("[]()")).strip()
     if not text or len(text) > 40:
         return None
+    text = re.sub(r"^(\d+)\s*/\s*(\d+)\s+", lambda m: f"{int(m[1]) / max(1, int(m[2])):.9f} ", text)  # as in 1/100 mm
     got = _segment(text, prior) or _segment(_usual_case(text), prior)
     return got[0] if got else None
 
@@ -199,7 +200,7 @@ def _gaps(text: str, at: int):
 
 #: words before a number that leave it a number
 _QUALIFIER = r"(?:approx\.?|about|ca\.?|circa|env\.?|environ|etwa|rund|max\.?|min\.?|aprox\.?|[~≈<>≤≥±=])"
-CELL_PATTERN = rf"(?i)^\s*({_QUALIFIER}\s*)*([-+−]?(?:\d{{1,3}}(?:[ '’  ]\d{{3}})+(?:[.,]\d+)?|\d+(?:[.,]\d+)*)(?:[eE][-+]?\d+)?)\s*(?![\d:])(.*?)\s*$"
+CELL_PATTERN = rf"(?i)^\s*({_QUALIFIER}\s*)*([-+−]?(?:\d{{1,3}}(?:[ '’  ]\d{{3}})+(?:[.,]\d+)?|\d+(?:[.,]\d+)*)(?:[eE][-+]?\d+)?)(?![\d:])\s*(.*?)\s*$"
 _CELL = re.compile(CELL_PATTERN)
 
 

@@ -39,7 +39,7 @@ def unit_of_header(header: str) -> str | None:
 def _table(name: str, rows: list[list[str]]) -> dict:
     width = max((len(r) for r in rows), default=0)
     rows = [[("" if c is None else str(c)) for c in r] + [""] * (width - len(r)) for r in rows]
-    return {"name": name, "rows": rows, "units": [(h, u) for h in (rows[0] if rows else []) if (u := unit_of_header(h))]}
+    return {"name": name, "rows": rows, "units": {h: u for h in (rows[0] if rows else []) if (u := unit_of_header(h))}}
 
 
 def parse_csv(data: bytes, name: str) -> tuple[str, list[dict]]:

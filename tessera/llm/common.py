@@ -60,16 +60,13 @@ def sample_rows(df: DataFrame, key: Column, limit: int, seed: int = 17) -> pd.Da
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(limit).toPandas()
 
 
-def plain(df: pd.DataFrame) -> pd.DataFrame:
-    """Text columns as Python objects: Arrow-backed ones may come in several chunks, which the way back refuses."""
-    return df.assign(**{c: df[c].astype(object) for c in df.columns if isinstance(df[c].dtype, pd.StringDtype)})
-
-
 def over_batches(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield plain(fn(b))
+                out = fn(b)
+                if len(out):  # columns of an empty frame have no proper type
+                    yield out
 
     return run
 

@@ -255,7 +255,7 @@ def choose_router(sample: np.ndarray, total: int, *, k: int, shard_rows: int, mo
 
 
 def fit_router(sample: np.ndarray, n_shards: int, *, k: int = 10, part: float = 1.0, coverage: float = 0.985, rounds: int = 12, seed: int = 29) -> Router:
-    """Centres by spherical k-means on the sample, and the least number of shards per query that hold ``coverage`` of
+    """Centres by spherical k-means on the sample, and the least number of shards per query (two at least) that hold ``coverage`` of
     its exact best ones within the sample. Of the k best of all rows the sample, being ``part`` of them, holds only so
     many, and the shards must hold those."""
     k = max(1, min(k, round(k * part)))
@@ -281,7 +281,7 @@ def fit_router(sample: np.ndarray, n_shards: int, *, k: int = 10, part: float =
         s[np.arange(len(s)), q[lo : lo + 128]] = -2
         best[lo : lo + 128] = np.argpartition(s, s.shape[1] - best.shape[1], axis=1)[:, s.shape[1] - best.shape[1] :]
     order = np.argsort(-(sample[q] @ c.T), axis=1)
-    for p in range(1, n_shards + 1):
+    for p in range(2, n_shards + 1):  # its own shard and, through their graphs, one other at least
         if (a[best][:, :, None] == order[:, None, :p]).any(axis=2).mean() >= coverage:
             return Router(c.astype(np.float32), p)
     return Router(c.astype(np.float32), n_shards)

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how that tokenizer divides text before it merges bytes.
@@ -35,6 +34,6 @@ def count_tokens(df: DataFrame, key_cols: list[str], text_col: str, *, vocabular
         for b in batches:
             out = b[key_cols].copy()
             out["n_tokens"] = [len(encode(t)) if t else 0 for t in b["_text"]]
-            yield plain(out)
+            yield out
 
     return df.select(*key_cols, F.col(text_col).alias("_text")).mapInPandas(run, schema)

@@ -41,3 +41,23 @@ def quality_after_votes(chunks: DataFrame, votes: DataFrame, suppressed: DataFra
     total, more = F.coalesce("total", F.lit(0)), F.coalesce("n_votes", F.lit(0))
     mean = F.when(n + more > 0, (q * n + total) / (n + more)).otherwise(q)
     return got.select("id", F.when(F.col("_s"), F.lit(-999.0)).otherwise(mean).alias("quality_score"), (n + more).alias("vote_count"), (F.coalesce("downvote_count", F.lit(0)) + F.coalesce("downvotes", F.lit(0))).alias("downvote_count"))
+
+
+def corrections_as_chunks(feedback: DataFrame, *, least: int = 20) -> DataFrame:
+    """Corrections of more than ``least`` characters as chunks of full quality: content, quality_score, vote_count, source_type,
+    original_question."""
+    text = F.trim("correction")
+    return feedback.where(F.length(text) > least).select(text.alias("content"), F.lit(1.0).alias("quality_score"), F.lit(1).alias("vote_count"), F.lit("expert_correction").alias("source_type"), F.col("question").alias("original_question"))
+
+
+def open_gaps(log: DataFrame) -> DataFrame:
+    """Questions whose last entry in the log (question, reason, resolved, seq) isn't resolved."""
+    last = log.groupBy("question").agg(F.max_by(F.struct("reason", "resolved"), "seq").alias("l"))
+    return last.where("NOT l.resolved").select("question", F.col("l.reason").alias("reason"))
+
+
+def answer_report(answers: DataFrame, citations: DataFrame) -> DataFrame:
+    """``qid``, ``report``: question, answer and numbered sources as text."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "label"))), lambda c: F.concat(F.lit("["), c["no"].cast("string"), F.lit("] "), c["label"])), "\n")
+    listed = citations.groupBy("qid").agg(lines.alias("sources"))
+    return answers.join(listed, "qid", "left").select("qid", F.concat(F.lit("Question: "), "question", F.lit("\n\n"), "answer", F.lit("\n\nSources:\n"), F.coalesce("sources", F.lit("none"))).alias("report"))

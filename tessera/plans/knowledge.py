@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vocab
-from ..operators import answers, chunking, dedup, graph, retrieval, store, trust
+from ..operators import answers, chunking, dedup, graph, normalize, retrieval, store, trust
 from ..session import table
 from ..streaming import pipelines
 from .portable import INTENT_HITS, _SEED
@@ -99,6 +99,45 @@ def n25_json(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
 
 
+_CLEANED = r"regexp_replace(trim(regexp_replace(coalesce(name, ''), '\s+', ' ', 'g')), '^[ :;,.()\[\]{}]+|[ :;,.()\[\]{}]+$', '', 'g')"
+_NOISY = f"(length(n) < 2 OR regexp_matches(lower(n), '{normalize.NOISE}') OR " + " OR ".join(f"contains(lower(n), '{p}')" for p in normalize._PHRASES) + ")"
+
+
+@query(f"SELECT id, {_NOISY} AS noise, regexp_matches(lower(n), '{normalize.SPEC}') AS spec FROM (SELECT id, {_CLEANED} AS n FROM graph_nodes)")
+def n19_noise(spark, d):
+    return table(spark, d, "graph_nodes").select("id", normalize.is_noise(F.col("name")).alias("noise"), normalize.is_spec(F.col("name")).alias("spec"))
+
+
+_KEY = r"trim(regexp_replace(regexp_replace(lower(regexp_replace(trim(regexp_replace(coalesce({c}, ''), '\s+', ' ', 'g')), '^[ :;,.()\[\]{{}}]+|[ :;,.()\[\]{{}}]+$', '', 'g')), '[\-_]+', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"""WITH a AS (SELECT {_KEY.format(c='a')} AS k, type AS t, min(canonical_name) AS c FROM (SELECT type, canonical_name, unnest(list_concat([canonical_name], coalesce(aliases, []))) AS a FROM canonical_entities WHERE list_name = 'name') GROUP BY ALL),
+b AS (SELECT id, {_CLEANED} AS n, lower(trim(coalesce(type, 'unknown'))) AS p, {_KEY.format(c='name')} AS k FROM graph_nodes),
+j AS (SELECT b.id, a.t, a.c, row_number() OVER (PARTITION BY b.id ORDER BY CASE WHEN a.t = b.p THEN -1 WHEN a.t = 'part' THEN 0 WHEN a.t = 'system' THEN 1 WHEN a.t = 'symptom' THEN 2 WHEN a.t = 'cause' THEN 3 WHEN a.t = 'fix' THEN 4 ELSE 5 END, a.t, a.c) AS rn FROM b JOIN a ON a.k = b.k AND a.k <> ''),
+r AS (SELECT b.*, j.t, j.c, regexp_matches(lower(n), '{normalize.SPEC}') AS spec, CASE WHEN n = '' THEN 'empty' WHEN {_NOISY} AND NOT regexp_matches(lower(n), '{normalize.SPEC}') THEN 'noise' ELSE '' END AS reason FROM b LEFT JOIN j ON j.id = b.id AND j.rn = 1)
+SELECT id, CASE WHEN reason <> '' THEN '' WHEN spec THEN n ELSE coalesce(c, upper(left(n, 1)) || substring(n, 2)) END AS canonical, CASE WHEN reason <> '' THEN p WHEN spec THEN 'spec' ELSE coalesce(t, p) END AS node_type, reason FROM r""")
+def n21_normalize(spark, d):
+    return normalize.normalize_entities(table(spark, d, "graph_nodes"), table(spark, d, "canonical_entities").where("list_name = 'name'"), key_cols=["id"], name_col="name", type_col="type")
+
+
+@query(r"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(content, '\[Table: [^\]]*\]|\[PAGE_BREAK:\d+\]', ' ', 'g'), '[ \t\n\r\f\x0B]*\|[ \t\n\r\f\x0B]*', ', ', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS shown FROM chunks")
+def n12_display(spark, d):
+    return table(spark, d, "chunks").select("id", tx.display_text(F.col("content")).alias("shown"))
+
+
+def n2_math_fold(spark, d):
+    """Mathematical letters and signs of all chunks as plain ones."""
+    return table(spark, d, "chunks").select("id", tx.fold_math("content").alias("folded"))
+
+
+def x3_embed(spark, d):
+    """Hashed-word vectors of all documents."""
+    return table(spark, d, "documents").select("doc_id", F.transform(tx.hash_embedding(F.col("text")), lambda v: F.round(v, 6)).alias("vector"))
+
+
+Q["n2_math_fold"], Q["x3_embed"] = n2_math_fold, x3_embed
+
+
 # --- passages and facts -------------------------------------------------------------------------------------------
 
 _CHUNKER = r"""

@@ -213,3 +213,26 @@ def test_plans_push_down(spark):
 
     plan = registry.queries()["f6_struct_path"](spark, DATA)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(metadata.topic)" in plan and "content" not in plan.split("ReadSchema")[-1]
+
+
+def test_normalize(spark):
+    from tessera.operators import normalize
+
+    ents = spark.createDataFrame([("part", "Spark Plug", ["plug", "Zündkerze"]), ("symptom", "Overheating", []), ("cause", "Overheating", None)], "type string, canonical_name string, aliases array<string>")
+    names = spark.createDataFrame([(1, "part", " Zündkerze: "), (2, "x", "July 2013"), (3, None, "700°C"), (4, "cause", "overheating"), (5, None, "OVERHEATING"), (6, "part", ""), (7, "part", None), (8, "part", "reed block"), (9, None, "150 hours"), (10, None, "page 12")], "id int, type string, name string")
+    got = {r.id: (r.canonical, r.node_type, r.reason) for r in normalize.normalize_entities(names, ents, key_cols=["id"], name_col="name", type_col="type").collect()}
+    assert got[1] == ("Spark Plug", "part", "") and got[2][2] == "noise" and got[3] == ("700°C", "spec", "") and got[4][1] == "cause" and got[5][1] == "symptom"
+    assert got[6][2] == got[7][2] == "empty" and got[8] == ("Reed block", "part", "") and got[9][1] == "spec" and got[10][2] == "noise"
+
+
+def test_more_text_and_store(spark):
+    df = spark.createDataFrame([("Why is the engine overheating?",), ("what is the wear",)], "q string")
+    assert [r.s for r in df.select(tx.symptom_of(F.col("q")).alias("s")).collect()] == ["overheating", "wear"]
+    v = spark.createDataFrame([("a b a",), ("",), (None,)], "t string").select(tx.hash_embedding(F.col("t")).alias("v")).collect()
+    assert abs(sum(x * x for x in v[0].v) - 1) < 1e-9 and v[1].v is None and v[2].v is None
+    fb = spark.createDataFrame([("q", "  a correction that is long enough  "), ("q", "short"), ("q", None)], "question string, correction string")
+    assert store.corrections_as_chunks(fb).count() == 1
+    log = spark.createDataFrame([("a", "x", False, 1), ("a", "x", True, 2), ("b", "y", False, 3)], "question string, reason string, resolved boolean, seq int")
+    assert [r.question for r in store.open_gaps(log).collect()] == ["b"]
+    rep = store.answer_report(spark.createDataFrame([(1, "q?", "a.")], "qid int, question string, answer string"), spark.createDataFrame([(1, 2, "g"), (1, 1, "f")], "qid int, no int, label string"))
+    assert rep.first().report.endswith("[1] f\n[2] g")

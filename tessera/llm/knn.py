@@ -146,6 +146,7 @@ def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef
     it hasn't opened, and keeps the ``ef`` best seen. A query is done when it has opened all that it keeps."""
     n_q, n = len(q), len(x)
     seen = np.zeros((n_q, n), bool)
+    seen_flat = seen.reshape(-1)
     rows = np.arange(n_q)
     ids = np.full((n_q, ef), -1, np.int64)
     sims = np.full((n_q, ef), -2, np.float32)
@@ -172,21 +173,24 @@ def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef
         np.put_along_axis(sub, pick, True, 1)
         opened[active] = sub
         nodes = np.where(ok, np.take_along_axis(ids[active], pick, 1), -1)
-        nb = links[np.maximum(nodes, 0)].astype(np.int64)
-        nb[nodes < 0] = NONE
-        nb = nb.reshape(len(active), -1)
-        r, c = np.nonzero(nb != NONE)
-        node = nb[r, c]
-        new = ~seen[active[r], node]
-        r, node = r[new], node[new]
-        key = np.unique(r * n + node)
-        r, node = key // n, key % n
-        seen[active[r], node] = True
+        rs, ns = [], []
+        for j in range(nodes.shape[1]):  # one opened point at a time: its links are distinct, so none comes twice
+            at = np.flatnonzero(nodes[:, j] >= 0)
+            nb = links[nodes[at, j]]
+            i, c = np.nonzero(nb != NONE)
+            r, node = at[i], nb[i, c].astype(np.int64)
+            flat = active[r] * n + node
+            new = ~seen_flat[flat]
+            seen_flat[flat[new]] = True
+            rs.append(r[new])
+            ns.append(node[new])
+        r, node = np.concatenate(rs), np.concatenate(ns)
         if not len(r):
             continue
         d = np.einsum("ed,ed->e", q[active[r]], x[node])
         # only what beats the worst kept is worth merging
-        good = d > sims[active].min(axis=1)[r]
+        good = np.flatnonzero(d > sims[active].min(axis=1)[r])
+        good = good[np.argsort(r[good], kind="stable")]
         r, node, d = r[good], node[good], d[good]
         if not len(r):
             continue
@@ -359,7 +363,8 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, *, k: int = 10, dim: in
         return out
 
     near_type = "array<struct<c:float,p:bigint>>"
-    made = home.select("s", "part", "p", "x").groupBy("s", "part").applyInPandas(make, f"p bigint, near {near_type}, s int, part int, graph binary, names binary")
+    spread = max(1, min(4096, 4 * sum(parts.values())))  # by number, so that small shards aren't put into one task
+    made = home.select("s", "part", "p", "x").repartition(spread, "s", "part").groupBy("s", "part").applyInPandas(make, f"p bigint, near {near_type}, s int, part int, graph binary, names binary")
     made = cut(made)
     own = made.where("p IS NOT NULL").select("p", "near")
     graphs = made.where("graph IS NOT NULL").select("s", "part", "graph", "names")
@@ -375,7 +380,7 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, *, k: int = 10, dim: in
         idx, sim = graph.search(np.stack([np.frombuffer(r, np.float32) for r in left["x"]]), k, ef)
         return pd.DataFrame({"p": left["p"].to_numpy(), "near": _near(names, idx, sim)})
 
-    other = visits.groupBy("s", "part").cogroup(graphs.groupBy("s", "part")).applyInPandas(look, f"p bigint, near {near_type}")
+    other = visits.repartition(spread, "s", "part").groupBy("s", "part").cogroup(graphs.repartition(spread, "s", "part").groupBy("s", "part")).applyInPandas(look, f"p bigint, near {near_type}")
     best = lambda a: F.slice(F.sort_array(a, asc=False), 1, k)
     per_point = own.unionByName(other).groupBy("p").agg(best(F.flatten(F.collect_list("near"))).alias("near"))  # probes lists of k
     if least_cosine > -1:

@@ -55,9 +55,20 @@ def sentences(text: str | None) -> list[str]:
     return out
 
 
+_GRAIN = 1 << 24
+
+
+def thinned(df: DataFrame, key: Column, limit: int, total: int, seed: int = 17) -> DataFrame:
+    """Rows of the smallest hashed keys, somewhat more than ``limit`` of ``total``: what the tasks of a sample need to
+    send, so that it doesn't grow with their number."""
+    share = min(1.0, (limit + 6 * limit**0.5 + 50) / max(1, total))
+    return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(_GRAIN)) <= int(share * _GRAIN))
+
+
 def sample_rows(df: DataFrame, key: Column, limit: int, seed: int = 17) -> pd.DataFrame:
     """At most ``limit`` rows for fitting, the same ones on each run: those of the smallest hashed key."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(limit).toPandas()
+    some = thinned(df, key, limit, df.select(key).count(), seed)
+    return some.orderBy(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(_GRAIN)), key).limit(limit).toPandas()
 
 
 def over_batches(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .common import thinned
 
 NONE = 0xFFFF  # no neighbour; a shard has fewer rows than this
 
@@ -333,7 +334,7 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, *, k: int = 10, dim: in
     merged = partial.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.sum("n").alias("n"), F.min("x").alias("x"))
     merged = cut(merged.withColumn("p", F.monotonically_increasing_id()))  # a point's number, fixed by writing it
     total = merged.count()
-    sample = merged.select("key", "x").orderBy(F.xxhash64("key"), "key").limit(sample_rows).toPandas()
+    sample = thinned(merged.select("key", "x"), F.col("key"), sample_rows, total).orderBy("key").limit(sample_rows).toPandas()  # keys are hashes
     xs = np.stack([np.frombuffer(r, np.float32) for r in sample["x"]]) if len(sample) else np.zeros((0, dim), np.float32)
     router = choose_router(xs, total, k=k, shard_rows=shard_rows, most_shards=most_shards)
     shared = spark.sparkContext.broadcast(router)  # at most most_shards centres

@@ -2,7 +2,7 @@
 
 Headers are lines that repeat, give or take misread characters and numbers, at page edges of the corpus; page numbers
 are recognised by their form. Broken words are joined and misread ones replaced by what the corpus's own vocabulary
-knows. Both statistics cover all rows.
+knows. Both statistics cover all rows. Word counts stay in tables: every text gets by join what it needs of them.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
+from ..session import cut
 from .common import over_batches
 
 _HYPHENS = "-‐¬­—"
@@ -96,15 +98,10 @@ def header_signatures(texts: DataFrame, text_col: str, *, least_edges: int = 3,
 _WORD_JAVA = r"(?<![\p{L}\d])\p{L}+(?:[-'’]\p{L}+)*(?![\p{L}\d])"
 
 
-def vocabulary(texts: DataFrame, text_col: str, *, least_count: int = 3, least_rate: float = 1e-6) -> dict[str, int]:
-    """Words (lower case) with their counts over all rows. A word must occur ``least_count`` times and make up ``least_rate`` of
-    all words, so there are at most 1 / ``least_rate`` of them however large the corpus is."""
+def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
+    """``w`` (lower case), ``n``: every word with its count over all rows."""
     words = F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(_WORD_JAVA), F.lit(0)))
-    counts = texts.select(words.alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    kept = counts.crossJoin(F.broadcast(total)).where((F.col("n") >= least_count) & (F.col("n") >= least_rate * F.col("total")))  # one row
-    got = kept.select("w", "n").toPandas()
-    return dict(zip(got["w"], got["n"].astype(int)))
+    return texts.select(words.alias("w")).groupBy("w").agg(F.count("*").alias("n"))
 
 
 _CLASSES = str.maketrans({"1": "i", "!": "i", "|": "i", "l": "i", "í": "i", "ì": "i", "0": "o", "ó": "o", "ò": "o", "5": "s", "6": "b", "8": "b", "ß": "b", "e": "c", "é": "c", "è": "c", "f": "t", "u": "n", "v": "n", "ú": "n", "ù": "n"})
@@ -136,40 +133,24 @@ _NEXT = re.compile(r"^\s*([\w!'’]+)")
 
 @dataclass
 class Repairer:
-    """Repairs texts with the corpus's vocabulary and headers."""
+    """Repairs texts with the corpus's headers and what ``knows`` was given of its vocabulary."""
 
-    counts: dict[str, int]
     headers: dict[str, int]
-    ratio: int = 20
 
     def __post_init__(self) -> None:
-        self.by_skeleton: dict[str, str] = {}
-        for w, n in self.counts.items():
-            k = skeleton(w)
-            if n > self.counts.get(self.by_skeleton.get(k, ""), 0):
-                self.by_skeleton[k] = w
-        self.memory: dict[str, str | None] = {}
+        self.memory: dict[tuple[str, str], bool] = {}
+        self.knows(())
+
+    def knows(self, hints) -> None:
+        """What the vocabulary says on the next text: see ``text_hints``."""
+        parts = [h.split("\t") for h in hints]
+        self.readings = {p[1]: p[2] for p in parts if p[0] == "r"}
+        self.pairs = {(p[1], p[2]): tuple(map(int, p[3:])) for p in parts if p[0] == "j"}
 
     def reading(self, token: str) -> str | None:
         """The word that a misread token stands for, None if it isn't misread."""
-        if token in self.memory:
-            return self.memory[token]
-        if len(self.memory) > 500_000:
-            self.memory.clear()
-        w, out = token.lower(), None
-        letters = sum(c.isalpha() for c in w)
-        if len(w) >= 3 and letters >= 2 and letters >= 0.5 * len(w) and not re.search(r"\d\d", w) and not w[0].isdigit() | w.endswith("!"):
-            own = self.counts.get(w, 0)
-            right = self._near(w)
-            if right and right != w:
-                need = self.ratio * (1 if len(w) >= 5 else 5)
-                if self.counts[right] >= need * max(own, 0.15) and not swapped(w, right) and plain(w) != plain(right):
-                    out = right
-        self.memory[token] = out = self._cased(token, out) if out else None
-        return out
-
-    def _near(self, w: str) -> str | None:
-        return self.by_skeleton.get(skeleton(w))
+        out = self.readings.get(token.lower())
+        return self._cased(token, out) if out else None
 
     @staticmethod
     def _cased(token: str, word: str) -> str:
@@ -182,11 +163,10 @@ class Repairer:
         a, b = head.lower(), tail.lower()
         if sign != "-":
             return head + tail
-        if b in _AFTER_SUSPENDED and self.counts.get(a + b, 0) == 0:
+        one, two, near = self.pairs.get((a, b), (0, 0, 0))
+        if b in _AFTER_SUSPENDED and one == 0:
             return None
-        one, two = self.counts.get(a + b, 0), self.counts.get(f"{a}-{b}", 0)
-        if one == 0 and (near := self._near(a + b)):
-            one = self.counts[near] * 0.5
+        one = one or near * 0.5
         if two > one:
             return f"{head}-{tail}"
         if one == 0 and (tail[0].isupper() or tail[0].isdigit()):
@@ -249,7 +229,7 @@ class Repairer:
         if now:
             paragraphs.append(now)
         body = "\n\n".join(paragraphs)
-        misread = {t: r for t in _TOKEN.findall(body) if (r := self.reading(t)) is not None}
+        misread = {t: r for t in _TOKEN.findall(body) if (r := self.reading(t)) is not None} if self.readings else {}
         # short words that look like others aren't proof by themselves
         if not (headers or pages or joined) and not any(len(t) >= 5 or re.search(r"\w[\d!]|[\d!]\w", t) for t in misread):
             misread = {}
@@ -284,30 +264,127 @@ def _few_edits(a: str, b: str, most: int) -> bool:
     return row[-1] <= most
 
 
-def repair_scans(df: DataFrame, key_cols: list[str], text_col: str, *, corpus: DataFrame | None = None) -> DataFrame:
+class Prober(Repairer):
+    """Goes through a text as a repairer does, and notes what it will have to ask the vocabulary."""
+
+    def ask(self, text: str) -> tuple[list[tuple[str, str]], list[str]]:
+        """Pairs (head, tail) broken at a hyphen, and the tokens that joining them can make, all in lower case."""
+        self.pairs_met, self.made, self.ends = set(), set(), []
+        body = self.repair(text)[0] + " "
+        self.made.update(set(_TOKEN.findall(body)).difference(_TOKEN.findall(_MARK.sub("\n", text) + " ")))
+        return sorted(self.pairs_met), sorted({t.lower() for t in self.made})
+
+    def joined(self, head: str, sign: str, tail: str) -> str:
+        # a line of one broken word only: the head depends on how the word before it was joined
+        heads = [head, *(e for e in self.ends if head != e and head.endswith(e.lstrip("_0123456789!'’")))]
+        for h in heads:
+            if sign == "-" and (letters := re.search(r"[^\W\d_].*", h)):
+                self.pairs_met.add((letters[0].lower(), tail.lower()))
+            self.made.update(_TOKEN.findall(f"{h}{tail} "))
+        self.ends = [tail, *(h + tail for h in heads)]
+        return head + tail
+
+
+#: A superset of _TOKEN's matches, and with _variants also of what it matches at a text's end or before a stroke.
+_TOKEN_JAVA = r"(?<![\p{L}\p{N}_/\-!.])[\p{L}\p{N}_!]+(?:['’][\p{L}\p{N}_!]+)?"
+#: A line end after a hyphen
+_BREAK_JAVA = rf"[{_HYPHENS}][\s\p{{Z}}\x85]*(?:\n|\[PAGE_BREAK:)"
+
+
+def _variants(t: Column) -> Column:
+    """A token and its beginnings at which a match may end."""
+    cuts = [F.regexp_replace(t, p, "") for p in (r"['’].*$", r"!+$", r"![^!]*$", r"!.*$")]
+    return F.when(t.rlike("[!'’]"), F.array_distinct(F.array(t, *cuts))).otherwise(F.array(t))
+
+
+def _askable(t: Column) -> Column:
+    return (F.length(t) >= 3) & t.rlike(r"\p{L}") & ~t.rlike(r"\p{Nd}\p{Nd}|^\p{N}|!$")
+
+
+@F.pandas_udf(StringType())
+def _skeleton(words: pd.Series) -> pd.Series:
+    return words.map(skeleton)
+
+
+@F.pandas_udf(BooleanType())
+def _misreadable(words: pd.Series, rights: pd.Series) -> pd.Series:
+    letters = words.map(lambda w: sum(c.isalpha() for c in w))
+    ok = [n >= 2 and n >= 0.5 * len(w) and not swapped(w, r) and plain(w) != plain(r) for w, r, n in zip(words, rights, letters)]
+    return pd.Series(ok, index=words.index, dtype=bool)
+
+
+def readings(tokens: DataFrame, counts: DataFrame, known: DataFrame, *, least_count: int, ratio: int = 20) -> DataFrame:
+    """``w``, ``right``: the misread ones of the distinct ``tokens`` (w) with the word they stand for, which occurs ``ratio`` times as
+    often as the token itself (five times that for short ones). Under ``least_count`` times, a token is no word of its own:
+    misreadings come once or twice too."""
+    met = tokens.withColumn("k", _skeleton("w")).join(known, "k").where("right != w").join(counts.select("w", F.when(F.col("n") >= least_count, F.col("n")).alias("own")), "w", "left")
+    need = F.when(F.length("w") >= 5, ratio).otherwise(5 * ratio) * F.greatest(F.coalesce("own", F.lit(0)).cast("double"), F.lit(0.15))
+    return met.where(F.col("right_n") >= need).where(_misreadable("w", "right")).select("w", "right")
+
+
+def text_hints(texts: DataFrame, counts: DataFrame, headers, *, least_count: int = 3, small: int = 500_000) -> DataFrame:
+    """``_h``, ``_hints``: for every text (``_h``: its hash, ``_text``) that needs any, "r, token, word" for its misread tokens and "j, head,
+    tail, count joined, count with hyphen, count of the nearest word" for its broken words, tab-separated.
+
+    All distinct tokens are looked up in all of ``counts`` by joins; a word is a reading from ``least_count`` on, however
+    large the corpus is. ``small`` only says up to where the found readings are sent to the texts instead of shuffled."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(headers)
+
+    def probe(batches):
+        tool = Prober(shared.value)
+
+        def one(b: pd.DataFrame) -> pd.DataFrame:
+            rows = [tool.ask(t) for t in b["_text"].tolist()]
+            return pd.DataFrame({"_h": b["_h"], "pairs": [["\t".join(p) for p in r[0]] for r in rows], "made": [r[1] for r in rows]})
+
+        yield from over_batches(one)(batches)
+
+    broken = cut(texts.where(F.col("_text").rlike(_BREAK_JAVA)).mapInPandas(probe, "_h string, pairs array<string>, made array<string>"))
+    raw = texts.select("_h", F.explode(F.regexp_extract_all(F.lower("_text"), F.lit(_TOKEN_JAVA), F.lit(0))).alias("t")).unionByName(broken.select("_h", F.explode("made").alias("t")))
+    tokens = raw.select("_h", F.explode(_variants(F.col("t"))).alias("w")).where(_askable(F.col("w")))
+    known = counts.where(F.col("n") >= least_count).groupBy(_skeleton("w").alias("k")).agg(F.max(F.struct("n", "w")).alias("b")).select("k", F.col("b.w").alias("right"), F.col("b.n").alias("right_n"))
+    known = cut(known)
+    found = cut(readings(tokens.select("w").distinct(), counts, known, least_count=least_count))
+    misread = tokens.join(F.broadcast(found) if found.count() <= small else found, "w").select("_h", F.concat_ws("\t", F.lit("r"), "w", "right").alias("x"))
+
+    pairs = broken.select("_h", F.explode("pairs").alias("p"))
+    both = pairs.select("p").distinct().withColumns({"one": F.regexp_replace("p", "\t", ""), "two": F.regexp_replace("p", "\t", "-")}).withColumn("k", _skeleton("one"))
+    for c in ("one", "two"):
+        both = both.join(counts.select(F.col("w").alias(c), F.col("n").alias(f"n_{c}")), c, "left")
+    both = both.join(known, "k", "left").select("p", *(F.coalesce(c, F.lit(0)).cast("string").alias(c) for c in ("n_one", "n_two", "right_n")))
+    broken_words = pairs.join(both, "p").select("_h", F.concat_ws("\t", F.lit("j"), "p", "n_one", "n_two", "right_n").alias("x"))
+    return misread.unionByName(broken_words).groupBy("_h").agg(F.collect_set("x").alias("_hints"))
+
+
+def repair_scans(df: DataFrame, key_cols: list[str], text_col: str, *, corpus: DataFrame | None = None, least_count: int = 3) -> DataFrame:
     """Rows whose text shows scan noise, with the repaired running text: ``key_cols``, ``repaired``, ``n_headers``,
     ``n_page_numbers``, ``n_joined``, ``n_corrected``. Vocabulary and headers come from all rows of ``corpus`` (default: ``df``).
 
-    Two aggregations (words, line signatures) and one pass without shuffle. Null, empty and clean texts give no row;
-    equal rows come out alike; columns other than keys and text aren't returned; an empty table gives an empty result.
+    Aggregations of words, tokens and line signatures, joins of distinct ones, and one join of the texts with their
+    hints. Null, empty and clean texts give no row; equal rows come out alike; columns other than keys and text aren't
+    returned; an empty table gives an empty result.
     """
     spark = df.sparkSession
     corpus = df if corpus is None else corpus
     base = corpus.select(F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
-    shared = spark.sparkContext.broadcast((vocabulary(base, "_text"), header_signatures(base, "_text")))  # bounded: see there
+    headers = header_signatures(base, "_text")
+    shared = spark.sparkContext.broadcast(headers)  # bounded: see there
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key_cols).schema), "repaired string, n_headers int, n_page_numbers int, n_joined int, n_corrected int"])
+    rows = df.select(*key_cols, F.col(text_col).alias("_text")).where(F.col("_text") != "").withColumn("_h", F.md5("_text"))
+    hints = text_hints(rows.select("_h", "_text"), cut(word_counts(base, "_text")), headers, least_count=least_count)
 
     def run(batches):
-        tool = Repairer(*shared.value)
+        tool = Repairer(shared.value)
 
         def one(b: pd.DataFrame) -> pd.DataFrame:
             at, rows = [], []
-            for i, t in enumerate(b["_text"].tolist()):
-                if t:
-                    got = tool.repair(t)
-                    if any(got[1:]):
-                        at.append(i)
-                        rows.append(got)
+            for i, (t, x) in enumerate(zip(b["_text"].tolist(), b["_hints"].tolist())):
+                tool.knows(() if x is None else x)
+                got = tool.repair(t)
+                if any(got[1:]):
+                    at.append(i)
+                    rows.append(got)
             out = b[key_cols].iloc[at].reset_index(drop=True)
             for k, name in enumerate(("repaired", "n_headers", "n_page_numbers", "n_joined", "n_corrected")):
                 out[name] = [r[k] for r in rows] if k == 0 else pd.array([r[k] for r in rows], dtype="int32")
@@ -315,4 +392,4 @@ def repair_scans(df: DataFrame, key_cols: list[str], text_col: str, *, corpus: D
 
         yield from over_batches(one)(batches)
 
-    return df.select(*key_cols, F.col(text_col).alias("_text")).where(F.col("_text").isNotNull()).mapInPandas(run, schema)
+    return rows.join(hints, "_h", "left").drop("_h").mapInPandas(run, schema)

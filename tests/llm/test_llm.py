@@ -97,6 +97,21 @@ def test_scan_repair(spark):
     assert [scan_noise.page_line(x) for x in ("Seite 3 von 9", "[12]", "12 / 30", "Se1te 4", "then 5 Nm", "358.", "[1] cf. note")] == [True, True, True, True, False, False, False]
 
 
+def test_rare_words_of_a_large_corpus(spark):
+    """Words under a millionth of the corpus are words too: as readings, as what they are, and joined."""
+    filler = spark.range(80).select(F.col("id").cast("int").alias("id"), F.repeat(F.lit("The valve opens and the pump runs on. "), 12_500).alias("t"))  # 8 million words
+    rows = [(1000 + i, f"The zwischenwelle turns {i}. Hans went home with an e-mailer.") for i in range(5)] + [(2000 + i, "Das Haus steht.") for i in range(60)]
+    rows += [(1, "The zwischenwe1le turns.\n– 4 –\nHans went home by day."), (2, "He bought an e-\nmailer and more"), (3, "A zwischen-\nwe1le turns here.")]
+    got = {r.id: r.repaired for r in scan_noise.repair_scans(filler.unionByName(spark.createDataFrame(rows, "id int, t string")), ["id"], "t").collect()}
+    assert got == {1: "The zwischenwelle turns. Hans went home by day.", 3: "A zwischenwelle turns here."}
+
+
+def test_hints_cover_chains_of_breaks():
+    tool = scan_noise.Prober({})
+    pairs, made = tool.ask("the cyl-\nin-\nder ran")
+    assert set(pairs) == {("cyl", "in"), ("cylin", "der"), ("in", "der")} and {"cylin", "cylinder", "inder"} <= set(made)
+
+
 # --- 4 ---
 
 LIST = [

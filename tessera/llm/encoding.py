@@ -10,7 +10,7 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import fnv, over_batches
 
 # Letters and signs beyond ASCII that texts in English, German, French, Spanish, Italian and Portuguese use.
@@ -161,7 +162,7 @@ def _kinds(word: str) -> str:
 class ChainModel:
     weights: np.ndarray  # (_DIM, classes) float32
     bias: np.ndarray
-    lexicon: frozenset[str] = frozenset()  # sound words it was trained on
+    lexicon: dict[str, int] = field(default_factory=dict)  # sound words with their counts: those it was trained on, or all that are asked for
 
     def scores(self, words: list[str]) -> np.ndarray:
         starts, idx = _features(words)
@@ -187,14 +188,21 @@ def _sound_examples(rng: random.Random) -> list[str]:
     return out
 
 
+def _clean(word: str) -> bool:
+    return plausible(word) and not any(invert(word, c) for c in CHAINS[:10])
+
+
 def fit_chain_model(words: dict[str, int], *, max_words: int = 1200, epochs: int = 5, seed: int = 7) -> ChainModel:
     """Train on at most ``max_words`` clean words (the keys of ``words``), each garbled by every chain that it can go
     through. Without any words a small built-in alphabet sample serves."""
     rng = random.Random(seed)
-    clean = sorted(w for w in words if plausible(w) and not any(invert(w, c) for c in CHAINS[:10]))
+    clean = sorted(filter(_clean, words))
     rng.shuffle(clean)
     clean = clean[:max_words]
-    lexicon = frozenset(bare(w) for w in clean if re.search(r"[^\W\d_]", w))
+    lexicon: dict[str, int] = {}
+    for w in clean:
+        if re.search(r"[^\W\d_]", w):
+            lexicon[bare(w)] = lexicon.get(bare(w), 0) + words[w]
     clean += [f"{a}{c}{b}" for c in LETTERS for a in ("aa", "A", "") for b in ("aa", "a", "")] + [f"{c.upper()}aa" for c in LETTERS if c != "ß"]
     clean += [f"{a}{s}{b}" for s in "\xad¬‐—–" for a in ("aa", "A", "aé", "ü") for b in ("", "aa")]
     clean += [f"{s}aa" for s in "“„«‘¿¡"] + [f"aa{s}" for s in "”“»’,."] + ["–", "—", "°C", "00°C", "±0,0", "n°", "n.º", "µm", "00µm", "·", "aa…"]
@@ -291,7 +299,9 @@ class Restorer:
             if chain[0] == "utf-8":
                 if p[k] >= self.floor:
                     return True, back, ">".join(chain), float(p[k])
-            elif bare(word) in self.model.lexicon or bare(back) not in self.model.lexicon and (plausible(word) or len(bare(back)) == 1 and not bare(back).isascii()):
+            own, right = self.model.lexicon.get(bare(word), 0), self.model.lexicon.get(bare(back), 0)
+            # a word that looks sound is one unless its original is at least twice as frequent
+            if own and right < 2 * own or not right and (plausible(word) or len(bare(back)) == 1 and not bare(back).isascii()):
                 continue
             else:
                 same[back] = same.get(back, 0.0) + float(p[k])
@@ -331,14 +341,41 @@ def plausible_after(word: str, chain: tuple[str, ...]) -> bool:
     return plausible(word)
 
 
-def frequent_words(df: DataFrame, text_cols: list[str], *, limit: int) -> dict[str, int]:
-    """The ``limit`` most frequent words with a character beyond ASCII, counted over all rows: the training words."""
+def word_counts(df: DataFrame, text_cols: list[str]) -> DataFrame:
+    """``w``, ``count``: the words with a character beyond ASCII, counted over all rows."""
     token = r"(?<![^\x00-\x20/_|=()\[\]])[^\x00-\x20/_|=()\[\]\x7f-\x{10FFFF}]*+[^\x00-\x7F][^\x00-\x20/_|=()\[\]]*+"
     words = F.explode(F.flatten(F.array(*[F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(token), F.lit(0)) for c in text_cols])))
-    counted = df.select(words.alias("w")).groupBy("w").count()
+    return df.select(words.alias("w")).groupBy("w").count()
+
+
+def frequent_words(counted: DataFrame, *, limit: int) -> dict[str, int]:
+    """The ``limit`` most frequent of ``counted``: the training words."""
     return {r["w"]: r["count"] for r in counted.orderBy(F.desc("count"), "w").limit(limit).collect()}
 
 
+def asked_counts(counted: DataFrame) -> dict[str, int]:
+    """Counts over all rows of the sound words that tell whether some word is another garbled through a single-byte chain:
+    of originals that occur, and of the words that would come from them. No other word's count matters."""
+
+    def sound(b: pd.DataFrame) -> pd.DataFrame:
+        b = b[[_clean(w) and re.search(r"[^\W\d_]", w) is not None for w in b["w"]]]
+        return pd.DataFrame({"x": b["w"].map(bare).astype(str), "n": b["count"]})
+
+    def asked(b: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for w in b["w"]:
+            backs = {bare(back) for c in CHAINS if c[0] not in ("utf-8", "lost") and (back := invert(w, c)) and plausible_after(back, c)}
+            rows += [(bare(w), x) for x in sorted(backs)] or []
+            if backs and not plausible(w):
+                rows.append((bare(w), bare(w)))
+        return pd.DataFrame(rows, columns=["own", "x"], dtype=str)
+
+    known = cut(counted.mapInPandas(over_batches(sound), "x string, n bigint").groupBy("x").agg(F.sum("n").alias("n")))
+    pairs = counted.mapInPandas(over_batches(asked), "own string, x string").distinct().join(known, "x")
+    needed = pairs.select(F.explode(F.array("own", "x")).alias("x")).distinct()
+    return {r["x"]: r["n"] for r in known.join(needed, "x").collect()}
+
+
 def find_garbled(df: DataFrame, key_cols: list[str], text_cols: list[str], *, model: ChainModel | None = None, train_words: int = 1200) -> DataFrame:
     """Fields whose text was, at least in part, read in a wrong encoding.
 
@@ -347,8 +384,8 @@ def find_garbled(df: DataFrame, key_cols: list[str], text_cols: list[str], *, mo
     fields that are null, empty or sound give none. Equal rows are judged alike and kept each. Columns other than
     ``key_cols`` and ``text_cols`` are ignored, so their names can't clash. An empty table gives an empty result.
 
-    ``train_words`` bounds the training words (the corpus's most frequent clean ones). The scan is one pass without
-    shuffle: rows without any character beyond ASCII never leave the JVM.
+    ``train_words`` bounds the training words (the corpus's most frequent clean ones), not the words looked up, which are
+    counted over all rows. The scan is one pass without shuffle: rows without any character beyond ASCII never leave the JVM.
     """
     spark = df.sparkSession
     odd = [F.col(c).rlike(r"[^\x00-\x7F]") for c in text_cols]
@@ -356,9 +393,11 @@ def find_garbled(df: DataFrame, key_cols: list[str], text_cols: list[str], *, mo
     for o in odd[1:]:
         any_odd = any_odd | o
     rows = df.where(any_odd).select(*key_cols, *text_cols)
+    counted = cut(word_counts(rows, text_cols))
     if model is None:
-        model = fit_chain_model(frequent_words(rows, text_cols, limit=train_words), max_words=train_words)
-    shared = spark.sparkContext.broadcast(model)  # 2 MB whatever the input
+        model = replace(fit_chain_model(frequent_words(counted, limit=train_words), max_words=train_words), lexicon={})
+    model = replace(model, lexicon=model.lexicon | asked_counts(counted))
+    shared = spark.sparkContext.broadcast(model)  # 2 MB and the words asked for
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*key_cols).schema), "field_name string", "garbled string", "restored string", "chains array<string>"])
 
     def run(batches):

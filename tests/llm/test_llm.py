@@ -65,6 +65,19 @@ def test_garbled(spark):
     assert encoding.find_garbled(df.limit(0), ["id"], ["a", "b"]).count() == 0
 
 
+def test_originals_are_looked_up_over_all_rows(spark):
+    """An original outside the training words counts, and a garbled word isn't sound for occurring."""
+    df = spark.createDataFrame([("Gehäuse",)] * 6 + [("Gehõuse",), ("Gehõuse",), ("größer",)], "t string")
+    asked = encoding.asked_counts(encoding.word_counts(df, ["t"]))
+    assert asked["gehäuse"] == 6 and asked["gehõuse"] == 2
+    model = encoding.replace(encoding.fit_chain_model({"für": 5}, epochs=1), lexicon=asked)
+    p = np.full(len(encoding.CHAINS) + 1, 0.001)
+    p[encoding.CHAINS.index(("cp1252", "cp850"))] = 0.9
+    judge = encoding.Restorer(model).judge
+    assert judge("Gehõuse", p)[:2] == (True, "Gehäuse") and judge("Gehäuse", p)[0] is False
+    assert encoding.Restorer(encoding.replace(model, lexicon={"gehäuse": 6, "gehõuse": 4})).judge("Gehõuse", p)[0] is False
+
+
 def test_classifier_held_out():
     rng = np.random.default_rng(2)
     words = sorted({f"{a}{c}{b}" for a in ("Pr", "ge", "ma", "lo") for c in "äöüßéèàñçóí" for b in ("fung", "ter", "no", "lle")})

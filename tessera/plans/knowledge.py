@@ -407,6 +407,15 @@ def x19_measures(spark, d):
 Q["x19_measures"] = x19_measures
 
 
+def x19_conflicts(spark, d):
+    """Units in which the documents on one topic give different numbers, over the measures of all chunks."""
+    chunks = table(spark, d, "chunks").select("id", "doc_id", "content", F.col("metadata.topic").alias("topic"))
+    return trust.conflicts(trust.measures(chunks, ["id", "doc_id", "topic"], "content"), group="topic", source="doc_id", order=["id", "pos"])
+
+
+Q["x19_conflicts"] = x19_conflicts
+
+
 @query(r"""SELECT c.id, CASE WHEN trim(coalesce(c.content, '')) = '' THEN false ELSE len(list_filter(regexp_extract_all(c.content, '\d{3,}(?:[.,]\d+)?|\d+[.,]\d+'), lambda n: NOT contains(coalesce(p.text, ''), n))) = 0 END AS grounded
 FROM chunks c LEFT JOIN (SELECT doc_id, string_agg(text, ' ' ORDER BY version) AS text FROM parsed_docs GROUP BY doc_id) p ON p.doc_id = c.doc_id""")
 def x20_grounded(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.functions.units import header_unit, numbers_of, parse_unit, pick_number, remark_units, split_cell
 from tessera.operators import answers, chunking, dedup, graph, quantities, retrieval, store, trust
+from tessera.plans import knowledge
 from tessera.sources import files
 from tessera.streaming import pipelines
 
@@ -156,6 +157,13 @@ def test_trust(spark):
     assert len(got) == 1 and got[0].spread == 10 and got[0].n_sources == 2
 
 
+def test_conflicts_of_all_chunks(spark, tmp_path):
+    rows = [(1, "a", "The maximum limit is 220 °C.", ("t1",)), (2, "b", "Maximum 210 °C limit.", ("t1",)), (3, "c", "Maximum 300 °C limit.", ("t2",)), (4, "c", "Rated pressure 3.5 bar.", ("t2",)), (5, "a", None, ("t2",)), (6, "d", "Rated pressure 4,1 bar.", ("t2",))]
+    spark.createDataFrame(rows, "id long, doc_id string, content string, metadata struct<topic:string>").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = knowledge.Q["x19_conflicts"](spark, str(tmp_path)).collect()
+    assert sorted((r.topic, r.unit, r.n_sources, r.low, r.high) for r in got) == [("t1", "°c", 2, 210, 220), ("t2", "bar", 2, 3.5, 4.1)]
+
+
 def test_store_and_answers(spark):
     old = spark.createDataFrame([("a", 1), ("a", 2)], "doc_id string, version int")
     new = spark.createDataFrame([("a", 10), ("a", 11), ("b", 12)], "doc_id string, at int")

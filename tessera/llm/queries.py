@@ -128,7 +128,7 @@ def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    near = knn.neighbours(table(spark, d, "chunks"), "id", "embedding")
+    near = knn.neighbours(table(spark, d, "chunks"), "id", "embedding", least_cosine=0.9 - 1e-6)  # lists are cut after the search, before they are shuffled
     pairs = near.select("id", F.explode(F.filter("near", lambda z: z["cosine"] >= 0.9)).alias("z"))
     return pairs.select(F.least("id", "z.id").alias("id_a"), F.greatest("id", "z.id").alias("id_b")).distinct()
 

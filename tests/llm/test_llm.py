@@ -230,15 +230,36 @@ def test_graph_search():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    g, idx, sim = knn.build(x[:2500], 10)
-    exact = np.argsort(-(x[:2500] @ x[:2500].T - 3 * np.eye(2500, dtype=np.float32)), axis=1)[:, :10]
-    assert (idx == exact).mean() > 0.999
-    got, _ = knn.Graph.unpack(g.pack()).search(x[2500:], 10, 48)
-    exact = np.argsort(-(x[2500:] @ x[:2500].T), axis=1)[:, :10]
+    g = knn.build(x[:2500])
+    assert [len(a) for a in g.links] == sorted((len(a) for a in g.links), reverse=True) and len(g.links) > 1 and all((a < len(a)).all() for a in g.links)
+    exact = np.argsort(-(g.x @ g.x.T - 3 * np.eye(2500, dtype=np.float32)), axis=1)[:, :10]
+    own, _ = g.search_own(10)
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(own, exact)]) > 0.97 and (own != np.arange(2500)[:, None]).all()
+    got, _ = g.search(x[2500:], 10)
+    exact = np.argsort(-(x[2500:] @ g.x.T), axis=1)[:, :10]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(got, exact)]) > 0.95
-    for n in (1, 2, 5):
-        g, idx, _ = knn.build(x[:n], 10)
-        assert idx.shape == (n, n - 1) and set(knn.Graph.unpack(g.pack()).search(x[:1], 10, 8)[0][0]) - {-1} == set(range(n))
+    assert all(len(set(r[r >= 0])) == (r >= 0).sum() for r in g.links[0])  # no link twice
+    for n in (0, 1, 2, 5):
+        g = knn.build(x[:n])
+        own, _ = g.search_own(10)
+        assert own.shape == (n, 10) and all(set(r) - {-1} == set(range(n)) - {i} for i, r in enumerate(own)) and set(g.search(x[:1], 10)[0][0]) - {-1} == set(range(n))
+
+
+def test_nested_centres():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r = knn.fit_router(x, 4000, k=10, shard_rows=40, most_cells=10)
+    assert len(r.centres) == 10 and len(r.residual) == 10
+    row, shard, part, home = r.visits(x, np.arange(4000))
+    assert (np.bincount(row[home]) == 1).all() and len(row) > 4000 and shard.max() < 100
+    best = np.argsort(-(x @ x.T - 3 * np.eye(4000)), axis=1)[:, :10]
+    own = np.full(4000, -1)
+    own[row[home]] = shard[home]
+    seen = [set() for _ in range(4000)]
+    for i, s in zip(row, shard):
+        seen[i].add(s)
+    assert np.mean([own[j] in seen[i] for i in range(4000) for j in best[i]]) > 0.85
 
 
 def test_neighbours(spark):

@@ -41,14 +41,14 @@ class Graph:
             entry = np.where(entry < 0, entry[:, :1], entry)
         return entry
 
-    def search(self, q: np.ndarray, k: int, ef: int = 56, *, entry: np.ndarray | None = None, budget: int = 32_000_000) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, k: int, ef: int = 40, *, entry: np.ndarray | None = None, budget: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
         """(points, products) of about the ``k`` best points for each query, best first; -1 where there are fewer. ``entry``:
         where to start on the ground (default: through the upper levels)."""
         n, ef = len(self.x), max(ef, k)
         idx, sim = np.full((len(q), k), -1, np.int64), np.full((len(q), k), -2, np.float32)
         if not n:
             return idx, sim
-        step = max(16, min(2048, budget // n))
+        step = max(64, min(1024, budget // n))
         for lo in range(0, len(q), step):
             b = q[lo : lo + step]
             start = self.descend(b) if entry is None else entry[lo : lo + step]
@@ -57,7 +57,7 @@ class Graph:
             idx[lo : lo + step, :w], sim[lo : lo + step, :w] = got[:, :w], s[:, :w]
         return idx, sim
 
-    def search_own(self, k: int, ef: int = 56) -> tuple[np.ndarray, np.ndarray]:
+    def search_own(self, k: int, ef: int = 40) -> tuple[np.ndarray, np.ndarray]:
         """For each point the ``k`` best others, by a search that starts at the point itself."""
         own = np.arange(len(self.x))
         idx, sim = self.search(self.x, k + 1, ef, entry=own[:, None])
@@ -65,6 +65,21 @@ class Graph:
         return np.take_along_axis(idx, others, 1), np.take_along_axis(sim, others, 1)
 
 
+_STEP = 2048  # products at a time, so that their vectors stay in the processor's cache
+
+
+def _products(q: np.ndarray, r: np.ndarray, x: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """q[r] · x[node] row by row."""
+    out = np.empty(len(r), np.float32)
+    a, b = np.empty((2, min(_STEP, len(r)), x.shape[1]), np.float32)
+    for lo in range(0, len(r), _STEP):
+        hi = min(lo + _STEP, len(r))
+        np.take(q, r[lo:hi], axis=0, out=a[: hi - lo], mode="clip")
+        np.take(x, node[lo:hi], axis=0, out=b[: hi - lo], mode="clip")
+        np.einsum("ed,ed->e", a[: hi - lo], b[: hi - lo], out=out[lo:hi])
+    return out
+
+
 def beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search for all queries in step: each round every query still at work opens the ``wide`` best points
     it hasn't opened, and keeps the ``ef`` best seen. A query is done when it has opened all that it keeps."""
@@ -107,7 +122,7 @@ def beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef:
         r, node = np.concatenate(rs), np.concatenate(ns)
         if not len(r):
             continue
-        d = np.einsum("ed,ed->e", q[active[r]], x[node])
+        d = _products(q, active[r], x, node)
         good = np.flatnonzero(d > sims[active].min(axis=1)[r])  # only what beats the worst kept is worth merging
         good = good[np.argsort(r[good], kind="stable")]
         r, node, d = r[good], node[good], d[good]
@@ -132,8 +147,8 @@ def diverse(x: np.ndarray, idx: np.ndarray, sim: np.ndarray, m: int) -> np.ndarr
     best of the rest. As an array with -1 where there are fewer."""
     n, k = idx.shape
     out = np.full((n, m), -1, np.int32)
-    for lo in range(0, n, 2048):
-        c, s = idx[lo : lo + 2048], sim[lo : lo + 2048]
+    for lo in range(0, n, 256):
+        c, s = idx[lo : lo + 256], sim[lo : lo + 256]
         v = x[np.maximum(c, 0)]
         between = np.matmul(v, v.transpose(0, 2, 1))
         kept = np.zeros(c.shape, bool)
@@ -142,7 +157,7 @@ def diverse(x: np.ndarray, idx: np.ndarray, sim: np.ndarray, m: int) -> np.ndarr
             kept[:, j] = (c[:, j] >= 0) & (nearest[:, j] < s[:, j])
             nearest = np.where(kept[:, j, None], np.maximum(nearest, between[:, j]), nearest)
         order = np.argsort(np.where(c < 0, 2, np.where(kept, 0, 1)), axis=1, kind="stable")[:, :m]
-        out[lo : lo + 2048, : order.shape[1]] = np.take_along_axis(c, order, 1)
+        out[lo : lo + 256, : order.shape[1]] = np.take_along_axis(c, order, 1)
     return out
 
 
@@ -174,7 +189,7 @@ def _link_back(x: np.ndarray, links: np.ndarray, new: np.ndarray, chosen: np.nda
         links[over] = diverse(x, cand, s, width)
 
 
-def build(x: np.ndarray, *, m: int = 16, ef: int = 48, batch: int = 256, seed: int = 13) -> Graph:
+def build(x: np.ndarray, *, m: int = 16, ef: int = 32, batch: int = 384, seed: int = 13) -> Graph:
     """The graph over the rows of ``x`` by layered insertion in batches: levels are drawn geometrically; from the top level
     down, a level's points come in batches, each point finds its candidates by searching the level as it is so far,
     entering through the finished level above, and besides among the at most ``batch`` points of its own batch. It links to
@@ -203,7 +218,7 @@ def build(x: np.ndarray, *, m: int = 16, ef: int = 48, batch: int = 256, seed: i
                 entry = upper.descend(q) if done >= above > 0 else np.zeros((len(q), 1), np.int64)
                 far, s = beam(x[:done], links[:done], q, entry, min(ef, done))
                 cand, sim = np.concatenate([cand, far], 1), np.concatenate([sim, s], 1)
-            best = np.argsort(-sim, axis=1, kind="stable")[:, : ef + m // 2]
+            best = np.argsort(-sim, axis=1, kind="stable")[:, :ef]
             chosen = diverse(x, np.take_along_axis(cand, best, 1), np.take_along_axis(sim, best, 1), m) if cand.shape[1] else np.full((len(q), m), -1, np.int32)
             links[done:end, :m] = chosen
             # links within the batch may already be mutual
@@ -271,7 +286,7 @@ def _means(x: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 10) ->
     return c.astype(np.float32)
 
 
-def fit_router(sample: np.ndarray, total: int, *, k: int, shard_rows: int, most_cells: int = 1024, coverage: float = 0.99, seed: int = 29) -> Router:
+def fit_router(sample: np.ndarray, total: int, *, k: int, shard_rows: int, most_cells: int = 1024, coverage: float = 0.98, seed: int = 29) -> Router:
     """Centres on the sample for shards of about ``shard_rows`` of ``total`` points, nested beyond ``most_cells``. The margin is
     such that ``coverage`` of the sample's own nearest neighbours lie in shards that are visited; the sample being a part
     of all points, these neighbours are farther apart than those to be found. Shards that the sample shows to
@@ -406,7 +421,7 @@ def _answer(table: pa.Table, k: int, dim: int, ef: int, least: float) -> pa.Tabl
     )
 
 
-def neighbours(df: DataFrame, id_col: str, vec_col: str, *, k: int = 10, dim: int = 64, shard_rows: int = 8192, sample_rows: int = 20_000, ef: int = 56, least_cosine: float = -1.0) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str, vec_col: str, *, k: int = 10, dim: int = 64, shard_rows: int = 8192, sample_rows: int = 20_000, ef: int = 40, least_cosine: float = -1.0) -> DataFrame:
     """``id`` and ``near``, an array of (cosine, id) of the k most similar other rows, best first; equal cosines by id.
 
     Null, all-zero and wrongly sized vectors are left out. Rows of one vector are one point of the graph, so a vector in

@@ -44,6 +44,30 @@ SELECT 'chunks', id FROM chunks
 WHERE metadata.chunk_type = 'prose' AND length(regexp_replace(content, '\[PAGE_BREAK:\d+\]', '', 'g')) > 850
 """
 
+# step by step: of each window the last boundary of the strongest kind
+P1_PIECES_SQL = r"""
+WITH RECURSIVE b AS (
+    SELECT source_table, row_id, t, length(t) AS n, length(t) <= 850 OR is_table AS whole FROM (
+        SELECT 'parsed_docs' AS source_table, parsed_id AS row_id, regexp_replace(text, '\[PAGE_BREAK:\d+\]', '', 'g') AS t, false AS is_table FROM parsed_docs
+        UNION ALL SELECT 'chunks', id, regexp_replace(content, '\[PAGE_BREAK:\d+\]', '', 'g'), coalesce(metadata.chunk_type, '') = 'table' FROM chunks) x
+    WHERE length(t) > 0),
+p AS (
+    SELECT source_table, row_id, 0 AS piece_no, 0 AS pos, CASE WHEN whole THEN n ELSE coalesce(
+        nullif(length(regexp_extract(left(t, 850), '(?s)^.{0,841}\S[ \t\r]?\n[ \t\r]{0,5}\n')), 0),
+        nullif(length(regexp_extract(left(t, 850), '(?s)^.*[.!?…][)\]»”“"'']{0,3}\s')), 0),
+        nullif(length(regexp_extract(left(t, 850), '(?s)^.*\S\s')), 0), 850) END AS len FROM b
+    UNION ALL
+    SELECT source_table, row_id, piece_no + 1, pos + len, CASE WHEN n - pos - len <= 750 THEN n - pos - len ELSE coalesce(
+        nullif(length(regexp_extract(w, '(?s)^.{0,741}\S[ \t\r]?\n[ \t\r]{0,5}\n')), 0),
+        nullif(length(regexp_extract(w, '(?s)^.*[.!?…][)\]»”“"'']{0,3}\s')), 0),
+        nullif(length(regexp_extract(w, '(?s)^.*\S\s')), 0), 750) END
+    FROM (SELECT p.*, b.n, substring(b.t, pos + len + 1, 750) AS w FROM p JOIN b USING (source_table, row_id) WHERE pos + len < b.n) q),
+c AS (SELECT source_table, row_id, piece_no, pos, substring(t, pos + 1, len) AS own, count(*) OVER (PARTITION BY source_table, row_id) AS n_pieces,
+             coalesce(lag(substring(t, pos + 1, len)) OVER (PARTITION BY source_table, row_id ORDER BY piece_no), '') AS before FROM p JOIN b USING (source_table, row_id)),
+r AS (SELECT *, CASE WHEN length(before) <= 100 THEN before WHEN length(regexp_replace(right(before, 100), '(?s)^\S*\s+(\S)', '\1')) >= 50 THEN regexp_replace(right(before, 100), '(?s)^\S*\s+(\S)', '\1') ELSE right(before, 100) END AS again FROM c)
+SELECT source_table, row_id, CAST(piece_no AS INT) AS piece_no, CAST(n_pieces AS INT) AS n_pieces, CAST(pos - length(again) AS INT) AS start, CAST(length(again) AS INT) AS repeated, again || own AS piece FROM r
+"""
+
 # --- 2 ---
 
 
@@ -239,4 +263,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND_SQL}
+    return {"p1_found": P1_FOUND_SQL, "p1_pieces": P1_PIECES_SQL}

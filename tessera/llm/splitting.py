@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from .common import PAGE_MARK
 
 
-def _boundary_pattern(step: int) -> str:
-    """Alternatives by strength: all the rest, paragraph end, sentence end, word end, any character.
-    The lower bounds keep a strong boundary near the start of the window from making a tiny piece."""
-    strong, middle, weak = step // 2, step // 3, step // 5
+def _boundary_pattern(most: int) -> str:
+    """Alternatives by strength: all the rest, up to the last paragraph end within ``most`` characters, wherever it is, else to
+    the last sentence end, else to the last word end, else ``most`` characters of a word that is longer. The blank line
+    between paragraphs may hold up to five blanks."""
     return (
-        rf"(?s)(?:.{{1,{step}}}\z"
-        rf"|.{{{strong},{step - 2}}}\n\n"
-        rf"|.{{{middle},{step - 2}}}[.!?…][\s»”“\")]"
-        rf"|.{{{weak},{step - 1}}}\s"
-        rf"|.{{1,{step}}})"
+        rf"(?s)(?:.{{1,{most}}}\z"
+        rf"|.{{0,{most - 9}}}\S[ \t\r]?\n[ \t\r]{{0,5}}\n"
+        rf"|.{{1,{most - 1}}}(?<=[.!?…][)\]»”“\"’']{{0,3}})\s"
+        rf"|.{{0,{most - 2}}}\S\s"
+        rf"|.{{1,{most}}})"
     )
 
 
@@ -33,8 +33,9 @@ def split_items(
 ) -> DataFrame:
     """Cut texts longer than ``limit`` characters (code points) into pieces of at most ``limit``.
 
-    Bounded-quantifier regular expressions consume up to ``limit - overlap`` characters at a time, ending at a
-    paragraph, a sentence, a word or, failing all, anywhere; each piece but the first is led by about ``overlap``
+    Bounded-quantifier regular expressions consume up to ``limit`` characters for the first piece and up to ``limit -
+    overlap`` for each later one, ending at the last paragraph end within these, else at the last sentence end, else at
+    the last word end, else (a longer word) anywhere; each piece but the first is led by about ``overlap``
     characters of the one before, from a word start where there is one. ``drop_pattern`` is taken out first.
     Everything is one projection of built-in functions: no shuffle and no Python.
 
@@ -50,7 +51,8 @@ def split_items(
     kept_whole = F.lit(False) if whole_when is None else F.coalesce(whole_when, F.lit(False))
     base = df.select(*keys, F.regexp_replace(F.col(text_col), drop_pattern, "").alias("_t"), kept_whole.alias("_w"))
     whole = (F.length("_t") <= limit) | F.col("_w")
-    parts = F.when(whole, F.array("_t")).otherwise(F.regexp_extract_all("_t", F.lit(_boundary_pattern(step)), F.lit(0)))
+    first = F.regexp_extract("_t", r"\A" + _boundary_pattern(limit), 0)
+    parts = F.when(whole, F.array("_t")).otherwise(F.concat(F.array("_f"), F.regexp_extract_all(F.substr("_t", F.length("_f") + 1), F.lit(_boundary_pattern(step)), F.lit(0))))
     ends = F.aggregate(
         "_p",
         F.array().cast("array<int>"),
@@ -63,7 +65,7 @@ def split_items(
         cut = F.regexp_replace(raw, r"(?s)\A\S*\s+(?=\S)", "")
         return F.when(F.length(p) <= overlap, p).when(F.length(cut) >= overlap // 2, cut).otherwise(raw)
 
-    cutting = base.where(F.length("_t") > 0).withColumn("_p", parts).withColumn("_e", ends)
+    cutting = base.where(F.length("_t") > 0).withColumn("_f", F.when(~whole, first)).withColumn("_p", parts).withColumn("_e", ends)
     rows = cutting.select(
         *[f"_k{i}" for i in range(len(key_cols))],
         F.size("_p").alias("_n"),

@@ -78,21 +78,65 @@ def may_be_header(line: str) -> bool:
     return 5 <= len(t) <= 70 and t[0].isupper() and t[-1] not in ".!?,;:" + _HYPHENS and len(t.split()) >= 2
 
 
-def header_signatures(texts: DataFrame, text_col: str, *, least_edges: int = 3, least_share: float = 0.4) -> dict[str, int]:
-    """Signatures of running headers: lines that stand at least ``least_edges`` times next to a page number (or carry one
-    at their end), between different lines, and that in at least ``least_share`` of all their occurrences. Counted over all rows; the result has
-    at most a signature for every three page numbers of one edition and is small, which is checked by the caller."""
-    lines = F.filter(F.split(F.regexp_replace(F.col(text_col), r"\[PAGE_BREAK:\d+\]", "\n"), r"\n"), lambda x: F.trim(x) != "")
+_LINES = r"\n|\[PAGE_BREAK:\d+\]"
+#: A superset of the lines that may_be_header, but for rare blanks at their ends
+_TITLE_JAVA = r"^\s*\p{Lu}.*[^.!?,;:\-‐¬­—\s]\s*$"
+
+
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, _LINES), lambda x: F.trim(x) != "")
+
+
+def _title(line: Column) -> Column:
+    return (F.length(line) <= 76) & F.contains(F.trim(line), F.lit(" ")) & line.rlike(_TITLE_JAVA)
+
+
+def header_signatures(texts: DataFrame, text_col: str, *, least_edges: int = 3, least_share: float = 0.4) -> DataFrame:
+    """``s``: signatures of running headers, which are lines that stand at least ``least_edges`` times next to a page number
+    (or carry one at their end), between different lines, and that in at least ``least_share`` of all their occurrences.
+    Counted over all rows, in one aggregation."""
     is_page = lambda x: F.coalesce(x.rlike(PAGE_LINE), F.lit(False))
-    rows = texts.select(lines.alias("l")).where(F.size("l") > 1)
+    rows = texts.select(_lines(F.col(text_col)).alias("l")).where(F.size("l") > 1)
     pages = rows.withColumn("p", F.transform("l", is_page))
     parts = F.transform("l", lambda x, i: F.struct(x.alias("x"), (F.coalesce(F.get("p", i - 1), F.lit(False)) | F.coalesce(F.get("p", i + 1), F.lit(False)) | x.rlike(r"\S\s{2,}\d{1,4}\s*$")).alias("e"), F.get("p", i).alias("p"), F.xxhash64(F.get("l", i - 1), F.get("l", i + 1)).alias("around")))
-    got = pages.select(F.explode(parts).alias("z")).where(~F.col("z.p") & (F.length("z.x") <= 76) & F.col("z.x").rlike(r"^\s*\p{Lu}.*[^.!?,;:\-‐¬­—\s]\s*$") & F.trim("z.x").contains(" "))
+    got = pages.select(F.explode(parts).alias("z")).where(~F.col("z.p") & _title(F.col("z.x")))
     counted = got.groupBy(_signature_col(F.col("z.x")).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col("z.e").cast("int")).alias("edges"), F.approx_count_distinct(F.when(F.col("z.e"), F.col("z.around"))).alias("contexts"))
-    found = counted.where((F.col("contexts") >= least_edges) & (F.col("edges") >= least_edges) & (F.col("edges") >= least_share * F.col("n"))).limit(200_001).collect()
-    if len(found) > 200_000:
-        raise ValueError("more than 200,000 running headers: raise least_edges")
-    return {r["s"]: r["n"] for r in found}
+    return counted.where((F.col("contexts") >= least_edges) & (F.col("edges") >= least_edges) & (F.col("edges") >= least_share * F.col("n"))).select("s")
+
+
+def _segments(s: Column) -> Column:
+    """Keys of a header for lookups within two edits: its beginning, its length and one of its three parts, any of which
+    two edits must leave as it is."""
+    n = F.length(s)
+    third = F.floor(n / 3).cast("int")
+    part = lambda i: F.concat_ws("\t", F.left(s, F.lit(2)), n, F.lit(i), F.substr(s, third * i + 1, third if i < 2 else n))
+    return F.array(*[part(i) for i in range(3)])
+
+
+def _segments_near(s: Column) -> Column:
+    """Keys under which headers within two edits of a line's signature may stand."""
+    shifts = F.array(*[F.lit(x) for x in range(-2, 3)])
+
+    def third_of(n: Column, i: int):
+        third = F.floor(n / 3).cast("int")
+        size = third if i < 2 else n - 2 * third
+        return lambda z: F.concat_ws("\t", F.left(s, F.lit(2)), n, F.lit(i), F.substr(s, F.greatest(F.lit(1), third * i + 1 + z), size))
+
+    def of_length(d: Column) -> Column:
+        return F.concat(*[F.transform(shifts, third_of(F.length(s) + d, i)) for i in range(3)])
+
+    return F.array_distinct(F.flatten(F.transform(shifts, of_length)))
+
+
+def header_lines(texts: DataFrame, headers: DataFrame) -> DataFrame:
+    """``_h``, ``s``: for every text (``_h``, ``_text``) the signatures of those of its lines that are headers of ``headers`` (s), or within
+    two edits of one. By joins of distinct signatures."""
+    own = texts.select("_h", F.explode(_lines(F.col("_text"))).alias("x")).where(_title(F.col("x"))).select("_h", _signature_col(F.col("x")).alias("s")).distinct()
+    met = own.select("s").distinct()
+    keys = headers.where(F.length("s") >= 8).select(F.col("s").alias("right"), F.explode(_segments(F.col("s"))).alias("k"))
+    near = met.where(F.length("s") >= 10).select("s", F.explode(_segments_near(F.col("s"))).alias("k")).join(keys, "k")
+    near = near.where((F.length("s") - F.length("right")).between(-2, 2) & (F.levenshtein("s", "right", 2) >= 0)).select("s")
+    return own.join(met.join(headers, "s", "left_semi").unionByName(near).distinct(), "s").select("_h", "s")
 
 
 _WORD_JAVA = r"(?<![\p{L}\d])\p{L}+(?:[-'’]\p{L}+)*(?![\p{L}\d])"
@@ -133,12 +177,9 @@ _NEXT = re.compile(r"^\s*([\w!'’]+)")
 
 @dataclass
 class Repairer:
-    """Repairs texts with the corpus's headers and what ``knows`` was given of its vocabulary."""
-
-    headers: dict[str, int]
+    """Repairs texts with what ``knows`` was given of the corpus's headers and vocabulary."""
 
     def __post_init__(self) -> None:
-        self.memory: dict[tuple[str, str], bool] = {}
         self.knows(())
 
     def knows(self, hints) -> None:
@@ -146,6 +187,7 @@ class Repairer:
         parts = [h.split("\t") for h in hints]
         self.readings = {p[1]: p[2] for p in parts if p[0] == "r"}
         self.pairs = {(p[1], p[2]): tuple(map(int, p[3:])) for p in parts if p[0] == "j"}
+        self.headers = {p[1] for p in parts if p[0] == "h"}
 
     def reading(self, token: str) -> str | None:
         """The word that a misread token stands for, None if it isn't misread."""
@@ -179,7 +221,7 @@ class Repairer:
         for line in _MARK.sub("\n", text).split("\n"):
             if page_line(line):
                 pages += 1
-            elif may_be_header(line) and self.is_header(line):
+            elif self.headers and may_be_header(line) and signature(line) in self.headers:
                 headers += 1
             else:
                 out.append(line)
@@ -189,17 +231,6 @@ class Repairer:
                 out.append("\x00")
         return out, headers, pages
 
-    def is_header(self, line: str) -> bool:
-        s = signature(line)
-        if s in self.headers:
-            return True
-        key = ("\x00h", s)
-        if key in self.memory:
-            return self.memory[key]
-        got = any(abs(len(s) - len(h)) <= 2 and s[:2] == h[:2] and _few_edits(s, h, 2) for h in self.headers) if len(s) >= 10 else False
-        self.memory[key] = got
-        return got
-
     def repair(self, text: str) -> tuple[str, int, int, int, int]:
         """(running text, headers, page numbers, words joined, characters' words corrected)."""
         lines, headers, pages = self.lines(text)
@@ -253,17 +284,6 @@ def _gap_ahead(lines: list[str], i: int) -> bool:
     return False
 
 
-def _few_edits(a: str, b: str, most: int) -> bool:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        if min(row) > most:
-            return False
-    return row[-1] <= most
-
-
 class Prober(Repairer):
     """Goes through a text as a repairer does, and notes what it will have to ask the vocabulary."""
 
@@ -290,6 +310,9 @@ _TOKEN_JAVA = r"(?<![\p{L}\p{N}_/\-!.])[\p{L}\p{N}_!]+(?:['’][\p{L}\p{N}_!]+)?
 #: A line end after a hyphen
 _BREAK_JAVA = rf"[{_HYPHENS}][\s\p{{Z}}\x85]*(?:\n|\[PAGE_BREAK:)"
 
+#: A text with a line that may be a page number
+_PAGE_ANYWHERE = r"(?:\A|\n|\[PAGE_BREAK:\d+\])" + PAGE_LINE.replace("(?iu)^", "(?iu)").removesuffix("$") + r"(?:\z|\n|\[PAGE_BREAK:)"
+
 
 def _variants(t: Column) -> Column:
     """A token and its beginnings at which a match may end."""
@@ -322,25 +345,30 @@ def readings(tokens: DataFrame, counts: DataFrame, known: DataFrame, *, least_co
     return met.where(F.col("right_n") >= need).where(_misreadable("w", "right")).select("w", "right")
 
 
-def text_hints(texts: DataFrame, counts: DataFrame, headers, *, least_count: int = 3, small: int = 500_000) -> DataFrame:
-    """``_h``, ``_hints``: for every text (``_h``: its hash, ``_text``) that needs any, "r, token, word" for its misread tokens and "j, head,
-    tail, count joined, count with hyphen, count of the nearest word" for its broken words, tab-separated.
+def text_hints(texts: DataFrame, counts: DataFrame, headers: DataFrame, *, least_count: int = 3, small: int = 500_000) -> DataFrame:
+    """``_h``, ``_hints``: for every text (``_h``: its hash, ``_text``) that needs any, "h, signature" for its headers, "r, token, word" for its
+    misread tokens and "j, head, tail, count joined, count with hyphen, count of the nearest word" for its broken words, tab-separated.
 
-    All distinct tokens are looked up in all of ``counts`` by joins; a word is a reading from ``least_count`` on, however
-    large the corpus is. ``small`` only says up to where the found readings are sent to the texts instead of shuffled."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(headers)
+    All distinct lines and tokens are looked up in all of ``headers`` and ``counts`` by joins; a word is a reading from
+    ``least_count`` on, however large the corpus is. ``small`` only says up to where the found readings are sent to the
+    texts instead of shuffled."""
+    lines = cut(header_lines(texts, headers))
 
     def probe(batches):
-        tool = Prober(shared.value)
+        tool = Prober()
 
         def one(b: pd.DataFrame) -> pd.DataFrame:
-            rows = [tool.ask(t) for t in b["_text"].tolist()]
+            rows = []
+            for t, x in zip(b["_text"].tolist(), b["x"].tolist()):
+                tool.knows(() if x is None else x)
+                rows.append(tool.ask(t))
             return pd.DataFrame({"_h": b["_h"], "pairs": [["\t".join(p) for p in r[0]] for r in rows], "made": [r[1] for r in rows]})
 
         yield from over_batches(one)(batches)
 
-    broken = cut(texts.where(F.col("_text").rlike(_BREAK_JAVA)).mapInPandas(probe, "_h string, pairs array<string>, made array<string>"))
+    of_text = lines.groupBy("_h").agg(F.collect_list(F.concat_ws("\t", F.lit("h"), "s")).alias("x"))  # a text's own lines
+    broken = texts.where(F.col("_text").rlike(_BREAK_JAVA)).join(of_text, "_h", "left")
+    broken = cut(broken.mapInPandas(probe, "_h string, pairs array<string>, made array<string>"))
     raw = texts.select("_h", F.explode(F.regexp_extract_all(F.lower("_text"), F.lit(_TOKEN_JAVA), F.lit(0))).alias("t")).unionByName(broken.select("_h", F.explode("made").alias("t")))
     tokens = raw.select("_h", F.explode(_variants(F.col("t"))).alias("w")).where(_askable(F.col("w")))
     known = counts.where(F.col("n") >= least_count).groupBy(_skeleton("w").alias("k")).agg(F.max(F.struct("n", "w")).alias("b")).select("k", F.col("b.w").alias("right"), F.col("b.n").alias("right_n"))
@@ -354,7 +382,8 @@ def text_hints(texts: DataFrame, counts: DataFrame, headers, *, least_count: int
         both = both.join(counts.select(F.col("w").alias(c), F.col("n").alias(f"n_{c}")), c, "left")
     both = both.join(known, "k", "left").select("p", *(F.coalesce(c, F.lit(0)).cast("string").alias(c) for c in ("n_one", "n_two", "right_n")))
     broken_words = pairs.join(both, "p").select("_h", F.concat_ws("\t", F.lit("j"), "p", "n_one", "n_two", "right_n").alias("x"))
-    return misread.unionByName(broken_words).groupBy("_h").agg(F.collect_set("x").alias("_hints"))
+    headed = lines.select("_h", F.concat_ws("\t", F.lit("h"), "s").alias("x"))
+    return misread.unionByName(broken_words).unionByName(headed).groupBy("_h").agg(F.collect_set("x").alias("_hints"))
 
 
 def repair_scans(df: DataFrame, key_cols: list[str], text_col: str, *, corpus: DataFrame | None = None, least_count: int = 3) -> DataFrame:
@@ -362,20 +391,18 @@ def repair_scans(df: DataFrame, key_cols: list[str], text_col: str, *, corpus: D
     ``n_page_numbers``, ``n_joined``, ``n_corrected``. Vocabulary and headers come from all rows of ``corpus`` (default: ``df``).
 
     Aggregations of words, tokens and line signatures, joins of distinct ones, and one join of the texts with their
-    hints. Null, empty and clean texts give no row; equal rows come out alike; columns other than keys and text aren't
+    hints; texts that have neither hints nor what looks like a page number or a broken word stay in the JVM. Null, empty and clean texts give no row; equal rows come out alike; columns other than keys and text aren't
     returned; an empty table gives an empty result.
     """
-    spark = df.sparkSession
     corpus = df if corpus is None else corpus
     base = corpus.select(F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
-    headers = header_signatures(base, "_text")
-    shared = spark.sparkContext.broadcast(headers)  # bounded: see there
+    headers = cut(header_signatures(base, "_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key_cols).schema), "repaired string, n_headers int, n_page_numbers int, n_joined int, n_corrected int"])
     rows = df.select(*key_cols, F.col(text_col).alias("_text")).where(F.col("_text") != "").withColumn("_h", F.md5("_text"))
     hints = text_hints(rows.select("_h", "_text"), cut(word_counts(base, "_text")), headers, least_count=least_count)
 
     def run(batches):
-        tool = Repairer(shared.value)
+        tool = Repairer()
 
         def one(b: pd.DataFrame) -> pd.DataFrame:
             at, rows = [], []
@@ -392,4 +419,5 @@ def repair_scans(df: DataFrame, key_cols: list[str], text_col: str, *, corpus: D
 
         yield from over_batches(one)(batches)
 
-    return rows.join(hints, "_h", "left").drop("_h").mapInPandas(run, schema)
+    odd = F.col("_hints").isNotNull() | F.col("_text").rlike(_BREAK_JAVA) | F.col("_text").rlike(_PAGE_ANYWHERE)
+    return rows.join(hints, "_h", "left").where(odd).drop("_h").mapInPandas(run, schema)

@@ -29,6 +29,12 @@ def test_pieces(spark):
             seen += len(r.piece) - r.repeated
         assert seen == len(text)
     assert by[3][0].piece.rstrip().endswith(".") and all(p.piece.startswith("word") or p.piece.startswith(" ") for p in by[6])
+    assert len(by[4][0].piece) == 850 and all(len(r.piece) == 850 for r in by[4][:-1])  # no boundary: full pieces
+    odd = ["ab cd " * 20 + "y" * 700 + " " + "ef gh. " * 60, "one. " * 20 + "\n \n" + "two three " * 100, "x " * 10 + "\n\n" + "word " * 400]
+    got = splitting.split_items(spark.createDataFrame(list(enumerate(odd)), "id int, t string"), ["id"], "t").orderBy("id", "piece_no").collect()
+    first = {r.id: r.piece for r in got if r.piece_no == 0}
+    assert first[0].startswith("ab cd " * 20 + "y" * 700 + " ") and first[1].endswith("\n \n") and first[2] == "x " * 10 + "\n\n"
+    assert all(r.piece[-1:].isspace() or r.piece_no == r.n_pieces - 1 for r in got)  # no word cut where it needn't be
     whole = splitting.split_items(df, ["id"], "t", whole_when=F.col("id") == 4).where("id = 4").collect()
     assert len(whole) == 1 and len(whole[0].piece) == 3000
     assert splitting.split_items(df.limit(0), ["id"], "t").count() == 0
@@ -119,8 +125,35 @@ def test_rare_words_of_a_large_corpus(spark):
     assert got == {1: "The zwischenwelle turns. Hans went home by day.", 3: "A zwischenwelle turns here."}
 
 
+def test_headers_within_two_edits(spark):
+    rng = np.random.default_rng(8)
+    headers = ["technical bulletin # b", "maintcnancc manual kxx", "servicc", "abcdefgh", "short h"]
+    lines = list(headers)
+    for h in headers:
+        for _ in range(30):
+            v = list(h)
+            for _ in range(int(rng.integers(1, 4))):
+                i = int(rng.integers(0, len(v)))
+                v[i : i + int(rng.integers(0, 2))] = ["z"] if rng.random() < 0.6 else []
+            lines.append("".join(v))
+
+    def far(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i] + [0] * len(b) if (old := row) is None else [i] + [min(old[j] + (x != y), old[j + 1] + 1) for j, y in enumerate(b)]
+            for j in range(1, len(b) + 1):
+                row[j] = min(row[j], row[j - 1] + 1)
+        return row[-1]
+
+    want = {s for s in lines if s in headers or (len(s) >= 10 and any(len(h) >= 8 and s[:2] == h[:2] and abs(len(s) - len(h)) <= 2 and far(s, h) <= 2 for h in headers))}
+    sigs = spark.createDataFrame([(s,) for s in set(lines)], "s string")
+    keys = spark.createDataFrame([(h,) for h in headers], "s string").where("length(s) >= 8").select(F.col("s").alias("right"), F.explode(scan_noise._segments(F.col("s"))).alias("k"))
+    near = sigs.where("length(s) >= 10").select("s", F.explode(scan_noise._segments_near(F.col("s"))).alias("k")).join(keys, "k").where((F.length("s") - F.length("right")).between(-2, 2) & (F.levenshtein("s", "right", 2) >= 0))
+    assert {r.s for r in near.collect()} | set(headers) & set(lines) == want
+
+
 def test_hints_cover_chains_of_breaks():
-    tool = scan_noise.Prober({})
+    tool = scan_noise.Prober()
     pairs, made = tool.ask("the cyl-\nin-\nder ran")
     assert set(pairs) == {("cyl", "in"), ("cylin", "der"), ("in", "der")} and {"cylin", "cylinder", "inder"} <= set(made)
 
@@ -166,6 +199,18 @@ def test_deletions_meet():
             else:
                 v[i] = "z"
         assert set(entities.deletions(w)) & set(entities.deletions("".join(v)))
+    for n in (16, 17, 18, 19, 25, 80, 300):  # short and long words meet under their keys
+        for _ in range(60):
+            w = "".join(rng.choice(list("abcdefghijklmnop"), size=n))
+            v = list(w)
+            for _ in range(2):
+                i = int(rng.integers(0, len(v) - 1))
+                kind = rng.integers(0, 4)
+                if kind == 3:
+                    v[i], v[i + 1] = v[i + 1], v[i]
+                else:
+                    v[i : i + int(rng.integers(0, 2))] = ["z"] if kind else []
+            assert set(entities.word_keys(w)) & set(entities.token_keys("".join(v))), (w, "".join(v))
 
 
 # --- 6 and 10 ---
@@ -352,14 +397,14 @@ def test_mixing(spark):
     rows = [(i, "Big-Source " if i % 2 else "big_source", 10 + i % 7) for i in range(4000)] + [(10000 + i, "small", 20) for i in range(60)] + [(20000, None, 5), (20001, "stranger", 5), (20002, "small", None), (20003, "small", 0), (10001, "small", 20)]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, n int").withColumn("shard", F.lit("clash"))
     targets = spark.createDataFrame([("big_source", 0.6, 1), ("small", 0.3, 4), ("nothing", 0.1, 2)], "source string, target_share double, max_repeats int")
-    drawn, shares = mixing.mix(df, targets, key_col="doc_id", source_col="source", size_col="n", shard_size=2000, blocks=128)
+    drawn, shares = mixing.mix(df, targets, key_col="doc_id", source_col="source", size_col="n", shards=7, blocks=128)
     got, sh = drawn.toPandas(), {r.source: r for r in shares.collect()}
     assert abs(sh["small"].actual_share - 1 / 3) < 0.01 and abs(sh["big_source"].actual_share - 2 / 3) < 0.01 and sh["nothing"].drawn == 0 and sh["nothing"].target_share == 0.1
     assert sh["stranger"].target_share is None and sh["(none)"].available == 5 and sh["small"].most_copies == 4
     uses = got.groupby(["doc_id", "source"]).size()
     assert uses[uses.index.get_level_values(1) == "big_source"].max() == 1 and got[got["source"] == "small"].groupby(["doc_id", "copy_no"]).size().max() <= 2
-    assert got["shard"].nunique() > 1 and all(sorted(g["position"]) == list(range(1, len(g) + 1)) for _, g in got.groupby("shard"))
-    again = mixing.mix(df, targets, key_col="doc_id", source_col="source", size_col="n", shard_size=2000, blocks=128)[0].toPandas()
+    assert got["shard"].nunique() == 7 and all(sorted(g["position"]) == list(range(1, len(g) + 1)) for _, g in got.groupby("shard"))
+    again = mixing.mix(df, targets, key_col="doc_id", source_col="source", size_col="n", shards=7, blocks=128)[0].toPandas()
     assert set(map(tuple, again.values)) == set(map(tuple, got.values))
     none, empty = mixing.mix(df.limit(0), targets, key_col="doc_id", source_col="source", size_col="n")
     assert none.count() == 0 and {r.drawn for r in empty.collect()} == {0}

@@ -104,28 +104,24 @@ def header_signatures(texts: DataFrame, text_col: str, *, least_edges: int = 3,
     return counted.where((F.col("contexts") >= least_edges) & (F.col("edges") >= least_edges) & (F.col("edges") >= least_share * F.col("n"))).select("s")
 
 
-def _segments(s: Column) -> Column:
-    """Keys of a header for lookups within two edits: its beginning, its length and one of its three parts, any of which
-    two edits must leave as it is."""
-    n = F.length(s)
+def _parts(s: Column, n: Column, shifts: tuple[int, ...] = (0,)) -> Column:
+    """The thirds of a header of ``n`` characters, as keys: one of them is left whole by two edits. With ``shifts``, what may
+    be these thirds in a line that is a few characters longer or shorter."""
     third = F.floor(n / 3).cast("int")
-    part = lambda i: F.concat_ws("\t", F.left(s, F.lit(2)), n, F.lit(i), F.substr(s, third * i + 1, third if i < 2 else n))
-    return F.array(*[part(i) for i in range(3)])
+    part = lambda i, z: F.concat_ws("\t", F.lit(i), F.substr(s, F.greatest(F.lit(1), third * i + 1 + z), third if i < 2 else n - 2 * third))
+    return F.array_distinct(F.array(*[part(i, z) for i in range(3) for z in shifts]))
 
 
-def _segments_near(s: Column) -> Column:
-    """Keys under which headers within two edits of a line's signature may stand."""
-    shifts = F.array(*[F.lit(x) for x in range(-2, 3)])
-
-    def third_of(n: Column, i: int):
-        third = F.floor(n / 3).cast("int")
-        size = third if i < 2 else n - 2 * third
-        return lambda z: F.concat_ws("\t", F.left(s, F.lit(2)), n, F.lit(i), F.substr(s, F.greatest(F.lit(1), third * i + 1 + z), size))
-
-    def of_length(d: Column) -> Column:
-        return F.concat(*[F.transform(shifts, third_of(F.length(s) + d, i)) for i in range(3)])
-
-    return F.array_distinct(F.flatten(F.transform(shifts, of_length)))
+def near_headers(met: DataFrame, headers: DataFrame) -> DataFrame:
+    """The ``s`` of ``met`` of ten characters or more that are within two edits of a header (s) with the same first two characters. They
+    meet in a join on beginning, length and an unchanged third."""
+    begin = F.left("s", F.lit(2)).alias("b")
+    known = headers.where(F.length("s") >= 8).select(F.col("s").alias("right"), begin, F.length("s").alias("n"))
+    lengths = F.explode(F.sequence(F.length("s") - 2, F.length("s") + 2)).alias("n")
+    some = met.where(F.length("s") >= 10).select("s", begin, lengths).join(known.select("b", "n").distinct(), ["b", "n"])
+    keys = known.select("right", "b", "n", F.explode(_parts(F.col("right"), F.col("n"))).alias("k"))
+    pairs = some.select("s", "b", "n", F.explode(_parts(F.col("s"), F.col("n"), (-2, -1, 0, 1, 2))).alias("k")).join(keys, ["b", "n", "k"])
+    return pairs.where(F.levenshtein("s", "right", 2) >= 0).select("s").distinct()
 
 
 def header_lines(texts: DataFrame, headers: DataFrame) -> DataFrame:
@@ -133,19 +129,29 @@ def header_lines(texts: DataFrame, headers: DataFrame) -> DataFrame:
     two edits of one. By joins of distinct signatures."""
     own = texts.select("_h", F.explode(_lines(F.col("_text"))).alias("x")).where(_title(F.col("x"))).select("_h", _signature_col(F.col("x")).alias("s")).distinct()
     met = own.select("s").distinct()
-    keys = headers.where(F.length("s") >= 8).select(F.col("s").alias("right"), F.explode(_segments(F.col("s"))).alias("k"))
-    near = met.where(F.length("s") >= 10).select("s", F.explode(_segments_near(F.col("s"))).alias("k")).join(keys, "k")
-    near = near.where((F.length("s") - F.length("right")).between(-2, 2) & (F.levenshtein("s", "right", 2) >= 0)).select("s")
-    return own.join(met.join(headers, "s", "left_semi").unionByName(near).distinct(), "s").select("_h", "s")
+    return own.join(met.join(headers, "s", "left_semi").unionByName(near_headers(met, headers)).distinct(), "s").select("_h", "s")
 
 
 _WORD_JAVA = r"(?<![\p{L}\d])\p{L}+(?:[-'’]\p{L}+)*(?![\p{L}\d])"
 
 
-def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
-    """``w`` (lower case), ``n``: every word with its count over all rows."""
-    words = F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(_WORD_JAVA), F.lit(0)))
-    return texts.select(words.alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+#: Runs of all characters that words and tokens consist of or are judged by
+_RUN_JAVA = r"[\p{L}\p{N}_!'’/.\-]+"
+
+
+def _runs(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(_RUN_JAVA), F.lit(0))
+
+
+def run_counts(texts: DataFrame, text_col: str) -> DataFrame:
+    """``run`` (lower case), ``n``: every run of word characters with its count over all rows. Words and tokens are taken from the
+    distinct runs, so the texts are gone through once."""
+    return texts.select(F.explode(_runs(F.col(text_col))).alias("run")).where(F.col("run").rlike(r"\p{L}")).groupBy("run").agg(F.count("*").alias("n"))
+
+
+def word_counts(runs: DataFrame) -> DataFrame:
+    """``w``, ``n``: every word of the runs (run, n) with its count."""
+    return runs.select(F.explode(F.regexp_extract_all("run", F.lit(_WORD_JAVA), F.lit(0))).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 _CLASSES = str.maketrans({"1": "i", "!": "i", "|": "i", "l": "i", "í": "i", "ì": "i", "0": "o", "ó": "o", "ò": "o", "5": "s", "6": "b", "8": "b", "ß": "b", "e": "c", "é": "c", "è": "c", "f": "t", "u": "n", "v": "n", "ú": "n", "ù": "n"})
@@ -170,7 +176,7 @@ def swapped(a: str, b: str) -> bool:
     return len(off) == 2 and off[1] == off[0] + 1 and a[off[0]] == b[off[1]] and a[off[1]] == b[off[0]]
 
 
-_TOKEN = re.compile(r"(?<![\w/\-!.])(?=[\w!]*[^\W\d_])[\w!]*[^\W\d_][\w!]*(?:['’][\w!]*\w)?(?![\w/\-\u0300-\u036f])(?!\Z)")
+_TOKEN = re.compile(r"(?<![\w/\-!.])(?=[\w!]*[^\W\d_])[\w!]*[^\W\d_][\w!]*(?:['’][\w!]*\w)?(?![\w/\-\u0300-\u036f])")
 _BROKEN = re.compile(rf"([^\W\d_](?:[\w!'’])*)[{_HYPHENS}][ \t]*$")
 _NEXT = re.compile(r"^\s*([\w!'’]+)")
 
@@ -345,13 +351,12 @@ def readings(tokens: DataFrame, counts: DataFrame, known: DataFrame, *, least_co
     return met.where(F.col("right_n") >= need).where(_misreadable("w", "right")).select("w", "right")
 
 
-def text_hints(texts: DataFrame, counts: DataFrame, headers: DataFrame, *, least_count: int = 3, small: int = 500_000) -> DataFrame:
+def text_hints(texts: DataFrame, runs: DataFrame, counts: DataFrame, headers: DataFrame, *, least_count: int = 3) -> DataFrame:
     """``_h``, ``_hints``: for every text (``_h``: its hash, ``_text``) that needs any, "h, signature" for its headers, "r, token, word" for its
     misread tokens and "j, head, tail, count joined, count with hyphen, count of the nearest word" for its broken words, tab-separated.
 
-    All distinct lines and tokens are looked up in all of ``headers`` and ``counts`` by joins; a word is a reading from
-    ``least_count`` on, however large the corpus is. ``small`` only says up to where the found readings are sent to the
-    texts instead of shuffled."""
+    All distinct lines and the tokens of all distinct ``runs`` of the texts are looked up in all of ``headers`` and ``counts`` by
+    joins; a word is a reading from ``least_count`` on, however large the corpus is."""
     lines = cut(header_lines(texts, headers))
 
     def probe(batches):
@@ -369,12 +374,15 @@ def text_hints(texts: DataFrame, counts: DataFrame, headers: DataFrame, *, least
     of_text = lines.groupBy("_h").agg(F.collect_list(F.concat_ws("\t", F.lit("h"), "s")).alias("x"))  # a text's own lines
     broken = texts.where(F.col("_text").rlike(_BREAK_JAVA)).join(of_text, "_h", "left")
     broken = cut(broken.mapInPandas(probe, "_h string, pairs array<string>, made array<string>"))
-    raw = texts.select("_h", F.explode(F.regexp_extract_all(F.lower("_text"), F.lit(_TOKEN_JAVA), F.lit(0))).alias("t")).unionByName(broken.select("_h", F.explode("made").alias("t")))
-    tokens = raw.select("_h", F.explode(_variants(F.col("t"))).alias("w")).where(_askable(F.col("w")))
+    own = runs.select("run", F.explode(F.regexp_extract_all("run", F.lit(_TOKEN_JAVA), F.lit(0))).alias("t")).select("run", F.explode(_variants(F.col("t"))).alias("w")).where(_askable(F.col("w")))
+    made = broken.select("_h", F.explode("made").alias("t")).select("_h", F.explode(_variants(F.col("t"))).alias("w")).where(_askable(F.col("w")))
     known = counts.where(F.col("n") >= least_count).groupBy(_skeleton("w").alias("k")).agg(F.max(F.struct("n", "w")).alias("b")).select("k", F.col("b.w").alias("right"), F.col("b.n").alias("right_n"))
     known = cut(known)
-    found = cut(readings(tokens.select("w").distinct(), counts, known, least_count=least_count))
-    misread = tokens.join(F.broadcast(found) if found.count() <= small else found, "w").select("_h", F.concat_ws("\t", F.lit("r"), "w", "right").alias("x"))
+    found = cut(readings(own.select("w").unionByName(made.select("w")).distinct(), counts, known, least_count=least_count))
+    hint = F.concat_ws("\t", F.lit("r"), "w", "right").alias("x")
+    bad = own.join(found, "w").select("run", hint).groupBy("run").agg(F.collect_set("x").alias("xs"))  # a run's own tokens
+    misread = texts.select("_h", F.explode(F.array_distinct(_runs(F.col("_text")))).alias("run")).join(bad, "run").select("_h", F.explode("xs").alias("x"))
+    misread = misread.unionByName(made.join(found, "w").select("_h", hint))
 
     pairs = broken.select("_h", F.explode("pairs").alias("p"))
     both = pairs.select("p").distinct().withColumns({"one": F.regexp_replace("p", "\t", ""), "two": F.regexp_replace("p", "\t", "-")}).withColumn("k", _skeleton("one"))
@@ -394,12 +402,15 @@ def repair_scans(df: DataFrame, key_cols: list[str], text_col: str, *, corpus: D
     hints; texts that have neither hints nor what looks like a page number or a broken word stay in the JVM. Null, empty and clean texts give no row; equal rows come out alike; columns other than keys and text aren't
     returned; an empty table gives an empty result.
     """
-    corpus = df if corpus is None else corpus
+    whole = corpus is None
+    corpus = df if whole else corpus
     base = corpus.select(F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
     headers = cut(header_signatures(base, "_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key_cols).schema), "repaired string, n_headers int, n_page_numbers int, n_joined int, n_corrected int"])
     rows = df.select(*key_cols, F.col(text_col).alias("_text")).where(F.col("_text") != "").withColumn("_h", F.md5("_text"))
-    hints = text_hints(rows.select("_h", "_text"), cut(word_counts(base, "_text")), headers, least_count=least_count)
+    runs = cut(run_counts(base, "_text"))
+    own = runs if whole else cut(run_counts(rows, "_text"))
+    hints = text_hints(rows.select("_h", "_text"), own, cut(word_counts(runs)), headers, least_count=least_count)
 
     def run(batches):
         tool = Repairer()

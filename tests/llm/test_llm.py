@@ -147,8 +147,7 @@ def test_headers_within_two_edits(spark):
 
     want = {s for s in lines if s in headers or (len(s) >= 10 and any(len(h) >= 8 and s[:2] == h[:2] and abs(len(s) - len(h)) <= 2 and far(s, h) <= 2 for h in headers))}
     sigs = spark.createDataFrame([(s,) for s in set(lines)], "s string")
-    keys = spark.createDataFrame([(h,) for h in headers], "s string").where("length(s) >= 8").select(F.col("s").alias("right"), F.explode(scan_noise._segments(F.col("s"))).alias("k"))
-    near = sigs.where("length(s) >= 10").select("s", F.explode(scan_noise._segments_near(F.col("s"))).alias("k")).join(keys, "k").where((F.length("s") - F.length("right")).between(-2, 2) & (F.levenshtein("s", "right", 2) >= 0))
+    near = scan_noise.near_headers(sigs, spark.createDataFrame([(h,) for h in headers], "s string"))
     assert {r.s for r in near.collect()} | set(headers) & set(lines) == want
 
 

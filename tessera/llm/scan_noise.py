@@ -351,12 +351,13 @@ def readings(tokens: DataFrame, counts: DataFrame, known: DataFrame, *, least_co
     return met.where(F.col("right_n") >= need).where(_misreadable("w", "right")).select("w", "right")
 
 
-def text_hints(texts: DataFrame, runs: DataFrame, counts: DataFrame, headers: DataFrame, *, least_count: int = 3) -> DataFrame:
+def text_hints(texts: DataFrame, runs: DataFrame, counts: DataFrame, headers: DataFrame, *, least_count: int = 3, small: int = 200_000) -> DataFrame:
     """``_h``, ``_hints``: for every text (``_h``: its hash, ``_text``) that needs any, "h, signature" for its headers, "r, token, word" for its
     misread tokens and "j, head, tail, count joined, count with hyphen, count of the nearest word" for its broken words, tab-separated.
 
     All distinct lines and the tokens of all distinct ``runs`` of the texts are looked up in all of ``headers`` and ``counts`` by
-    joins; a word is a reading from ``least_count`` on, however large the corpus is."""
+    joins; a word is a reading from ``least_count`` on, however large the corpus is. ``small`` only says up to where the runs
+    with a misread token are sent to the texts instead of shuffled with them."""
     lines = cut(header_lines(texts, headers))
 
     def probe(batches):
@@ -380,7 +381,8 @@ def text_hints(texts: DataFrame, runs: DataFrame, counts: DataFrame, headers: Da
     known = cut(known)
     found = cut(readings(own.select("w").unionByName(made.select("w")).distinct(), counts, known, least_count=least_count))
     hint = F.concat_ws("\t", F.lit("r"), "w", "right").alias("x")
-    bad = own.join(found, "w").select("run", hint).groupBy("run").agg(F.collect_set("x").alias("xs"))  # a run's own tokens
+    bad = cut(own.join(found, "w").select("run", hint).groupBy("run").agg(F.collect_set("x").alias("xs")))  # a run's own tokens
+    bad = F.broadcast(bad) if bad.count() <= small else bad
     misread = texts.select("_h", F.explode(F.array_distinct(_runs(F.col("_text")))).alias("run")).join(bad, "run").select("_h", F.explode("xs").alias("x"))
     misread = misread.unionByName(made.join(found, "w").select("_h", hint))
 

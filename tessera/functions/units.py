@@ -138,7 +138,7 @@ def parse_unit(text: str | None, prior: str | None = None) -> Unit | None:
     if text is None:
         return None
     text = re.sub(r"\s+", " ", text.strip().strip("[]()")).strip()
-    if not text or len(text) > 40:
+    if not text:
         return None
     text = re.sub(r"^(\d+)\s*/\s*(\d+)\s+", lambda m: f"{int(m[1]) / max(1, int(m[2])):.9f} ", text)  # as in 1/100 mm
     got = _segment(text, prior) or _segment(_usual_case(text), prior)

@@ -16,7 +16,7 @@ def page_starts(text: Column) -> Column:
     """Array of (offset, page) in the text without marks, in order: where each marked page starts."""
     pages = F.regexp_extract_all(text, F.lit(PAGE), F.lit(1))
     pieces = F.split(text, PAGE)
-    lengths = F.transform(pieces, F.length)
+    lengths = F.transform(pieces, lambda z: F.length(z))
     return F.transform(pages, lambda p, i: F.struct(F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda a, x: a + x).alias("offset"), p.cast("int").alias("page")))
 
 

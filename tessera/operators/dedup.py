@@ -1,4 +1,8 @@
-"""Near-duplicate vectors: exact pairs above a cosine, greedy keeping, and merging of provenance."""
+"""Near-duplicate vectors: exact pairs above a cosine, greedy keeping, and merging of provenance.
+
+Rows of one vector are one point, named by the smallest of their ids; pairs are between points, and ``members`` says which
+rows a point stands for.
+"""
 
 from __future__ import annotations
 
@@ -12,73 +16,128 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def similar_pairs(df: DataFrame, id_col: str, vec_col: str, *, least: float = 0.98, centres: int = 32, sample_rows: int = 4000) -> DataFrame:
-    """All pairs (``a`` < ``b``) of rows with a cosine of at least ``least``, with the cosine; exact.
+def _usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    v = F.col("v")
+    fine = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e)) & F.exists(v, lambda e: e != 0)
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0)).where(fine)
+    return rows.select("id", "v", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(7), "v").alias("k2"))
+
+
+def members(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``id``, ``point``: the rows with a usable vector and the smallest id of those with the same vector."""
+    rows = _usable(df, id_col, vec_col).select("id", "k1", "k2")
+    return rows.join(rows.groupBy("k1", "k2").agg(F.min("id").alias("point")), ["k1", "k2"]).select("id", "point")
+
 
-    Vectors go to cells around centres taken from a bounded sample. A pair may fall into two cells, so each vector also
-    goes to every cell whose centre is at most twice the pairs' greatest distance farther than its own: by the triangle
-    inequality the two then meet in the nearest cell of the first. Null, all-zero and odd-sized vectors have no pairs.
+def _cells(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, own cell of each row): a row is in the cell of its nearest centre and in every other that a row within
+    ``reach`` of it may have as its own: those whose bisecting plane is no farther than that."""
+    d = np.maximum(0, 1 + (c**2).sum(axis=1)[None] - 2 * (x @ c.T))
+    own = d.argmin(axis=1)
+    apart = np.sqrt(np.maximum(0, ((c[:, None] - c[None]) ** 2).sum(axis=2))) if len(c) <= 64 else np.sqrt(np.maximum(0, (c**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None] - 2 * c @ c.T))
+    i, j = np.nonzero(d - d[np.arange(len(x)), own][:, None] <= 2 * reach * apart[own] + 1e-9)
+    return i, j, own
+
+
+def close_pairs(x: np.ndarray, least: float, block: int = 2048, depth: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, product) of all rows i < j whose product is at least ``least``. Many rows are parted into overlapping cells first."""
+    n = len(x)
+    if n <= block or depth > 3:
+        out = []
+        for lo in range(0, n, block):
+            s = x[lo : lo + block] @ x[lo:].T
+            i, j = np.nonzero(s >= least - 1e-12)
+            ok = i < j
+            out.append((i[ok] + lo, j[ok] + lo, s[i[ok], j[ok]]))
+        return tuple(np.concatenate(a) if out else np.zeros(0) for a in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    c = x[np.random.default_rng(depth + 5).permutation(n)[: max(2, min(64, n // (block // 4)))]]
+    row, cell, own = _cells(x, c, math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6)
+    found = []
+    for k in range(len(c)):
+        at = row[cell == k]
+        if len(at) == n:  # the centres part nothing
+            return close_pairs(x, least, block, 9)
+        i, j, s = close_pairs(x[at], least, block, depth + 1)
+        i, j = at[i], at[j]
+        mine = np.minimum(own[i], own[j]) == k  # a pair may meet in several cells
+        found.append((i[mine], j[mine], s[mine]))
+    return tuple(np.concatenate(a) for a in zip(*found))
+
+
+def similar_pairs(df: DataFrame, id_col: str, vec_col: str, *, least: float = 0.98, cell_rows: int = 4000, sample_rows: int = 20_000, most_cells: int = 4096) -> DataFrame:
+    """All pairs (``a`` < ``b``) of points with a cosine of at least ``least``, with the cosine; exact.
+
+    Vectors go to cells around centres, one for every ``cell_rows`` rows, taken from a bounded sample. A pair may fall into
+    two cells, so each vector also goes to every cell that a near one may have as its own. A cell larger than expected is
+    parted again within its task. Null, all-zero and odd-sized vectors have no pairs; of vectors of several lengths each
+    is compared with those of its own.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where("v IS NOT NULL AND size(v) > 0").where(F.exists("v", lambda e: e != 0))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()
-    width = int(sample["v"].map(len).mode().iloc[0]) if len(sample) else 0
-    x = np.stack([v for v in sample["v"] if len(v) == width]).astype(np.float64) if width else np.zeros((0, 1))
-    if len(x):
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-    c = x[np.random.default_rng(3).permutation(len(x))[:centres]]
-    shared = spark.sparkContext.broadcast(c)
+    rows = _usable(df, id_col, vec_col)
+    total = rows.count()
+    share = min(1.0, 2 * sample_rows / max(1, total))
+    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) <= int(share * (1 << 20))).orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toPandas()
+    centres: dict[int, np.ndarray] = {}
+    if len(sample):
+        for width, group in sample.groupby(sample["v"].map(len)):
+            x = np.stack(group["v"].to_numpy()).astype(np.float64)
+            x = np.unique(x / np.linalg.norm(x, axis=1, keepdims=True), axis=0)
+            wanted = max(1, min(most_cells, len(x), -(-int(total * len(group) / len(sample)) // cell_rows)))
+            centres[int(width)] = x[np.random.default_rng(3).permutation(len(x))[:wanted]]
+    shared = spark.sparkContext.broadcast(centres)  # at most most_cells of each length
     reach = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
 
     def place(batches):
         for b in batches:
-            b = b[b["v"].map(len) == width]
-            if not len(b) or not len(shared.value):
-                continue
-            y = np.stack(b["v"].to_numpy()).astype(np.float64)
-            y /= np.linalg.norm(y, axis=1, keepdims=True)
-            d = np.sqrt(np.maximum(0, 2 - 2 * y @ shared.value.T))
-            own = d.argmin(axis=1)
-            i, cell = np.nonzero(d <= d.min(axis=1, keepdims=True) + 2 * reach)
-            yield pd.DataFrame({"cell": cell.astype(np.int32), "id": b["id"].to_numpy()[i], "own": own[i].astype(np.int32), "x": [r.tobytes() for r in y[i]]})
+            for width, g in b.groupby(b["v"].map(len)) if len(b) else ():
+                c = shared.value.get(int(width))
+                y = np.stack(g["v"].to_numpy()).astype(np.float64)
+                y /= np.linalg.norm(y, axis=1, keepdims=True)
+                c = y[:1] * 0 if c is None else c  # a length that the sample doesn't have: one cell
+                i, cell, own = _cells(y, c, reach)
+                yield pd.DataFrame({"width": np.int32(width), "cell": cell.astype(np.int32), "id": g["id"].to_numpy()[i], "own": own[i].astype(np.int32), "x": [r.tobytes() for r in y[i]]})
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("id", kind="stable")
-        y, ids, home = np.stack([np.frombuffer(r) for r in b["x"]]), b["id"].to_numpy(), (b["own"] == b["cell"]).to_numpy()
-        out = []
-        for lo in range(0, len(y), 1024):
-            s = y[lo : lo + 1024] @ y.T
-            i, j = np.nonzero(s >= least - 1e-12)
-            keep = (ids[i + lo] < ids[j]) & (home[i + lo] | home[j])
-            out.append(pd.DataFrame({"a": ids[i + lo][keep], "b": ids[j][keep], "cosine": s[i[keep], j[keep]]}))
-        return pd.concat(out, ignore_index=True)
+        y, ids, own, cell = np.stack([np.frombuffer(r) for r in b["x"]]), b["id"].to_numpy(), b["own"].to_numpy(), int(b["cell"].iloc[0])
+        i, j, s = close_pairs(y, least)
+        mine = np.minimum(own[i], own[j]) == cell  # both own cells hold the pair, and one of them reports it
+        return pd.DataFrame({"a": ids[i][mine], "b": ids[j][mine], "cosine": s[mine]})
 
-    placed = rows.mapInPandas(place, "cell int, id bigint, own int, x binary")
-    return placed.groupBy("cell").applyInPandas(compare, "a bigint, b bigint, cosine double").groupBy("a", "b").agg(F.round(F.max("cosine"), 6).alias("cosine"))
+    points = rows.groupBy("k1", "k2").agg(F.min("id").cast("bigint").alias("id"), F.first("v").alias("v")).select("id", "v")
+    placed = points.mapInPandas(place, "width int, cell int, id bigint, own int, x binary")
+    pairs = placed.groupBy("width", "cell").applyInPandas(compare, "a bigint, b bigint, cosine double")
+    return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-def greedy_keep(ids: DataFrame, pairs: DataFrame, *, most_rounds: int = 100) -> DataFrame:
+def greedy_keep(ids: DataFrame, pairs: DataFrame, membership: DataFrame | None = None) -> DataFrame:
     """``id``, ``kept``, ``kept_as``: what going through the rows by id and dropping each that is similar to a kept one before
-    leaves. ``kept_as`` is the first kept similar row of a dropped one.
+    leaves. ``kept_as`` is the first kept similar row of a dropped one. With ``membership`` (id, point), pairs are between points, and rows
+    go with their point: a later copy is dropped for what its point is kept as.
 
     This is the lexicographically first independent set: in each round a row without undecided smaller partner is
-    decided. Rows without partners need no round. Raises if it isn't settled after ``most_rounds``."""
+    decided. Rows without partners need no round, and each round decides the smallest undecided row at least; there are as many as
+    the longest chain of falling ids needs."""
+    pairs = cut(pairs.select("a", "b"))
     state = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    for _ in range(most_rounds):
+    while state.where("kept IS NULL").take(1):
         seen = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a")
         smaller = seen.groupBy(F.col("b").alias("id")).agg(F.max(F.when(F.col("ka"), 1).otherwise(0)).alias("beaten"), F.max(F.when(F.col("ka").isNull(), 1).otherwise(0)).alias("open"))
         now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("beaten", F.lit(0)) == 1, F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
         state = cut(state.join(smaller, "id", "left").select("id", now.alias("kept")))
-        if not state.where("kept IS NULL").take(1):
-            break
-    else:
-        raise RuntimeError(f"not settled after {most_rounds} rounds")
     owner = pairs.join(state.where("kept").select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("kept_as"))
-    decided = ids.select("id").distinct().join(state, "id", "left").withColumn("kept", F.coalesce("kept", F.lit(True)))
-    return decided.join(owner, "id", "left").select("id", "kept", F.when(F.col("kept"), F.col("id")).otherwise(F.col("kept_as")).alias("kept_as"))
+    decided = state.join(owner, "id", "left").select(F.col("id").alias("point"), "kept", F.when(F.col("kept"), F.col("id")).otherwise(F.col("kept_as")).alias("kept_as"))
+    rows = ids.select("id").distinct()
+    rows = rows.join(membership.distinct(), "id", "left").select("id", F.coalesce("point", "id").alias("point")) if membership is not None else rows.select("id", F.col("id").alias("point"))
+    got = rows.join(decided, "point", "left")
+    return got.select("id", (F.coalesce("kept", F.lit(True)) & (F.col("id") == F.col("point"))).alias("kept"), F.coalesce("kept_as", "point").alias("kept_as"))
 
 
 def merge_refs(rows: DataFrame, keep: DataFrame, refs_col: str) -> DataFrame:
-    """Kept rows with the distinct references of themselves and of those dropped for them, in order of the rows' ids."""
+    """Kept rows with the distinct references of themselves and of those dropped for them, in order of the rows' ids. References are made
+    distinct before they are gathered, so that many copies of one reference are one entry."""
     tagged = rows.join(keep.select("id", "kept_as"), "id").where(F.col(refs_col).isNotNull())
-    return tagged.groupBy(F.col("kept_as").alias("id")).agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", F.col(refs_col).alias("r")))), lambda z: z["r"]))).alias(refs_col))
+    each = tagged.select("kept_as", "id", F.posexplode(refs_col).alias("p", "r")).groupBy("kept_as", "r").agg(F.min(F.struct("id", "p")).alias("o"))
+    some = each.groupBy(F.col("kept_as").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "r"))), lambda z: z["r"]).alias(refs_col))
+    none = tagged.groupBy(F.col("kept_as").alias("id")).agg(F.count("*").alias("_n")).select("id")
+    return none.join(some, "id", "left").select("id", F.coalesce(refs_col, F.array().cast(rows.schema[refs_col].dataType)).alias(refs_col))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.units import CELL_PATTERN, header_unit, parse_unit, pick_number, remark_units
+from ..functions.units import CELL_PATTERN, header_unit, numbers_of, parse_unit, pick_number, remark_units
 
 UNIT_TYPE = T.StructType(
     [T.StructField("quantity", T.StringType()), T.StructField("factor", T.DoubleType()), T.StructField("offset", T.DoubleType()), T.StructField("common", T.BooleanType())]
@@ -41,8 +41,9 @@ def units_of_remark(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def number_of(written: pd.Series, quantity: pd.Series, factor: pd.Series, offset: pd.Series) -> pd.Series:
-    """The number a string stands for, decimal commas and thousands marks resolved by the quantity's usual values."""
-    return pd.Series([None if w is None or q is None else pick_number(w, q, f, o) for w, q, f, o in zip(written, quantity, factor, offset)], dtype="float64")
+    """The number a string stands for, decimal commas and thousands marks resolved by the quantity's usual values; without a
+    quantity the likelier reading."""
+    return pd.Series([None if w is None else numbers_of(w)[0] if q is None else pick_number(w, q, f, o) for w, q, f, o in zip(written, quantity, factor, offset)], dtype="float64")
 
 
 def _given(unit: Column) -> Column:
@@ -76,8 +77,7 @@ def convert_cells(df: DataFrame, key_cols: list[str], cell_col: str, *, fallback
     )
     quantity = F.col("_unit.quantity")
     got = got.withColumn("_n", number_of("_num", quantity, "_unit.factor", "_unit.offset"))
-    plain = F.try_to_number(F.regexp_replace("_num", ",", "."), F.lit("999999999.999999")).cast("double")
-    n = F.coalesce("_n", plain)
+    n = F.col("_n")
     names = F.create_map(*[F.lit(x) for q in ("speed:rpm", "torque:Nm", "temperature:°C", "pressure:bar", "power:kW", "length:mm", "mass:kg") for x in q.split(":")])
     return got.select(
         *key_cols,

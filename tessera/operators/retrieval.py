@@ -1,15 +1,20 @@
 """Retrieval: BM25 and dense vectors, fused by reciprocal ranks, with quality and topic adjustments.
 
-All operators take a table of questions (``qid`` and more) and answer all of them at once. The questions are small and
-go to every task; the corpus is never collected.
+All operators take a table of questions (``qid`` and more) and answer all of them at once. The questions go to
+every task, which is why there may be at most 10,000 of them at a time; the corpus is never collected.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import tokens
+from .graph import few
 
 
 def bm25_statistics(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -30,7 +35,7 @@ def bm25(docs: DataFrame, questions: DataFrame, *, id_col: str, text_col: str, k
     shuffled; the vocabulary's statistics are one aggregation.
     """
     toks, terms, corpus = bm25_statistics(docs, id_col, text_col)
-    asked = questions.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    asked = few(questions, 10_000).select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     mean = terms.agg(F.avg("raw_idf").alias("mean_idf"))
     idf = F.when(F.col("raw_idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf"))
     weights = terms.join(F.broadcast(asked.select("term").distinct()), "term").crossJoin(F.broadcast(mean)).select("term", idf.alias("idf"))
@@ -53,10 +58,40 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
 
 
-def dense(vectors: DataFrame, questions: DataFrame, *, id_col: str, vec_col: str) -> DataFrame:
-    """``qid``, ``id``, ``score``: cosine of every usable vector to every question's vector (``questions``: qid, qvec)."""
-    both = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).crossJoin(F.broadcast(questions.select("qid", "qvec")))
-    return both.select("qid", "id", cosine(F.col("_v"), F.col("qvec")).alias("score")).where("score IS NOT NULL")
+def dense(vectors: DataFrame, questions: DataFrame, *, id_col: str, vec_col: str, most: int | None = None, most_questions: int = 10_000) -> DataFrame:
+    """``qid``, ``id``, ``score``: cosine of every usable vector to every question's vector (``questions``: qid, qvec). With ``most``, only rows
+    that can be among a question's ``most`` best leave their batch (with some to spare for ties). Questions go to every task; more
+    than ``most_questions`` raise an error."""
+    asked = [(r["qid"], np.asarray(r["qvec"], np.float64)) for r in few(questions, most_questions).select("qid", "qvec").where("qvec IS NOT NULL").collect() if None not in r["qvec"]]
+    by_size: dict[int, tuple[list, np.ndarray]] = {}
+    for size in {len(v) for _, v in asked if np.linalg.norm(v) > 0}:
+        same = [(q, v / np.linalg.norm(v)) for q, v in asked if len(v) == size and np.linalg.norm(v) > 0]
+        by_size[size] = ([q for q, _ in same], np.stack([v for _, v in same]))
+    shared = vectors.sparkSession.sparkContext.broadcast(by_size)
+    qid_type, id_type = questions.schema["qid"].dataType, vectors.schema[id_col].dataType
+    qid_arrow = to_arrow_type(qid_type)
+
+    def run(batches):
+        for b in batches:
+            col = b.column("_v")
+            sizes = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for size, (qids, q) in shared.value.items():
+                at = np.flatnonzero(sizes == size)
+                if not len(at):
+                    continue
+                x = col.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size)
+                norm = np.linalg.norm(x, axis=1)
+                ok = np.isfinite(norm) & (norm > 0)
+                at, x = at[ok], x[ok] / norm[ok][:, None]
+                s = q @ x.T
+                if most and s.shape[1] > most:
+                    i, j = np.nonzero(s >= np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most, None] - 2e-6)
+                else:
+                    i, j = np.divmod(np.arange(s.size), max(1, s.shape[1]))
+                yield pa.record_batch({"qid": pa.array(qids, qid_arrow).take(pa.array(i)), "id": b.column("id").take(pa.array(at[j])), "score": s[i, j]})
+
+    schema = StructType([StructField("qid", qid_type), StructField("id", id_type), StructField("score", DoubleType())])
+    return vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).where("_v IS NOT NULL").mapInArrow(run, schema)
 
 
 def top_k(scored: DataFrame, k: int, *, by: str = "qid", order: list[Column] | None = None, rank: str = "rank") -> DataFrame:
@@ -94,7 +129,7 @@ def hybrid(chunks: DataFrame, questions: DataFrame, *, k: int = 20) -> DataFrame
     quality_score, downvote_count and topic."""
     order = [F.round("score", 9).desc(), F.col("id")]  # sums in another order differ in the last digits
     sparse = top_k(bm25(chunks, questions, id_col="id", text_col="content"), 2 * k, order=order).where("score > 0")
-    near = top_k(dense(chunks, questions, id_col="id", vec_col="embedding"), 2 * k, order=order)
+    near = top_k(dense(chunks, questions, id_col="id", vec_col="embedding", most=2 * k), 2 * k, order=order)
     fused = fuse([near, sparse]).join(chunks.select("id", "quality_score", "downvote_count", "topic"), "id")
     best = top_k(adjust_quality(fused), k, order=[F.round("score", 9).desc(), F.col("id")], rank="_r").drop("_r")
     asked = questions.select("qid", "wanted_topic")
@@ -103,7 +138,7 @@ def hybrid(chunks: DataFrame, questions: DataFrame, *, k: int = 20) -> DataFrame
 
 def lexical_rerank(hits: DataFrame, questions: DataFrame, *, text_col: str, k: int = 5) -> DataFrame:
     """The default reranker: the share of the question's distinct terms that the passage has, then the former score."""
-    asked = questions.select("qid", F.array_distinct(tokens(F.col("text"))).alias("_q"))
+    asked = few(questions, 10_000).select("qid", F.array_distinct(tokens(F.col("text"))).alias("_q"))
     both = hits.join(F.broadcast(asked), "qid")
     overlap = F.size(F.array_intersect("_q", tokens(F.col(text_col)))) / F.greatest(F.size("_q"), F.lit(1))
     return top_k(both.withColumn("rerank_score", overlap), k, order=[F.col("rerank_score").desc(), F.round("score", 9).desc(), F.col("id")])
@@ -112,7 +147,7 @@ def lexical_rerank(hits: DataFrame, questions: DataFrame, *, text_col: str, k: i
 def all_terms(docs: DataFrame, questions: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """Fallback search: documents that have every term of the question, ranked by how often. An approximation of a
     cover-density rank."""
-    asked = questions.select("qid", F.array_distinct(tokens(F.col("text"))).alias("_q")).where(F.size("_q") > 0)
+    asked = few(questions, 10_000).select("qid", F.array_distinct(tokens(F.col("text"))).alias("_q")).where(F.size("_q") > 0)
     toks = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("_t"))
     both = toks.crossJoin(F.broadcast(asked)).where(F.size(F.array_except("_q", "_t")) == 0)
     return both.select("qid", "id", F.size(F.filter("_t", lambda t: F.array_contains("_q", t))).alias("hits"))

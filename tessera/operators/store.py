@@ -1,10 +1,12 @@
-"""Changes to stored tables as new tables: versions, upserts, votes, suppression and deletion."""
+"""Changes to stored tables as new tables: batches of passages, images, turns, versions, upserts, votes, suppression, deletion and backfills."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import answers, chunking
+
 
 def register_versions(stored: DataFrame, new: DataFrame, *, key: str, order: list[str]) -> DataFrame:
     """``new`` with ``version``: one more than the key's greatest in ``stored``, counted up in order."""
@@ -61,3 +63,100 @@ def answer_report(answers: DataFrame, citations: DataFrame) -> DataFrame:
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "label"))), lambda c: F.concat(F.lit("["), c["no"].cast("string"), F.lit("] "), c["label"])), "\n")
     listed = citations.groupBy("qid").agg(lines.alias("sources"))
     return answers.join(listed, "qid", "left").select("qid", F.concat(F.lit("Question: "), "question", F.lit("\n\n"), "answer", F.lit("\n\nSources:\n"), F.coalesce("sources", F.lit("none"))).alias("report"))
+
+
+def store_batch(docs: DataFrame, key_cols: list[str], text_col: str) -> dict[str, DataFrame]:
+    """What a batch of parsed documents adds to the store: ``chunks`` (passages, and tables as one passage each), ``formulas`` of the passages
+    and ``facts`` of the tables. All from one lineage, so that they are of one batch."""
+    prose = chunking.chunk_documents(docs, key_cols, text_col).select(*key_cols, "chunk_index", "page", F.lit("prose").alias("chunk_type"), F.lit(None).cast("string").alias("table_name"), "content")
+    tabs = chunking.chunk_tables(docs, key_cols).select(*key_cols, F.col("table_no").alias("chunk_index"), F.lit(None).cast("int").alias("page"), F.lit("table").alias("chunk_type"), "table_name", "content")
+    return {"chunks": prose.unionByName(tabs), "formulas": answers.formulas(prose, [*key_cols, "chunk_index"], "content"), "facts": chunking.table_facts(docs, key_cols)}
+
+
+def nearest_chunk(places: DataFrame, chunks: DataFrame, *, doc: str = "doc_id", page: str = "page") -> DataFrame:
+    """``places`` with ``chunk_id``: the first chunk (id, ``doc``, ``page``, chunk_index) of the same page, else the document's first; null for a place
+    without a page. Each document's chunks are reduced to one a page before the join."""
+    first_of_page = chunks.where(F.col(page).isNotNull()).groupBy(doc, page).agg(F.min_by("id", F.struct(F.coalesce("chunk_index", F.lit(0)), "id")).alias("_p"))
+    first_of_doc = chunks.groupBy(doc).agg(F.min("id").alias("_d"))
+    got = places.join(first_of_page, [doc, page], "left").join(first_of_doc, doc, "left")
+    return got.withColumn("chunk_id", F.when(F.col(page).isNotNull(), F.coalesce("_p", "_d"))).drop("_p", "_d")
+
+
+def add_images(stored: DataFrame, docs: DataFrame, chunks: DataFrame, *, doc: str = "doc_id") -> DataFrame:
+    """New image rows (``doc``, ``page``, ``image_index``, ``caption``, ``chunk_id``) of documents that have none stored yet."""
+    fresh = docs.join(stored.select(doc).distinct(), doc, "left_anti").select(doc, F.inline("images")).distinct()
+    return nearest_chunk(fresh, chunks, doc=doc)
+
+
+def figures_for(hits: DataFrame, images: DataFrame, *, most: int = 3) -> DataFrame:
+    """For each hit (id, doc_id, page) up to ``most`` images (doc_id, page, image_index, caption) of its page, or of its document if its page has
+    none: ``id``, ``no``, ``page``, ``image_index``, ``caption``."""
+    w = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy("page", "image_index"))
+    by_page = images.withColumn("no", w("doc_id", "page")).where(F.col("no") <= most)
+    by_doc = images.withColumn("no", w("doc_id")).where(F.col("no") <= most).withColumnRenamed("page", "image_page")
+    own = hits.select("id", "doc_id", "page").join(by_page, ["doc_id", "page"]).select("id", "no", "page", "image_index", "caption")
+    rest = hits.select("id", "doc_id").join(own.select("id").distinct(), "id", "left_anti")
+    return own.unionByName(rest.join(by_doc, "doc_id").select("id", "no", F.col("image_page").alias("page"), "image_index", "caption"))
+
+
+def append_turns(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Conversations (session_id, turn, role, content) with new turns (session_id, at, role, content) after those that are there, in order of ``at``."""
+    last = stored.groupBy("session_id").agg(F.max("turn").alias("_last"))
+    no = F.row_number().over(Window.partitionBy("session_id").orderBy("at", "role", "content"))
+    added = new.join(last, "session_id", "left").withColumn("turn", F.coalesce(F.col("_last") + 1, F.lit(0)) + no - 1)
+    return stored.select("session_id", "turn", "role", "content").unionByName(added.select("session_id", "turn", "role", "content"))
+
+
+def last_turns(turns: DataFrame, *, most: int = 4) -> DataFrame:
+    """The ``most`` last turns of each conversation."""
+    return turns.withColumn("_r", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("turn")))).where(F.col("_r") <= most).drop("_r")
+
+
+def add_corrections(chunks: DataFrame, feedback: DataFrame, *, least: int = 20) -> DataFrame:
+    """Chunks (content, quality_score, vote_count, source_type) and the corrections among ``feedback`` that are long enough, as chunks."""
+    new = corrections_as_chunks(feedback, least=least)
+    return chunks.unionByName(new.select("content", "quality_score", "vote_count", "source_type"))
+
+
+def missing_columns(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """``rows`` with the columns that older ones lack, and their nulls filled by ``defaults``."""
+    return rows.withColumns({c: (F.coalesce(c, v) if c in rows.columns else v) for c, v in defaults.items()})
+
+
+def optional(df: DataFrame, *conditions: Column | None) -> DataFrame:
+    """Rows that meet all conditions that are given; None stands for one that isn't."""
+    for c in conditions:
+        if c is not None:
+            df = df.where(c)
+    return df
+
+
+def page_of(df: DataFrame, order: list, *, limit: int = 50, offset: int = 0, most: int = 200) -> DataFrame:
+    """One page in ``order``: ``limit`` from 1 to ``most``, ``offset`` from 0."""
+    return df.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, most)))
+
+
+def select_files(files: DataFrame, *, most: int = 500, largest: int = 20_000_000) -> DataFrame:
+    """``id``, ``reason``, ``selected``: the first reason against ingesting a file, and the first ``most`` by id of those without. The last id selected comes from
+    a top-k over all tasks; nothing is put in one order."""
+    why = (
+        F.when(~F.coalesce("supported", F.lit(False)), "unsupported")
+        .when(F.col("size_bytes").isNull() | (F.col("size_bytes") == 0), "missing_file")
+        .when(F.col("size_bytes") > largest, "too_large")
+        .when(F.col("status") == "ingested", "already_ingested")
+    )
+    judged = files.select("id", why.alias("reason"))
+    last = judged.where("reason IS NULL").orderBy("id").limit(most).agg(F.max("id").alias("_last"))
+    got = judged.crossJoin(F.broadcast(last))  # one row
+    late = F.col("reason").isNull() & (F.col("id") > F.col("_last"))
+    return got.select("id", F.when(late, "over_max").otherwise(F.col("reason")).alias("reason"), (F.col("reason").isNull() & ~late).alias("selected"))
+
+
+def latest_job(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """``doc_id``, ``filename``, ``status``, ``error``: of each document (doc_id, filename) the latest file whose name is its own, regardless of case, or its id. The
+    either-or is two keys of an equi join."""
+    key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("name"))
+    d = docs.select("doc_id", "filename").distinct().select("*", F.explode(F.array(key("any case", F.lower("filename")), key("exact", F.col("doc_id")))).alias("k"))
+    f = files.select("id", "status", "error", "created_at", F.explode(F.array(key("any case", F.lower("file_name")), key("exact", F.col("file_name")))).alias("k")).where("k.name IS NOT NULL")
+    hit = d.join(f, "k").groupBy("doc_id", "filename").agg(F.max_by(F.struct("status", "error"), F.struct("created_at", "id")).alias("j"))
+    return docs.select("doc_id", "filename").distinct().join(hit, ["doc_id", "filename"], "left").select("doc_id", "filename", "j.status", "j.error")

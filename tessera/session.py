@@ -24,16 +24,17 @@ def get_spark(app: str = "tessera", master: str | None = None, **conf: str) -> S
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The shared folder for checkpoints: ``spark.checkpoint.dir``. Only on a local master, where all tasks share this machine, one of
+    our own serves if it is unset; on a cluster that is an error."""
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if found:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(found)
-        return found
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tessera-checkpoints"))
-    return sc.getCheckpointDir()
+        sc.setCheckpointDir(found)
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -16,19 +16,33 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vocab
+
 PARSED_SCHEMA = "path string, filename string, type string, status string, text string, tables array<struct<name:string,rows:array<array<string>>,units:map<string,string>>>"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+_P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _SKIP = r"(?i)(^|/)(\.[^/]*|~\$[^/]*|\$recycle\.bin|__pycache__|node_modules|system volume information|thumbs\.db)(/|$)"
 
 
-def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """Inventory of a folder: path, file name, extension, size and time; contents aren't read. Hidden and system entries are
-    left out."""
+def scan_files(spark: SparkSession, root: str, *, most: int | None = None) -> DataFrame:
+    """Inventory of a folder: path, path under the folder, file name, extension, size, time, topic (its first folder, without a leading
+    number), category and why a file won't be parsed; contents aren't read. Hidden and system entries are left out. With
+    ``most``, only the first files by path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return files.select("path", name.alias("file_name"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("extension"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at")).where(~F.col("path").rlike(_SKIP))
+    ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    base = files.where(~F.col("path").rlike(_SKIP)).select("path", name.alias("file_name"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("extension"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), ext.alias("_e"))
+    plain = F.regexp_replace("path", "^[a-z]+:/*", "/")
+    under = F.regexp_replace(F.substr(plain, F.length(F.lit(root.rstrip("/"))) + 1), "^/+", "")
+    category = F.lit("unknown")
+    for kind, members in vocab.CATEGORIES.items():
+        category = F.when(F.col("_e").isin(members), kind).otherwise(category)
+    topic = F.when(F.contains("relative_path", F.lit("/")), F.nullif(F.regexp_replace(F.split_part("relative_path", F.lit("/"), F.lit(1)), r"^[0-9.\-_ ]+", ""), F.lit("")))
+    reason = F.when(F.col("_e").isin(vocab.PARSED), F.lit(None)).when(F.col("category") == "cad_engineering", "metadata_only_cad").when(F.col("category") == "archives", "metadata_only_archive").otherwise("unsupported_extension")
+    out = base.withColumn("relative_path", under).withColumns({"topic": F.coalesce(topic, F.lit("Unsorted")), "category": category}).withColumn("skipped_reason", reason).drop("_e")
+    return out.orderBy("path").limit(most) if most else out
 
 
 def unit_of_header(header: str) -> str | None:
@@ -89,18 +103,35 @@ def parse_xlsx(data: bytes, name: str) -> tuple[str, list[dict]]:
     return "\n".join(summary(t) for t in tables), tables
 
 
-def parse_pptx(data: bytes, name: str, least: int = 100) -> tuple[str, list[dict]]:
-    """Slides as text; a slide with less than ``least`` characters goes together with those after it until they have as many."""
+def parse_pptx(data: bytes, name: str, least: int = 100, least_notes: int = 20) -> tuple[str, list[dict]]:
+    """Slides as text: the title on a line of its own, the other shapes' text, and notes of more than ``least_notes`` characters; tables of
+    slides as tables. A slide with less than ``least`` characters goes together with those after it until they have as many."""
+    lines = lambda e: [t for p in e.iter(_A + "p") if (t := "".join(x.text or "" for x in p.iter(_A + "t"))).strip()]
+    number = lambda n: int(re.search(r"(\d+)\.xml$", n)[1])
+    tables, slides = [], []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        files = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-        slides = ["\n".join(t for p in ElementTree.fromstring(z.read(n)).iter(_A + "p") if (t := "".join(x.text or "" for x in p.iter(_A + "t"))).strip()) for n in files]
+        names = set(z.namelist())
+        for file in sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=number):
+            slide, out, in_table = ElementTree.fromstring(z.read(file)), [], set()
+            for i, tab in enumerate(slide.iter(_A + "tbl")):
+                rows = [[" ".join(lines(c)) for c in r.iter(_A + "tc")] for r in tab.iter(_A + "tr")]
+                tables.append(_table(f"slide_{number(file)}_table" + (f"_{i}" if i else ""), rows))
+                in_table.update(id(p) for p in tab.iter(_A + "p"))
+            for shape in slide.iter(_P + "sp"):
+                kind = next((ph.get("type", "") for ph in shape.iter(_P + "ph")), None)
+                got = [t for p in shape.iter(_A + "p") if id(p) not in in_table and (t := "".join(x.text or "" for x in p.iter(_A + "t"))).strip()]
+                out += [f"Title: {' '.join(got)}"] if kind in ("title", "ctrTitle") and got else got
+            notes = file.replace("slides/slide", "notesSlides/notesSlide")
+            if notes in names and len(said := " ".join(lines(ElementTree.fromstring(z.read(notes))))) > least_notes:
+                out.append(f"Notes: {said}")
+            slides.append("\n".join(out))
     merged, now = [], ""
     for s in slides:
         now = f"{now}\n{s}".strip()
         if len(now) >= least:
             merged.append(now)
             now = ""
-    return "\n\n".join([*merged, now] if now else merged), []
+    return "\n\n".join([*merged, now] if now else merged), tables
 
 
 def parse_url(data: bytes, name: str) -> tuple[str, list[dict]]:
@@ -116,10 +147,20 @@ PARSERS = {"csv": parse_csv, "docx": parse_docx, "xlsx": parse_xlsx, "pptx": par
 NEEDS_LIBRARY = {"pdf": "needs_pdf_library", "png": "needs_ocr", "jpg": "needs_ocr", "jpeg": "needs_ocr", "doc": "needs_converter", "ppt": "needs_converter", "xls": "needs_converter"}
 
 
-def parse_files(spark: SparkSession, root: str) -> DataFrame:
+def parse_files(spark: SparkSession, root: str, *, page_readers: dict | None = None, captioner=None) -> DataFrame:
     """All files of a folder parsed, one row each with ``status``: parsed, parse_error, unsupported, or what it would need. A
-    damaged file doesn't fail the job."""
+    damaged file doesn't fail the job.
+
+    ``page_readers`` gives for an extension (pdf, png, doc ...) a function from a file's bytes to the texts of its pages, which is where a
+    library for it is plugged in; ``captioner`` one from an image file's bytes to a caption, which is added to its text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(~F.col("path").rlike(_SKIP)).select("path", "content")
+    readers = page_readers or {}
+
+    def parse(ext: str, data: bytes, stem: str) -> tuple[str, list[dict]]:
+        if ext not in readers:
+            return PARSERS[ext](data, stem)
+        text = "\n".join(f"[PAGE_BREAK:{i}]{t}" for i, t in enumerate(readers[ext](data), 1) if t is not None)
+        return text + (f"\n[Figure p.1/1]: {captioner(data)}" if captioner and ext in ("png", "jpg", "jpeg") else ""), []
 
     def run(batches):
         for b in batches:
@@ -128,9 +169,9 @@ def parse_files(spark: SparkSession, root: str) -> DataFrame:
                 name = path.rsplit("/", 1)[-1]
                 ext = name.rsplit(".", 1)[-1].lower() if "." in name else ""
                 text, tables, status = None, [], NEEDS_LIBRARY.get(ext, "unsupported")
-                if ext in PARSERS:
+                if ext in PARSERS or ext in readers:
                     try:
-                        text, tables = PARSERS[ext](bytes(data), name.rsplit(".", 1)[0])
+                        text, tables = parse(ext, bytes(data), name.rsplit(".", 1)[0])
                         status = "parsed"
                     except Exception:  # noqa: BLE001  whatever a damaged file raises
                         status = "parse_error"

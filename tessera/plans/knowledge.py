@@ -7,17 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vocab
-from ..operators import answers, chunking, dedup, graph, normalize, retrieval, store, trust
+from ..operators import answers, chunking, dedup, retrieval, store, trust
 from ..session import table
 from ..streaming import pipelines
-from .portable import INTENT_HITS, _SEED
+from .portable import INTENT_HITS
 
 Q: dict = {}
 SQL: dict[str, str] = {}
 
 QUESTIONS = [(1, "why does the fuel pump trouble keep coming back", "fuel"), (2, "What torque is the spark plug set to?", "ignition"), (3, "noise measurement at the fence and the sound level", "vibration")]
 _ASKED = "(VALUES " + ", ".join(f"({i}, '{t}', '{w}')" for i, t, w in QUESTIONS) + ") AS a(qid, text, wanted_topic)"
-_EDGES_SQL = f"(SELECT * FROM {_SEED})"
 
 
 def query(sql: str | None = None):
@@ -99,27 +98,6 @@ def n25_json(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
 
 
-_CLEANED = r"regexp_replace(trim(regexp_replace(coalesce(name, ''), '\s+', ' ', 'g')), '^[ :;,.()\[\]{}]+|[ :;,.()\[\]{}]+$', '', 'g')"
-_NOISY = f"(length(n) < 2 OR regexp_matches(lower(n), '{normalize.NOISE}') OR " + " OR ".join(f"contains(lower(n), '{p}')" for p in normalize._PHRASES) + ")"
-
-
-@query(f"SELECT id, {_NOISY} AS noise, regexp_matches(lower(n), '{normalize.SPEC}') AS spec FROM (SELECT id, {_CLEANED} AS n FROM graph_nodes)")
-def n19_noise(spark, d):
-    return table(spark, d, "graph_nodes").select("id", normalize.is_noise(F.col("name")).alias("noise"), normalize.is_spec(F.col("name")).alias("spec"))
-
-
-_KEY = r"trim(regexp_replace(regexp_replace(lower(regexp_replace(trim(regexp_replace(coalesce({c}, ''), '\s+', ' ', 'g')), '^[ :;,.()\[\]{{}}]+|[ :;,.()\[\]{{}}]+$', '', 'g')), '[\-_]+', ' ', 'g'), '\s+', ' ', 'g'))"
-
-
-@query(f"""WITH a AS (SELECT {_KEY.format(c='a')} AS k, type AS t, min(canonical_name) AS c FROM (SELECT type, canonical_name, unnest(list_concat([canonical_name], coalesce(aliases, []))) AS a FROM canonical_entities WHERE list_name = 'name') GROUP BY ALL),
-b AS (SELECT id, {_CLEANED} AS n, lower(trim(coalesce(type, 'unknown'))) AS p, {_KEY.format(c='name')} AS k FROM graph_nodes),
-j AS (SELECT b.id, a.t, a.c, row_number() OVER (PARTITION BY b.id ORDER BY CASE WHEN a.t = b.p THEN -1 WHEN a.t = 'part' THEN 0 WHEN a.t = 'system' THEN 1 WHEN a.t = 'symptom' THEN 2 WHEN a.t = 'cause' THEN 3 WHEN a.t = 'fix' THEN 4 ELSE 5 END, a.t, a.c) AS rn FROM b JOIN a ON a.k = b.k AND a.k <> ''),
-r AS (SELECT b.*, j.t, j.c, regexp_matches(lower(n), '{normalize.SPEC}') AS spec, CASE WHEN n = '' THEN 'empty' WHEN {_NOISY} AND NOT regexp_matches(lower(n), '{normalize.SPEC}') THEN 'noise' ELSE '' END AS reason FROM b LEFT JOIN j ON j.id = b.id AND j.rn = 1)
-SELECT id, CASE WHEN reason <> '' THEN '' WHEN spec THEN n ELSE coalesce(c, upper(left(n, 1)) || substring(n, 2)) END AS canonical, CASE WHEN reason <> '' THEN p WHEN spec THEN 'spec' ELSE coalesce(t, p) END AS node_type, reason FROM r""")
-def n21_normalize(spark, d):
-    return normalize.normalize_entities(table(spark, d, "graph_nodes"), table(spark, d, "canonical_entities").where("list_name = 'name'"), key_cols=["id"], name_col="name", type_col="type")
-
-
 @query(r"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(content, '\[Table: [^\]]*\]|\[PAGE_BREAK:\d+\]', ' ', 'g'), '[ \t\n\r\f\x0B]*\|[ \t\n\r\f\x0B]*', ', ', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS shown FROM chunks")
 def n12_display(spark, d):
     return table(spark, d, "chunks").select("id", tx.display_text(F.col("content")).alias("shown"))
@@ -145,11 +123,15 @@ WITH d AS (SELECT parsed_id, regexp_replace(text, '\[PAGE_BREAK:\d+\]', '', 'g')
 w AS (SELECT parsed_id, t, pos FROM d, unnest(generate_series(0, length(t) - 1, 600)) AS u(pos) WHERE length(t) > 0),
 e AS (SELECT parsed_id, pos, regexp_replace(substring(t, pos + 1, 700 + length(regexp_extract(substring(t, pos + 701, 150), '(?s)\A(.*?(?:[.!?](?:\s|\z)|\n\n))', 1))), '^\s+|\s+$', '', 'g') AS content FROM w)
 SELECT parsed_id, CAST(row_number() OVER (PARTITION BY parsed_id ORDER BY pos) - 1 AS INT) AS chunk_index, CAST(pos AS INT) AS pos, content FROM e WHERE content <> ''"""
+_PAGED = r"""
+WITH b AS (SELECT parsed_id, regexp_extract_all(text, '\[PAGE_BREAK:(\d+)\]', 1) AS pages, regexp_split_to_array(text, '\[PAGE_BREAK:\d+\]') AS parts FROM parsed_docs),
+s AS (SELECT parsed_id, CAST(pages[i] AS INT) AS page, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) AS INT) AS start, i FROM b, unnest(generate_series(1, len(pages))) AS u(i)),
+c AS ("""
 
 
-@query(_CHUNKER)
+@query(_PAGED + _CHUNKER + ") SELECT c.*, coalesce((SELECT arg_max(page, i) FROM s WHERE s.parsed_id = c.parsed_id AND s.start <= c.pos), 1) AS page FROM c")
 def x1_chunker(spark, d):
-    return chunking.chunk_documents(table(spark, d, "parsed_docs"), ["parsed_id"], "text").drop("page")
+    return chunking.chunk_documents(table(spark, d, "parsed_docs"), ["parsed_id"], "text")
 
 
 @query(_CHUNKER.replace("SELECT parsed_id, CAST(row_number", "SELECT parsed_id, count(*) AS n_chunks, CAST(sum(length(content)) AS BIGINT) AS n_characters FROM (SELECT parsed_id, CAST(row_number") + ") GROUP BY parsed_id")
@@ -177,35 +159,6 @@ def x18_spec(spark, d):
     return x5_facts(spark, d).where(F.contains(F.lower("col_label"), F.lit("torque"))).select("parsed_id", "sheet", "key", "value")
 
 
-@query("""SELECT tag AS name, count(*) AS n FROM (SELECT unnest(metadata.tags) AS tag FROM chunks) GROUP BY tag ORDER BY n DESC, name LIMIT 30""")
-def a7_array_freq(spark, d):
-    return table(spark, d, "chunks").select(F.explode("metadata.tags").alias("name")).groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(30)
-
-
-_PARTS = "[" + ", ".join(f"'{p}'" for p in vocab.PART_WORDS) + "]"
-
-
-@query(f"SELECT id, part FROM (SELECT id, unnest(list_filter({_PARTS}, lambda p: contains(lower(content), p))) AS part FROM chunks WHERE length(content) >= 80)")
-def x2_entities(spark, d):
-    ents, _ = answers.entities(F.col("content"), most=1000)
-    return table(spark, d, "chunks").select("id", F.inline(ents)).where("type = 'part'").select("id", F.col("name").alias("part"))
-
-
-def x6_formulas(spark, d):
-    """Formulas in all documents and chunks."""
-    docs = table(spark, d, "documents").select(F.lit("documents").alias("source_table"), F.col("doc_id").alias("row_id"), "text")
-    chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("source_table"), F.col("id").alias("row_id"), F.col("content").alias("text"))
-    return answers.formulas(docs.unionByName(chunks), ["source_table", "row_id"], "text")
-
-
-Q["x6_formulas"] = x6_formulas
-
-
-@query("""SELECT doc_id, any_value(title) AS title, count(*) AS n FROM (SELECT doc_id, 'unsorted' AS title FROM chunks WHERE contains(content, '=')) GROUP BY doc_id""")
-def a10_formula_chunks(spark, d):
-    return table(spark, d, "chunks").where(F.contains("content", F.lit("="))).groupBy("doc_id").agg(F.first(F.lit("unsorted")).alias("title"), F.count("*").alias("n"))
-
-
 # --- retrieval ----------------------------------------------------------------------------------------------------
 
 _BM25 = r"""
@@ -319,15 +272,27 @@ def j14_nearest1(spark, d):
     return best.select("qid", (-F.col("b.i")).alias("nearest"), F.col("b.score").alias("cosine"))
 
 
+# greedy keeping one row after the other; only rows with a partner can be dropped
+_GREEDY = f"""
+WITH RECURSIVE v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS v, len(embedding) AS n FROM chunks WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda e: abs(e))) > 0),
+u AS (SELECT id, list_transform(v, lambda e: e / sqrt(list_dot_product(v, v))) AS v, n FROM v),
+p AS (SELECT b.id, list(a.id ORDER BY a.id) AS before FROM u a JOIN u b ON a.id < b.id AND a.n = b.n AND list_dot_product(a.v, b.v) >= 0.98 GROUP BY b.id),
+s AS (SELECT id, before, row_number() OVER (ORDER BY id) AS i FROM p),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS dropped UNION ALL
+      SELECT s.i, CASE WHEN len(list_filter(before, lambda b: NOT list_contains(dropped, b))) > 0 THEN list_append(dropped, s.id) ELSE dropped END FROM g JOIN s ON s.i = g.i + 1),
+z AS (SELECT dropped FROM g ORDER BY i DESC LIMIT 1), f AS (SELECT unnest(dropped) AS id FROM z),
+o AS (SELECT p.id, min(b) AS owner FROM (SELECT id, unnest(before) AS b FROM p) p WHERE b NOT IN (SELECT id FROM f) GROUP BY p.id),
+k AS (SELECT c.id, f.id IS NULL AS kept, CASE WHEN f.id IS NULL THEN c.id ELSE o.owner END AS kept_as FROM chunks c LEFT JOIN f USING (id) LEFT JOIN o USING (id))"""
+
+
+@query(_GREEDY + " SELECT id, kept, kept_as FROM k")
 def x4_dedup(spark, d):
     """Chunks kept when near-duplicates (cosine 0.98) of an earlier one are dropped."""
     chunks = table(spark, d, "chunks")
-    return dedup.greedy_keep(chunks.select("id"), dedup.similar_pairs(chunks, "id", "embedding", least=0.98))
-
-
-Q["x4_dedup"] = x4_dedup
+    return dedup.greedy_keep(chunks.select("id"), dedup.similar_pairs(chunks, "id", "embedding", least=0.98), dedup.members(chunks, "id", "embedding"))
 
 
+@query(_GREEDY + ", t AS (SELECT kept_as AS id, unnest(source_refs) AS r FROM chunks JOIN k USING (id)) SELECT k.id, CAST(count(DISTINCT (r.filename, r.page, r.topic)) FILTER (r IS NOT NULL) AS INT) AS n_refs FROM k LEFT JOIN t ON t.id = k.id WHERE k.kept AND k.id IN (SELECT kept_as FROM k JOIN chunks USING (id) WHERE source_refs IS NOT NULL) GROUP BY k.id")
 def u3_ref_union(spark, d):
     """References of kept chunks together with those of their duplicates."""
     chunks = table(spark, d, "chunks")
@@ -335,92 +300,56 @@ def u3_ref_union(spark, d):
     return merged.select("id", F.size("source_refs").alias("n_refs"))
 
 
-Q["u3_ref_union"] = u3_ref_union
-
-
-# --- graph --------------------------------------------------------------------------------------------------------
-
-
-def _terms(spark, d) -> DataFrame:
-    return table(spark, d, "canonical_entities").where("list_name = 'name'").select("type", F.col("canonical_name").alias("name"))
-
-
-@query(f"""WITH a AS (SELECT qid, text FROM {_ASKED}), e AS {_EDGES_SQL}, p AS (SELECT c.src AS symptom, c.dst AS cause, f.dst AS fix FROM e c LEFT JOIN e f ON f.relation = 'FIXED_BY' AND f.src_type = c.dst_type AND f.src = c.dst WHERE c.relation = 'CAUSED_BY')
-SELECT qid, symptom, cause, fix, concat_ws(' -> ', symptom, cause, fix) AS path FROM a JOIN p ON len(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 4 AND contains(lower(concat_ws(' ', symptom, cause, fix)), w))) > 0""")
-def x16_kg_context(spark, d):
-    _, edges = graph.seed_graph(spark)
-    paths = graph.diagnostic_paths(edges).withColumn("path", F.concat_ws(" -> ", "symptom", "cause", "fix"))
-    asked = questions(spark).select("qid", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("w")).where(F.length("w") >= 4)
-    return paths.join(F.broadcast(asked), F.contains(F.lower(F.concat_ws(" ", "symptom", "cause", "fix")), F.col("w"))).select("qid", "symptom", "cause", "fix", "path").distinct()
-
-
-def x14_cooccur(spark, d):
-    """Edges between listed parts, symptoms and causes that occur in one chunk, with their number of chunks."""
-    found = graph.mentions(table(spark, d, "chunks"), ["id"], "content", _terms(spark, d))
-    rules = {("engine", "part"): "HAS_PART", ("part", "spec"): "HAS_SPEC", ("symptom", "cause"): "CAUSED_BY", ("cause", "fix"): "FIXED_BY", ("part", "procedure"): "REQUIRES_PROCEDURE", ("part", "warning"): "HAS_WARNING", ("part", "part"): "RELATED_TO"}
-    return graph.co_occurrence(found, ["id"], rules=rules).groupBy("src_type", "src", "relation", "dst_type", "dst").agg(F.count("*").alias("n_chunks"))
-
-
-Q["x14_cooccur"] = x14_cooccur
-
-
-def x13_rules(spark, d):
-    """Cause and fix statements in all chunks."""
-    return graph.rule_edges(table(spark, d, "chunks"), ["id"], "content")
-
-
-Q["x13_rules"] = x13_rules
-
-
-@query("SELECT type, name, arg_max(props.confidence, id) FILTER (props.confidence IS NOT NULL) AS confidence, arg_max(props.page, id) FILTER (props.page IS NOT NULL) AS page FROM graph_nodes GROUP BY type, name")
-def k4_node_upsert(spark, d):
-    n = table(spark, d, "graph_nodes").select("id", "type", "name", F.col("props.confidence").alias("confidence"), F.col("props.page").alias("page"))
-    return graph.merge_nodes(n, "id", ["confidence", "page"])
-
-
-@query(f"SELECT DISTINCT lower(concat_ws('|', coalesce(src_type, ''), coalesce(src, ''), coalesce(relation, ''), coalesce(dst_type, ''), coalesce(dst, ''), '', '')) AS edge_key FROM (SELECT * FROM {_SEED} UNION ALL SELECT 'part', name, 'LISTED_IN', 'source', 'nodes' FROM graph_nodes WHERE name IS NOT NULL)")
-def k5_edge_insert(spark, d):
-    _, edges = graph.seed_graph(spark)
-    new = table(spark, d, "graph_nodes").where("name IS NOT NULL").select(F.lit("part").alias("src_type"), F.col("name").alias("src"), F.lit("LISTED_IN").alias("relation"), F.lit("source").alias("dst_type"), F.lit("nodes").alias("dst"), F.lit(0.5).alias("confidence"), F.lit("table").alias("extraction_method"))
-    key = tx.edge_key(F.col("src_type"), F.col("src"), F.col("relation"), F.col("dst_type"), F.col("dst"), F.lit(None), F.lit(None))
-    return graph.add_edges(edges, new, key).select("edge_key")
-
-
 # --- trust --------------------------------------------------------------------------------------------------------
 
-_STATEMENTS = [(1, "m1", "The maximum temperature limit is 220 °C at full load."), (2, "m2", "Rated limit: 210 °C, pressure 3,5 bar."), (3, "m3", "Published 2013, page 42, temperature note."), (4, "m4", "Maximum pressure 4.1 bar, torque 25 Nm.")]
-_STATED = "(VALUES " + ", ".join(f"({i}, '{s}', '{t}')" for i, s, t in _STATEMENTS) + ") AS v(id, source, text)"
-
-
-@query("SELECT * FROM (VALUES (1, 'bar', 2, 2, CAST(3.5 AS DOUBLE), CAST(4.1 AS DOUBLE), CAST(0.6 AS DOUBLE)), (1, '°c', 2, 2, CAST(210 AS DOUBLE), CAST(220 AS DOUBLE), CAST(10 AS DOUBLE))) AS v(grp, unit, n_sources, n_values, low, high, spread)")
-def x19_conflict(spark, d):
-    found = trust.measures(spark.createDataFrame(_STATEMENTS, "id int, source string, text string"), ["id", "source"], "text")
-    got = trust.conflicts(found.withColumn("grp", F.lit(1)), group="grp", source="source", order=["id", "pos"])
-    return got.withColumn("n_sources", F.col("n_sources").cast("int")).withColumn("n_values", F.col("n_values").cast("int"))
+_M = r"((\d+(?:[.,]\d+)?)\s*(" + "|".join(sorted(vocab.UNIT_RANGES, key=len, reverse=True)) + r"))([^\p{L}\d]|$)"
+_RANGE = " OR ".join(f"(unit = '{u}' AND value BETWEEN {lo} AND {hi})" for u, (lo, hi) in vocab.UNIT_RANGES.items())
+_NEAR = " OR ".join(f"contains(near, '{w}')" for w in vocab.SPEC_CONTEXT)
+_MEASURES = rf"""
+WITH k AS (SELECT id, doc_id, metadata.topic AS topic, content, string_split(regexp_replace(content, '{_M}', chr(1) || '\1\4', 'g'), chr(1)) AS parts FROM chunks WHERE regexp_matches(content, '{_M}')),
+p AS (SELECT id, doc_id, topic, content, parts[i] AS part, CAST(list_sum(list_transform(parts[1:i-1], lambda x: length(x))) AS INT) AS pos FROM k, unnest(generate_series(2, len(parts))) AS u(i)),
+m AS (SELECT id, doc_id, topic, pos, regexp_extract(part, '^{_M}', 2) AS number, regexp_extract(part, '^{_M}', 3) AS unit, CAST(replace(regexp_extract(part, '^{_M}', 2), ',', '.') AS DOUBLE) AS value,
+      lower(substring(content, greatest(pos + 1 - 80, 1), least(pos, 80) + length(regexp_extract(part, '^{_M}', 1)) + 80)) AS near FROM p),
+f AS (SELECT * FROM m WHERE ({_RANGE}) AND ({_NEAR}))"""
 
 
+@query(_MEASURES + " SELECT id, doc_id, pos, number, value, unit FROM f")
 def x19_measures(spark, d):
     """Plausible measures in all chunks."""
     return trust.measures(table(spark, d, "chunks"), ["id", "doc_id"], "content")
 
 
-Q["x19_measures"] = x19_measures
+_CONFLICTS = (
+    _MEASURES
+    + """, w AS (SELECT topic, lower(unit) AS unit, doc_id, number, value, row_number() OVER (PARTITION BY topic, lower(unit), doc_id ORDER BY id, pos) AS r FROM f),
+c AS (SELECT topic, unit, count(DISTINCT doc_id) AS n_sources, count(DISTINCT number) AS n_values, min(value) AS low, max(value) AS high, round(max(value) - min(value), 6) AS spread FROM w WHERE r <= 2 GROUP BY topic, unit),
+x AS (SELECT * FROM c WHERE n_sources >= 2 AND n_values > 1 AND (spread >= 5 OR spread / high > 0.03))"""
+)
+
+
+def _chunk_measures(spark, d) -> DataFrame:
+    chunks = table(spark, d, "chunks").select("id", "doc_id", "content", F.col("metadata.topic").alias("topic"))
+    return trust.measures(chunks, ["id", "doc_id", "topic"], "content")
 
 
+@query(_CONFLICTS + " SELECT topic, unit, n_sources, n_values, low, high, spread FROM x")
 def x19_conflicts(spark, d):
     """Units in which the documents on one topic give different numbers, over the measures of all chunks."""
-    chunks = table(spark, d, "chunks").select("id", "doc_id", "content", F.col("metadata.topic").alias("topic"))
-    return trust.conflicts(trust.measures(chunks, ["id", "doc_id", "topic"], "content"), group="topic", source="doc_id", order=["id", "pos"])
+    return trust.conflicts(_chunk_measures(spark, d), group="topic", source="doc_id", order=["id", "pos"])
 
 
-Q["x19_conflicts"] = x19_conflicts
+@query(_CONFLICTS + ", s AS (SELECT topic, lower(unit) AS unit, min((id, pos)) AS seen FROM f GROUP BY topic, lower(unit)) SELECT topic, unit, spread, CAST(no AS INT) AS no FROM (SELECT x.*, row_number() OVER (PARTITION BY x.topic ORDER BY s.seen, x.unit) AS no FROM x JOIN s ON s.unit = x.unit AND s.topic = x.topic) y WHERE no <= 3")
+def t10_first_conflicts(spark, d):
+    """Of each topic's conflicts the three whose unit its chunks name first."""
+    m = _chunk_measures(spark, d)
+    seen = m.groupBy("topic", F.lower("unit").alias("unit")).agg(F.min(F.struct("id", "pos")).alias("seen"))
+    return trust.first_conflicts(trust.conflicts(m, group="topic", source="doc_id", order=["id", "pos"]), group="topic", first_seen=seen).select("topic", "unit", "spread", "no")
 
 
-@query(r"""SELECT c.id, CASE WHEN trim(coalesce(c.content, '')) = '' THEN false ELSE len(list_filter(regexp_extract_all(c.content, '\d{3,}(?:[.,]\d+)?|\d+[.,]\d+'), lambda n: NOT contains(coalesce(p.text, ''), n))) = 0 END AS grounded
-FROM chunks c LEFT JOIN (SELECT doc_id, string_agg(text, ' ' ORDER BY version) AS text FROM parsed_docs GROUP BY doc_id) p ON p.doc_id = c.doc_id""")
+@query(r"""SELECT c.id, CASE WHEN trim(coalesce(c.content, '')) = '' THEN false ELSE len(list_filter(regexp_extract_all(c.content, '\d{3,}(?:[.,]\d+)?|\d+[.,]\d+'), lambda n: len(list_filter(coalesce(p.texts, []), lambda t: contains(t, n))) = 0)) = 0 END AS grounded
+FROM chunks c LEFT JOIN (SELECT doc_id, list(text) FILTER (text IS NOT NULL) AS texts FROM parsed_docs GROUP BY doc_id) p ON p.doc_id = c.doc_id""")
 def x20_grounded(spark, d):
-    texts = table(spark, d, "parsed_docs").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("version", "text"))), lambda z: z["text"]), " ").alias("sources"))
-    return table(spark, d, "chunks").select("id", "doc_id", "content").join(texts, "doc_id", "left").select("id", trust.grounded(F.col("content"), F.col("sources")).alias("grounded"))
+    return trust.grounded_in(table(spark, d, "chunks"), table(spark, d, "parsed_docs"), key="id", doc="doc_id", draft_col="content", text_col="text")
 
 
 # --- answers ------------------------------------------------------------------------------------------------------
@@ -443,14 +372,6 @@ def x22_citations(spark, d):
     return answers.citations(_hits(spark, d))
 
 
-@query("""WITH p AS (SELECT doc_id, metadata.page AS page, id, row_number() OVER (PARTITION BY doc_id, metadata.page ORDER BY id) AS rn FROM chunks WHERE metadata.chunk_type = 'table')
-SELECT c.id, p.id AS table_id FROM chunks c JOIN p ON p.doc_id = c.doc_id AND p.page = c.metadata.page AND p.rn <= 3 WHERE c.metadata.chunk_type = 'prose'""")
-def j18_topk_per_group(spark, d):
-    c = table(spark, d, "chunks").select("id", "doc_id", F.col("metadata.page").alias("page"), F.col("metadata.chunk_type").alias("kind"))
-    tabs = c.where("kind = 'table'").withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("id"))).where("rn <= 3").select("doc_id", "page", F.col("id").alias("table_id"))
-    return c.where("kind = 'prose'").join(tabs, ["doc_id", "page"]).select("id", "table_id")
-
-
 # --- feedback and stores ------------------------------------------------------------------------------------------
 
 _FEEDBACK = "(SELECT CASE WHEN event_type = 'error' THEN -1 WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END AS vote, [event_id % 1000 + 1, event_id % 777 + 1] AS chunk_ids FROM events)"
@@ -474,13 +395,6 @@ def k8_vote_update(spark, d):
     return got.withColumn("quality_score", F.round("quality_score", 6))
 
 
-@query("SELECT id, doc_id FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM parsed_docs WHERE version >= 2 AND doc_id IS NOT NULL)")
-def k10_cascade_delete(spark, d):
-    doomed = table(spark, d, "parsed_docs").where("version >= 2")
-    left, _ = store.delete_documents({"chunks": table(spark, d, "chunks").select("id", "doc_id")}, doomed)
-    return left["chunks"]
-
-
 @query("SELECT id, batch_id, relative_path, status FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, relative_path ORDER BY id DESC) AS rn FROM file_inventory) WHERE rn = 1")
 def k3_inventory_upsert(spark, d):
     f = table(spark, d, "file_inventory").select("id", "batch_id", "relative_path", "status")
@@ -508,14 +422,6 @@ def j16_slug_counts(spark, d):
     return table(spark, d, "file_inventory").select("id", tx.slug(F.col("file_name")).alias("doc_id")).join(n, "doc_id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n_chunks"))
 
 
-@query(r"WITH g AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')) AS w FROM documents) SELECT a.qid, g.doc_id, len(list_intersect(g.w, a.w)) AS shared FROM g, (SELECT qid, list_distinct(regexp_split_to_array(lower(text), '\s+')) AS w FROM " + _ASKED + ") a WHERE len(list_intersect(g.w, a.w)) >= 3")
-def j17_word_overlap(spark, d):
-    asked = questions(spark).select("qid", F.array_distinct(tx.tokens(F.col("text"))).alias("q"))
-    docs = table(spark, d, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t"))
-    both = docs.crossJoin(F.broadcast(asked)).select("qid", "doc_id", F.size(F.array_intersect("q", "t")).cast("bigint").alias("shared"))
-    return both.where("shared >= 3")
-
-
 @query("WITH p AS (SELECT id, regexp_replace(string_split(coalesce(relative_path, ''), '/')[1], '^[0-9.\\-_ ]+', '') AS folder, relative_path FROM file_inventory) SELECT p.id, CASE WHEN NOT contains(coalesce(relative_path, ''), '/') OR folder = '' THEN 'Unsorted' ELSE coalesce(t.preset, folder) END AS topic FROM p LEFT JOIN (VALUES " + ", ".join(f"('{t}')" for t in vocab.TOPIC_FOLDERS) + ") t(preset) ON replace(replace(replace(replace(lower(t.preset), 'ä', 'a'), 'ö', 'o'), 'ü', 'u'), 'ß', 'ss') = replace(replace(replace(replace(lower(folder), 'ä', 'a'), 'ö', 'o'), 'ü', 'u'), 'ß', 'ss')")
 def f15_topic_path(spark, d):
     fold = lambda c: F.replace(F.translate(F.lower(c), "äöü", "aou"), F.lit("ß"), F.lit("ss"))

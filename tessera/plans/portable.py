@@ -24,31 +24,14 @@ QUERIES: dict[str, str] = {
     "f4_or_columns": "SELECT reading_id, doc_id, sheet, parameter FROM sheet_readings WHERE contains(lower(coalesce(parameter, '')), 'load') OR contains(lower(coalesce(sheet, '')), 'torque') OR contains(lower(coalesce(doc_id, '')), 'fuel')",
     "f5_in_list": "SELECT id, file_name, status FROM file_inventory WHERE extension IN ('.pdf', '.docx', '.PDF', 'pdf', 'docx') AND status IS NOT NULL",
     "f6_struct_path": "SELECT id, doc_id, metadata.page AS page FROM chunks WHERE metadata.topic = 'fuel' AND metadata.source_title IS NOT NULL",
-    "f7_optional_filters": "SELECT id, file_name, size_bytes FROM file_inventory WHERE (topic = 'Propeller' OR topic IS NULL) AND supported AND size_bytes <= 5000000",
     "f8_quality_gate": "SELECT id, quality_score, downvote_count FROM chunks WHERE NOT (coalesce(quality_score, 0) <= -999 OR (coalesce(quality_score, 0) < -0.5 AND coalesce(downvote_count, 0) >= 3))",
     "f9_low_quality": "SELECT id, round(quality_score, 6) AS quality_score, downvote_count FROM chunks WHERE quality_score < -0.2 OR downvote_count >= 2",
     "f10_graph_filters": "SELECT id, type, name FROM graph_nodes WHERE (props.confidence >= 0.6 OR props.confidence IS NULL OR props.extraction_method = 'manual_seed') AND props.extraction_method IS NOT NULL AND type = 'part'",
-    "f12_clamped_page": "SELECT id, file_name FROM file_inventory ORDER BY id LIMIT 200 OFFSET 0",
-    "f13_selection_cascade": """
-        WITH r AS (SELECT id, CASE WHEN NOT coalesce(supported, false) THEN 'unsupported' WHEN size_bytes IS NULL OR size_bytes = 0 THEN 'missing_file'
-                   WHEN size_bytes > 20000000 THEN 'too_large' WHEN status = 'ingested' THEN 'already_ingested' END AS reason FROM file_inventory),
-        n AS (SELECT id, reason, row_number() OVER (PARTITION BY CASE WHEN reason IS NULL THEN 1 ELSE 0 END ORDER BY id) AS rn FROM r)
-        SELECT id, CASE WHEN reason IS NULL AND rn > 500 THEN 'over_max' ELSE reason END AS reason, reason IS NULL AND rn <= 500 AS selected FROM n""",
     "f14_ext_class": f"""
         WITH e AS (SELECT id, replace(lower(coalesce(extension, '')), '.', '') AS ext FROM file_inventory)
         SELECT id, ext, {_CATEGORY} AS category, ext IN ({_in(vocab.PARSED)}) AS supported, ext IN ({_in(vocab.CONVERTED)}) AS needs_converter,
                CASE WHEN ext IN ({_in(vocab.PARSED)}) THEN NULL WHEN {_CATEGORY} = 'cad_engineering' THEN 'metadata_only_cad' WHEN {_CATEGORY} = 'archives' THEN 'metadata_only_archive' ELSE 'unsupported_extension' END AS skipped_reason FROM e""",
     # --- joins ---
-    "j1_neighbourhood": f"SELECT src_type, src, relation, dst_type, dst FROM {_SEED} WHERE contains(lower(src), 'fuel') OR contains(lower(dst), 'fuel')",
-    "j2_diagnostic_left_path": f"""
-        WITH e AS (SELECT * FROM {_SEED})
-        SELECT a.src AS symptom, a.dst AS cause, b.dst AS fix FROM e a LEFT JOIN e b ON b.src_type = a.dst_type AND b.src = a.dst AND b.relation = 'FIXED_BY' WHERE a.relation = 'CAUSED_BY'""",
-    "j3_typed_path": f"""
-        WITH e AS (SELECT * FROM {_SEED})
-        SELECT a.src AS symptom, b.src AS cause, b.dst AS fix FROM e a JOIN e b ON b.src_type = a.dst_type AND b.src = a.dst WHERE a.src_type = 'symptom' AND a.dst_type = 'cause' AND b.dst_type = 'fix'""",
-    "j4_guarded_path": f"""
-        WITH e AS (SELECT * FROM {_SEED})
-        SELECT g.src AS engine, a.src AS symptom, a.dst AS cause FROM e g JOIN e a ON g.dst = a.src AND a.relation = 'CAUSED_BY' WHERE g.relation = 'HAS_SYMPTOM'""",
     "j5_nearest_fallback": """
         WITH i AS (SELECT p.parsed_id, p.doc_id, p.version FROM parsed_docs p),
         m AS (SELECT doc_id, metadata.page AS page, min(id) AS id FROM chunks GROUP BY doc_id, metadata.page),
@@ -60,11 +43,7 @@ QUERIES: dict[str, str] = {
         SELECT c.doc_id, c.n_chunks, c.filename, c.lang, coalesce(m.version, 1) AS version FROM c LEFT JOIN m ON m.doc_id = c.doc_id""",
     "j9_semi": "SELECT id, name FROM graph_nodes g WHERE EXISTS (SELECT 1 FROM chunks c WHERE c.id = g.props.source_chunk_id AND c.quality_score > 0)",
     "j10_anti": "SELECT f.id, f.file_name FROM file_inventory f WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.metadata.filename = f.file_name)",
-    "j12_degree": f"""
-        WITH e AS (SELECT * FROM {_SEED}), x AS (SELECT src_type AS type, src AS name, src_type, src, relation, dst FROM e UNION SELECT dst_type, dst, src_type, src, relation, dst FROM e)
-        SELECT type, name, count(*) AS degree FROM x GROUP BY type, name""",
     "j15_job_items": "SELECT o_orderkey, o_orderstatus, c_name, c_mktsegment FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0",
-    "j19_latest_match": "SELECT lower(file_name) AS name, max(id) AS last_id, count(*) AS n FROM file_inventory WHERE file_name IS NOT NULL GROUP BY lower(file_name)",
     "j_full_outer": """
         WITH a AS (SELECT metadata.topic AS topic, count(*) AS n FROM chunks GROUP BY metadata.topic), b AS (SELECT metadata.topic AS topic, count(*) AS n FROM parsed_docs GROUP BY metadata.topic)
         SELECT coalesce(a.topic, b.topic) AS topic, coalesce(a.n, 0) AS n_chunks, coalesce(b.n, 0) AS n_docs FROM a FULL JOIN b ON a.topic = b.topic""",
@@ -101,22 +80,16 @@ QUERIES: dict[str, str] = {
         SELECT r.reading_id, r.doc_id, r.sheet, r.parameter, r.value_rpm FROM sheet_readings r JOIN k ON k.doc_id = r.doc_id AND k.sheet = r.sheet AND k.parameter = r.parameter WHERE r.value_rpm IS NOT NULL""",
     "a15_specs_summary": "SELECT doc_id, count(*) AS n_readings, count(DISTINCT sheet) AS sheets, count(DISTINCT parameter) AS parameters, count(value_rpm) AS speeds, count(torque_nm) AS torques FROM sheet_readings GROUP BY doc_id",
     "a16_reason_hist": "SELECT coalesce(skipped_reason, '(selected)') AS reason, count(*) AS n, CAST(sum(CASE WHEN skipped_reason IS NULL THEN coalesce(size_bytes, 0) ELSE 0 END) AS BIGINT) AS selected_bytes FROM file_inventory GROUP BY coalesce(skipped_reason, '(selected)')",
-    "a17_page_confidence": "SELECT doc_id, round(coalesce(avg(CASE WHEN quality_score >= 0 THEN quality_score END), 1.0), 6) AS mean_quality, coalesce(avg(CASE WHEN quality_score >= 0 THEN quality_score END), 1.0) < 0.3 AS low FROM chunks GROUP BY doc_id",
     # --- windows ---
     "w1_rank": "SELECT id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY quality_score DESC NULLS LAST, id) AS rank, round(1.0 / (60 + row_number() OVER (PARTITION BY doc_id ORDER BY quality_score DESC NULLS LAST, id)), 9) AS score FROM chunks",
     "w2_latest_version": "SELECT parsed_id, doc_id, version FROM (SELECT parsed_id, doc_id, version, row_number() OVER (PARTITION BY doc_id ORDER BY version DESC, parsed_id DESC) AS rn FROM parsed_docs) x WHERE rn = 1",
     "w3_first2": "SELECT reading_id, doc_id, sheet, value_rpm FROM (SELECT reading_id, doc_id, sheet, value_rpm, row_number() OVER (PARTITION BY doc_id, sheet ORDER BY recorded_at, reading_id) AS rn FROM sheet_readings) x WHERE rn <= 2",
-    "w4_last_turns": "SELECT event_id, user_id, event_type FROM (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) x WHERE rn <= 4",
     "w9_topk_per_group": "SELECT id, doc_id, page FROM (SELECT id, doc_id, metadata.page AS page, row_number() OVER (PARTITION BY doc_id, metadata.page ORDER BY id) AS rn FROM chunks WHERE metadata.page IS NOT NULL) x WHERE rn <= 3",
     "w10_versions": "SELECT doc_id AS document_id, filename, row_number() OVER (PARTITION BY filename ORDER BY uploaded_at, doc_id) AS version_no FROM documents",
     "w_lag_lead": "SELECT event_id, user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following, ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS quarter FROM events",
     "w_running": "SELECT o_orderkey, o_custkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS last3, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS rk, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS dr FROM orders",
     # --- sorts and limits ---
     "t5_nulls_paging": "SELECT doc_id, n FROM (SELECT doc_id, count(*) AS n FROM sheet_readings GROUP BY doc_id) x ORDER BY n DESC NULLS LAST, doc_id NULLS LAST LIMIT 50 OFFSET 10",
-    "t7_topn_fallback": """
-        WITH s AS (SELECT doc_id, id, CASE WHEN contains(lower(content), 'fuel') THEN 2.0 ELSE 0.0 END + CASE WHEN contains(lower(content), 'spark') THEN 2.0 ELSE 0.0 END + CASE WHEN contains(lower(content), 'pressure') THEN 1.5 ELSE 0.0 END AS score FROM chunks),
-        r AS (SELECT doc_id, id, score, count(*) OVER (PARTITION BY doc_id) AS n, max(score) OVER (PARTITION BY doc_id) AS best, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, id) AS rn FROM s)
-        SELECT doc_id, id, score FROM r WHERE n <= 40 OR (best > 0 AND score > 0 AND rn <= 40) OR (best = 0 AND rn <= 5)""",
     "t9_offset_paging": "SELECT id, name, type FROM graph_nodes ORDER BY id LIMIT 100 OFFSET 100",
     # --- set operations ---
     "u1_union_dedupe": "SELECT name FROM graph_nodes WHERE type = 'part' UNION SELECT canonical_name FROM canonical_entities WHERE type = 'part'",
@@ -127,8 +100,6 @@ QUERIES: dict[str, str] = {
     "n6_topic": f"WITH d AS (SELECT doc_id, lower(text) AS q FROM documents) SELECT doc_id, CASE {_TRIGGERS} END AS topic FROM d",
     "n15_confidence": "SELECT id, round(greatest(0.0, least(1.0, props.confidence)), 6) AS confidence FROM graph_nodes WHERE props.confidence IS NOT NULL",
     "n17_left_coalesce": "SELECT id, left(coalesce(content, ''), 120) AS head, lower(coalesce(lang, 'unknown')) AS lang FROM chunks",
-    "n24_edge_key": f"SELECT lower(concat_ws('|', src_type, src, relation, dst_type, dst, '', '')) AS edge_key FROM {_SEED}",
-    "x12_kg_score": "SELECT id, " + " + ".join(f"CASE WHEN contains(lower(coalesce(content, '')), '{w}') THEN {v} ELSE 0.0 END" for w, v in vocab.KG_WEIGHTS.items()) + " + CASE WHEN metadata.chunk_type = 'table' THEN 3.0 ELSE 0.0 END AS score FROM chunks",
     "x15_seed": f"SELECT src_type, src, relation, dst_type, dst FROM {_SEED}",
     # --- windows of time, as batches ---
     "s_session": """

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import knowledge, portable, quantities
+from . import knowledge, portable, quantities, relations, stores
 
-_MODULES = (knowledge, quantities)
+_MODULES = (knowledge, relations, stores, quantities)
 _TABLES = re.compile(r"\b(region|nation|customer|supplier|part|orders|lineitem|events|documents|embeddings|parsed_docs|chunks|file_inventory|graph_nodes|sheet_readings|canonical_entities|mix_targets|subject_areas|subject_labels)\b")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions.units import header_unit, numbers_of, parse_unit, pick_number, remark_units, split_cell
-from tessera.operators import answers, chunking, dedup, graph, quantities, retrieval, store, trust
+from tessera.operators import answers, chunking, dedup, graph, normalize, quantities, retrieval, rules, store, trust
 from tessera.plans import knowledge
 from tessera.sources import files
 from tessera.streaming import pipelines
@@ -70,7 +70,7 @@ def test_text_functions(spark):
     assert one(tx.route_of(F.col("t")), t="why does it misfire") == "kg_fast" and one(tx.route_of(F.col("t")), t="torque of bolts") == "spec_fast" and one(tx.route_of(F.col("t")), t=None or "hello") == "full_agent"
     assert one(tx.intent_of(F.col("t")), t="fix and repair and clean") == "diagnostic_fix"
     assert one(tx.slug(F.col("t")), t="Meßblatt 1.PDF") == "me_blatt_1.pdf" and one(tx.stem_slug(F.col("t")), t="Meßblatt 1.PDF") == "meßblatt_1"
-    assert one(tx.fold_math(F.col("t")), t="𝜂 ≤ 2×3") == "η <= 2*3" and one(tx.formula_spaces(F.col("t")), t="a=b*c") == "a = b * c"
+    assert one(tx.fold_math(F.col("t")), t="𝜂ₑ₂ ≤ 𝐀²×3 für Größe") == "etae_2 ≤ A^2*3 für Größe" and one(tx.formula_spaces(F.col("t")), t="a=b*c") == "a = b * c"
     assert one(tx.strip_reasoning(F.col("t")), t="<think>x\ny</think> ok") == "ok" and one(tx.looks_like_raw_graph(F.col("t")), t="A --CAUSED_BY--> B")
 
 
@@ -124,7 +124,7 @@ def test_dedup_equals_going_through(spark):
     x = np.concatenate([base, base + rng.normal(size=(40, 8)) * 0.15, base + rng.normal(size=(40, 8)) * 0.15])
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, [0.0] * 8), (901, None), (902, [1.0])]
     df = spark.createDataFrame(rows, "id bigint, v array<double>")
-    pairs = dedup.similar_pairs(df, "id", "v", least=0.97, centres=6)
+    pairs = dedup.similar_pairs(df, "id", "v", least=0.97, cell_rows=20)
     n = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = n @ n.T
     assert {(r.a, r.b) for r in pairs.collect()} == {(i, j) for i in range(120) for j in range(i + 1, 120) if s[i, j] >= 0.97}
@@ -143,7 +143,7 @@ def test_graph(spark):
     paths = graph.diagnostic_paths(edges)
     assert paths.count() == 31 and paths.where("symptom = 'Misfire'").count() == 4
     df = spark.createDataFrame([(1, "Engine misfire may be caused by spark plug fouling. Clean or replace the spark plug."), (2, None), (3, "Nothing here.")], "id int, t string")
-    got = {(r.src, r.relation, r.dst) for r in graph.rule_edges(df, ["id"], "t").collect()}
+    got = {(r.src, r.relation, r.dst) for r in rules.rule_edges(df, ["id"], "t").collect()}
     assert ("Misfire", "CAUSED_BY", "Spark Plug Fouling") in got and ("Spark Plug Fouling", "FIXED_BY", "Clean Spark Plug") in got and ("Spark Plug Fouling", "FIXED_BY", "Replace Spark Plug") in got
     loop = spark.createDataFrame([("a", "x", "R", "a", "x", 1.0, "rule"), ("a", "x", "R", "b", "y", 1.0, "rule")], graph.EDGE)
     assert {(r.name, r.degree) for r in graph.degrees(loop).collect()} == {("x", 2), ("y", 1)}
@@ -244,3 +244,139 @@ def test_more_text_and_store(spark):
     assert [r.question for r in store.open_gaps(log).collect()] == ["b"]
     rep = store.answer_report(spark.createDataFrame([(1, "q?", "a.")], "qid int, question string, answer string"), spark.createDataFrame([(1, 2, "g"), (1, 1, "f")], "qid int, no int, label string"))
     assert rep.first().report.endswith("[1] f\n[2] g")
+
+
+def test_stated_rules(spark):
+    table = "Symptom | Cause | Remedy\nRough Idle | Blocked Jet | Clean Carburetor\nhard starting | incorrect mixture | adjust mixture\nshort | row"
+    rows = [(1, "Check the reed valve every 50 hours. Warning: the fuel pump gets hot."), (2, "The spark plug gap is 0,7 mm and the Rotax 582 gives 40 kW at 6500 rpm."), (3, table), (4, "Pressure is 5 bar. Nothing else."), (5, None), (6, ""), (7, "Overheating is caused by carbon buildup. Some words. Remedy: decarbonize exhaust."), (8, "Clean the filter."), (9, "The engine is caused by system.")]
+    df = spark.createDataFrame(rows, "id int, t string").withColumn("src", F.lit("clash"))
+    got = {(r.id, r.src_type, r.src, r.relation, r.dst_type, r.dst) for r in rules.rule_edges(df.drop("src"), ["id"], "t").collect()}
+    assert (1, "part", "Reed Valve", "REQUIRES_PROCEDURE", "procedure", "Check reed valve") in got and (1, "procedure", "Check reed valve", "HAS_SPEC", "spec", "Every 50 hours") in got
+    assert (1, "part", "Fuel Pump", "RELATED_TO", "warning", "Technical Warning") in got
+    assert (2, "part", "Spark Plug", "HAS_SPEC", "spec", "0,7 mm") in got and (2, "engine", "Rotax 582", "HAS_SPEC", "spec", "6500 rpm") in got
+    assert (3, "symptom", "Rough Idle", "CAUSED_BY", "cause", "Blocked Jet") in got and (3, "cause", "Blocked Jet", "FIXED_BY", "fix", "Clean Carburetor") in got and (3, "symptom", "Hard Starting", "CAUSED_BY", "cause", "Incorrect Mixture") in got
+    assert (4, "spec", "5 bar", "MENTIONED_IN", "source", "Source Chunk") in got
+    assert (7, "symptom", "Overheating", "CAUSED_BY", "cause", "Carbon Buildup") in got and (7, "cause", "Carbon Buildup", "FIXED_BY", "fix", "Decarbonize Exhaust") in got
+    assert not any(g[0] in (5, 6, 9) or g[0] == 8 and g[3] == "FIXED_BY" for g in got)
+    assert rules.rule_edges(df.drop("src").limit(0), ["id"], "t").count() == 0
+
+
+def test_graph_view_and_paths(spark):
+    n = spark.createDataFrame([("symptom", "Misfire", "a"), ("cause", "Weak Spark", "a"), ("fix", "Check Ignition", "b"), ("part", "Lonely", "a")], "type string, name string, doc_id string")
+    e = spark.createDataFrame(
+        [("symptom", "Misfire", "CAUSED_BY", "cause", "Weak Spark", "a", 1, 0.9, "rule", "t"), ("cause", "Weak Spark", "FIXED_BY", "fix", "Check Ignition", "b", 2, 0.3, "rule", None), ("cause", "Weak Spark", "FIXED_BY", "fix", "Gone", "a", 2, None, "rule", "t"), ("cause", "Weak Spark", "FIXED_BY", "fix", "Check Ignition", None, None, 0.1, "manual_seed", None)],
+        "src_type string, src string, relation string, dst_type string, dst string, doc_id string, chunk int, confidence double, method string, topic string",
+    )
+    names = lambda df: {r.name for r in df.collect()}
+    shown, edges = graph.graph_view(n, e)
+    assert edges.count() == 2 and names(shown) == {"Misfire", "Weak Spark", "Check Ignition"}
+    assert names(graph.graph_view(n, e, node_type="symptom")[0]) == {"Misfire"} and graph.graph_view(n, e, node_type="symptom")[1].count() == 0
+    assert names(graph.graph_view(n, e, doc_id="a")[0]) == {"Misfire", "Weak Spark"} and names(graph.graph_view(n, e, topic="none")[0]) == set()
+    assert graph.graph_view(n, e, include_seed=False, min_confidence=0.0)[1].count() == 2
+    asked = spark.createDataFrame([(1, "Why does it misfire, weak spark?"), (2, "Hello"), (3, None)], "qid int, text string")
+    got = graph.ranked_paths(graph.all_paths(e), asked).orderBy("qid", "rank").collect()
+    assert {r.qid for r in got} == {1} and got[0].hits == 3 and got[0].confidence == 0.9 and got[-1].hits == 2 and any(r.path.startswith("Misfire --CAUSED_BY--> Weak Spark --FIXED_BY-->") for r in got)
+    with pytest.raises(ValueError):
+        graph.few(asked, 2)
+    upper = spark.createDataFrame([("a", "x", "R", "b", "y", "d", 1)], "src_type string, src string, relation string, dst_type string, dst string, doc_id string, chunk int")
+    key = F.concat_ws("|", "src", "dst", "doc_id")
+    more = upper.unionByName(upper.withColumn("src", F.lit("z"))).unionByName(upper.withColumn("doc_id", F.lit(None)))
+    assert graph.add_edges(upper, more, key, upper.columns).count() == 3
+
+
+def test_names(spark):
+    df = spark.createDataFrame([("July 2013",), ("2013",), ("12/03/2014",), ("1.2.3",), ("-5,3",), ("page 12",), ("p12",), ("kg",), ("x",), ("Table of Contents",), ("±5 mm",), ("M8x1,25",), ("2000 rpm",), ("K440 Twin",), ("Two-Stroke Engine",), ("clean jets",), (None,), ("",)], "n string")
+    got = df.select("n", normalize.is_noise(F.col("n")).alias("noise"), normalize.is_spec(F.col("n")).alias("spec"), normalize.classify(F.col("n"), F.lit(""), F.lit(None).cast("string")).alias("kind")).collect()
+    assert {r.n for r in got if r.noise} == {"July 2013", "2013", "12/03/2014", "1.2.3", "-5,3", "page 12", "p12", "kg", "x", "Table of Contents", None, ""}
+    assert {r.n for r in got if r.spec} == {"±5 mm", "M8x1,25", "2000 rpm"}
+    kinds = {r.n: r.kind for r in got}
+    assert kinds["±5 mm"] == "spec" and kinds["K440 Twin"] == kinds["Two-Stroke Engine"] == "engine" and kinds["clean jets"] == "procedure" and kinds["kg"] == kinds[None] == "unknown"
+
+
+def test_close_pairs_in_cells():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 6))
+    x = np.concatenate([x, x[:300] + rng.normal(size=(300, 6)) * 0.05])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    i, j, _ = dedup.close_pairs(x, 0.97, block=64)
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.97, 1))
+    assert sorted(zip(i, j)) == sorted(zip(a, b))
+
+
+def test_copies_are_one_point(spark):
+    rows = [(i, [1.0, 0.001 * (i % 2)]) for i in range(20)] + [(50, [0.0, 1.0]), (51, None), (52, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    pairs = dedup.similar_pairs(df, "id", "v")
+    assert [(r.a, r.b) for r in pairs.collect()] == [(0, 1)]
+    got = {r.id: (r.kept, r.kept_as) for r in dedup.greedy_keep(df.select("id"), pairs, dedup.members(df, "id", "v")).collect()}
+    assert {i for i in got if got[i][0]} == {0, 50, 51, 52} and all(got[i][1] == 0 for i in range(20))
+    assert dedup.similar_pairs(df.limit(0), "id", "v").count() == 0
+
+
+def test_enrichment_and_formulas(spark):
+    text = "The report on transport says: Rotax 582 has a Main Jet and a fuel pump, 5 bar and 5 BAR at 20 °C. Endurance test by EASA; the jet was fine again and again."
+    ents, tags = answers.entities(F.col("t"))
+    r = spark.createDataFrame([(text,), ("short fuel pump",), (None,)], "t string").select(ents.alias("e"), tags.alias("g")).collect()
+    assert [tuple(x) for x in r[0].e] == [("engine", "Rotax 582"), ("part", "main jet"), ("part", "fuel pump"), ("part", "jet"), ("spec", "5 bar"), ("spec", "20 °C")] and r[0].g == ["easa", "endurance", "test"]
+    assert r[1].e == [] and r[2].e == [] and r[2].g == []
+    t = "One. Two here. The rule:\neta = W_out / Q_in\nholds. Always so. Never else.\n\\frac{a}{b} again. Equation 4: work is force times way"
+    f = {x.formula: x for x in answers.formulas(spark.createDataFrame([(1, t), (2, None), (3, "")], "id int, t string"), ["id"], "t").collect()}
+    assert "eta = W_out / Q_in" in f and f["eta = W_out / Q_in"].context_before == "Two here. The rule:" and not f["eta = W_out / Q_in"].is_latex
+    assert any(x.is_latex for x in f.values()) and any("force times way" in k for k in f)
+    stored = spark.createDataFrame([(1, "eta = a / b", "x", "y", "t1"), (2, "b = 3", "about eta", "", "t2")], "id int, formula string, context_before string, context_after string, topic string")
+    asked = spark.createDataFrame([(1, "what is the formula for eta?", None), (2, "eta", "t1")], "qid int, text string, topic string")
+    assert [(x.qid, x.id) for x in answers.search_formulas(stored, asked).orderBy("qid", "rank").collect()] == [(1, 2), (1, 1), (2, 1)]
+
+
+def test_grounded_by_number(spark):
+    drafts = spark.createDataFrame([(1, "d", "at 6500 and 12.8"), (2, "d", "at 7000"), (3, "d", ""), (4, "e", "no numbers"), (5, None, "at 500"), (6, "f", "year 123")], "id int, doc_id string, t string")
+    sources = spark.createDataFrame([("d", "runs at 6500"), ("d", "or 12.8"), ("d", None)], "doc_id string, s string")
+    got = {r.id: r.grounded for r in trust.grounded_in(drafts, sources, key="id", doc="doc_id", draft_col="t", text_col="s").collect()}
+    assert got == {1: True, 2: False, 3: False, 4: True, 5: False, 6: False}
+
+
+def test_slides_and_page_readers(spark, tmp_path):
+    ns = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"'
+    par = lambda t: f"<a:p><a:r><a:t>{t}</a:t></a:r></a:p>"
+    slide = f'<p:sld {ns}><p:sp><p:nvSpPr><p:nvPr><p:ph type="title"/></p:nvPr></p:nvSpPr>{par("Cooling")}</p:sp><p:sp>{par("Some text on this slide")}</p:sp><a:tbl><a:tr><a:tc>{par("T [°C]")}</a:tc></a:tr><a:tr><a:tc>{par("90")}</a:tc></a:tr></a:tbl></p:sld>'
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("ppt/slides/slide1.xml", slide)
+        z.writestr("ppt/notesSlides/notesSlide1.xml", f"<p:notes {ns}>{par('These notes are long enough to be kept.')}</p:notes>")
+    (tmp_path / "02_CAD").mkdir()
+    (tmp_path / "02_CAD" / "s.pptx").write_bytes(buf.getvalue())
+    (tmp_path / "x.pdf").write_bytes(b"one\x0ctwo")
+    (tmp_path / "y.png").write_bytes(b"pixels")
+    readers = {"pdf": lambda data: data.decode().split("\x0c"), "png": lambda data: ["read"]}
+    got = {r.filename: r for r in files.parse_files(spark, str(tmp_path), page_readers=readers, captioner=lambda data: "a pump").collect()}
+    assert got["s.pptx"].text.split("\n")[:2] == ["Title: Cooling", "Some text on this slide"] and "Notes: These notes" in got["s.pptx"].text and got["s.pptx"].tables[0].rows == [["T [°C]"], ["90"]]
+    assert got["x.pdf"].text == "[PAGE_BREAK:1]one\n[PAGE_BREAK:2]two" and got["y.png"].text.endswith("[Figure p.1/1]: a pump")
+    inv = {r.file_name: r for r in files.scan_files(spark, str(tmp_path)).collect()}
+    assert inv["s.pptx"].topic == "CAD" and inv["x.pdf"].topic == "Unsorted" and inv["s.pptx"].category == "presentations" and files.scan_files(spark, str(tmp_path), most=2).count() == 2
+
+
+def test_more_stores(spark):
+    files_ = spark.createDataFrame([(i, True, 10, None) for i in range(6)] + [(10, False, 10, None), (11, True, 0, None), (12, True, 99_000_000, None), (13, True, 5, "ingested"), (14, None, None, None)], "id int, supported boolean, size_bytes bigint, status string")
+    got = {r.id: (r.reason, r.selected) for r in store.select_files(files_, most=4).collect()}
+    assert [i for i in got if got[i][1]] == [0, 1, 2, 3] and got[5] == ("over_max", False) and got[10][0] == got[14][0] == "unsupported" and got[11][0] == "missing_file" and got[12][0] == "too_large" and got[13][0] == "already_ingested"
+    old = spark.createDataFrame([("s", 0, "user", "a")], "session_id string, turn int, role string, content string")
+    new = spark.createDataFrame([("s", 5, "user", "c"), ("s", 4, "assistant", "b"), ("t", 1, "user", "x")], "session_id string, at int, role string, content string")
+    assert sorted((r.session_id, r.turn, r.content) for r in store.append_turns(old, new).collect()) == [("s", 0, "a"), ("s", 1, "b"), ("s", 2, "c"), ("t", 0, "x")]
+    assert store.page_of(files_, [F.col("id")], limit=0, offset=-3).count() == 1
+    parts = spark.createDataFrame([(1, 1, "Hi <thi"), (1, 2, "nk>secret"), (1, 3, " more</th"), (1, 4, "ink> there"), (1, 5, " a < b")], "s int, i int, d string")
+    shown = [r.shown for r in pipelines.visible_parts(parts, session="s", order="i", delta="d").orderBy("i").collect()]
+    assert "".join(shown) == "Hi  there a < b" and shown[0] == "Hi "
+
+
+def test_routes(spark):
+    from tessera.api import Store
+
+    s = Store(spark, DATA)
+    assert s.inventory(limit=5).count() == 5 and s.inventory_summary("topic").count() > 1 and s.select_for_ingest().count() == s.table("file_inventory").count()
+    assert s.search(["fuel pump trouble"]).count() > 0 and s.ask(["Why is the fuel pump loud?"]).count() > 0 and s.cite(["fuel pump"]).count() > 0
+    assert s.specs(limit=3).count() == 3 and s.specs("no such thing").count() == 0 and s.documents().count() > 1 and s.low_quality().count() > 0 and s.doc_debug().count() > 1
+    assert s.entities().count() > 1 and s.chunk(1).count() == 1 and s.formula_summary().count() > 0 and s.formulas("").count() > 0
+    nodes, edges = s.graph(min_confidence=0.5)
+    assert nodes.count() > 10 and edges.count() > 10 and s.diagnostic_paths(["misfire and weak spark"]).count() == 5 and s.topics().count() > 1

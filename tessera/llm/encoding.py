@@ -27,6 +27,9 @@ SIGNS = "“”„‘’‚‹›«»–—…·•°±µ×÷½¼¾²³ºª§©
 # Rare signs that stand in sound texts, for examples of sound words.
 RARE = "½¼¾²³Ø∞±≤≥≈√ΔΣΩΘΦπ∂‰°µ·×÷⌀→•…€§®™´ªº¬└─├│▒║━∙‡†"
 
+# Further letters of names in Latin script.
+MORE_LETTERS = "ąćčďđęěğıłńňőŕřśşšťţůűźżžþð"
+
 # chain: the encoding the bytes were in, then the one they were read in
 _ENCODINGS = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251")
 CHAINS: tuple[tuple[str, ...], ...] = (
@@ -183,8 +186,9 @@ def _sound_examples(rng: random.Random) -> list[str]:
         for _ in range(n):
             w = "".join(chr(rng.randint(first, last)) for _ in range(rng.randint(2, 7)))
             out.append(rng.choice((w, w.capitalize(), f"«{w.capitalize()}»", w + ".")) if first < 0x500 else w)
-    for w in ("São", "João", "REVISÃO", "ÂME", "Âge", "ÂGE", "Ângelo", "CÂBLE", "À", "È", "É", "Ø", "Åse", "Ñandú", "Çıkış", "Łódź", "Øresund", "Ísland", "Þór", "smørrebrød", "naïve", "Zoë"):
-        out += [w] * 12
+    for c in LETTERS + MORE_LETTERS:  # words that begin with, hold, end with or are one such letter, also in capitals
+        if len(c.upper()) == 1:
+            out += [c.upper(), f"{c.upper()}aa", f"{c.upper()}AA", f"AA{c.upper()}A", f"AA{c.upper()}", f"A{c.upper()}A", f"aa{c}", f"a{c}aa"] * 3
     return out
 
 
@@ -355,10 +359,11 @@ def frequent_words(counted: DataFrame, *, limit: int) -> dict[str, int]:
 
 def asked_counts(counted: DataFrame) -> dict[str, int]:
     """Counts over all rows of the sound words that tell whether some word is another garbled through a single-byte chain:
-    of originals that occur, and of the words that would come from them. No other word's count matters."""
+    of originals that occur, and of the words that would come from them. No other word's count matters. A single letter is
+    counted whether or not it looks sound: as a sign of its own (a Greek letter, say) it isn't rarer than its original."""
 
     def sound(b: pd.DataFrame) -> pd.DataFrame:
-        b = b[[_clean(w) and re.search(r"[^\W\d_]", w) is not None for w in b["w"]]]
+        b = b[[(_clean(w) or len(bare(w)) == 1) and re.search(r"[^\W\d_]", w) is not None for w in b["w"]]]
         return pd.DataFrame({"x": b["w"].map(bare).astype(str), "n": b["count"]})
 
     def asked(b: pd.DataFrame) -> pd.DataFrame:
@@ -366,7 +371,7 @@ def asked_counts(counted: DataFrame) -> dict[str, int]:
         for w in b["w"]:
             backs = {bare(back) for c in CHAINS if c[0] not in ("utf-8", "lost") and (back := invert(w, c)) and plausible_after(back, c)}
             rows += [(bare(w), x) for x in sorted(backs)] or []
-            if backs and not plausible(w):
+            if backs and (not plausible(w) or len(bare(w)) == 1):
                 rows.append((bare(w), bare(w)))
         return pd.DataFrame(rows, columns=["own", "x"], dtype=str)
 

@@ -101,6 +101,11 @@ def strip_reasoning(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
 
 
+def salvaged_json(c: Column) -> Column:
+    """From the first brace to the last of an answer without its reasoning; empty if there are none."""
+    return F.regexp_extract(strip_reasoning(c), r"(?s)\{.*\}", 0)
+
+
 def looks_like_refusal(answer: Column) -> Column:
     marks = ("i don't know", "i do not know", "cannot answer", "not enough information", "no information", "unable to answer", "insufficient context")
     low = F.lower(F.coalesce(answer, F.lit("")))

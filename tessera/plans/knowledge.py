@@ -237,14 +237,19 @@ Q["j11_rrf_union"] = j11_rrf_union
 SQL["j11_rrf_union"] = (_HYBRID[: _HYBRID.index(",\nf AS")] + " SELECT qid, id, round(CAST(sum(1.0 / (60 + rank)) AS DOUBLE), 9) AS score FROM (SELECT qid, id, rank FROM dense UNION ALL SELECT qid, id, rank FROM sparse) GROUP BY qid, id").strip()
 
 
+@query(
+    "WITH h AS ("
+    + _HYBRID.replace("round(score, 6) AS score FROM b", "score FROM b")
+    + r"""), o AS (SELECT h.qid, h.id, h.score, CAST(len(list_intersect(a.w, regexp_split_to_array(lower(c.content), '\s+'))) AS DOUBLE) / len(a.w) AS overlap FROM h JOIN chunks c USING (id) JOIN (SELECT qid, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')) AS w FROM """
+    + _ASKED
+    + """) a USING (qid)) SELECT qid, rank, id, round(overlap, 6) AS rerank_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, round(score, 9) DESC, id) AS rank FROM o) x WHERE rank <= 5"""
+)
 def x10_rerank(spark, d):
     chunks, asked = _ask_chunks(spark, d)
     hits = retrieval.hybrid(chunks, asked).join(chunks.select("id", "content"), "id")
     return retrieval.lexical_rerank(hits.withColumnRenamed("rank", "former_rank"), questions(spark), text_col="content").select("qid", "rank", "id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
-Q["x10_rerank"] = x10_rerank
-
 _WORDS = "(VALUES (1, 'fuel pump'), (2, 'the sound level'), (3, 'spark')) AS a(qid, text)"
 
 
@@ -360,12 +365,20 @@ def _hits(spark, d) -> DataFrame:
     return retrieval.hybrid(chunks, asked).join(chunks.select("id", "content", "filename", "page", "doc_id"), "id")
 
 
+@query(
+    "WITH h AS ("
+    + _HYBRID.replace("round(score, 6) AS score FROM b", "score FROM b")
+    + r"""), q AS (SELECT qid, list_filter(list_distinct(regexp_split_to_array(lower(regexp_replace(text, '[?!.,;:]', ' ', 'g')), '\s+')), lambda t: length(t) >= 3) AS w FROM """
+    + _ASKED
+    + r"""), c AS (SELECT h.qid, h.id, h.rank, c.content, q.w, row_number() OVER (PARTITION BY h.qid ORDER BY len(list_filter(q.w, lambda t: contains(lower(c.content), t))) DESC, h.rank, h.id) AS no FROM h JOIN chunks c USING (id) JOIN q USING (qid)),
+s AS (SELECT qid, no, id, w, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM (SELECT *, list_filter(string_split(regexp_replace(regexp_replace(content, '[ \t\n\r\f\x0B]+', ' ', 'g'), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)), lambda z: trim(z) <> '') AS p FROM c WHERE no <= 3)),
+n AS (SELECT *, len(list_filter(w, lambda t: contains(lower(s), t))) AS n FROM s)
+SELECT qid, CAST(no AS INT) AS source_no, id, trim(s) AS sentence, CAST(n AS INT) AS overlap FROM n QUALIFY row_number() OVER (PARTITION BY qid, no ORDER BY n DESC, least(length(s), 280) DESC, i) = 1"""
+)
 def x21_extractive(spark, d):
     return answers.extract_answer(_hits(spark, d), questions(spark), text_col="content")
 
 
-Q["x21_extractive"] = x21_extractive
-
 
 @query("WITH h AS (" + _HYBRID + r") SELECT qid, rank AS no, h.id, coalesce(metadata.filename, 'unknown') || coalesce(', p. ' || CAST(metadata.page AS VARCHAR), '') AS label, left(regexp_replace(content, '[ \t\n\r\f\x0B]+', ' ', 'g'), 200) AS snippet FROM h JOIN chunks USING (id)")
 def x22_citations(spark, d):

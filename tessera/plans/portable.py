@@ -37,10 +37,6 @@ QUERIES: dict[str, str] = {
         m AS (SELECT doc_id, metadata.page AS page, min(id) AS id FROM chunks GROUP BY doc_id, metadata.page),
         f AS (SELECT doc_id, min(id) AS id FROM chunks GROUP BY doc_id)
         SELECT i.parsed_id, coalesce(m.id, f.id) AS chunk_id FROM i LEFT JOIN m ON m.doc_id = i.doc_id AND m.page = 1 LEFT JOIN f ON f.doc_id = i.doc_id""",
-    "j6_documents_list": """
-        WITH c AS (SELECT doc_id, count(*) AS n_chunks, max(metadata.filename) AS filename, min(metadata.lang) AS lang FROM chunks GROUP BY doc_id),
-        m AS (SELECT doc_id, max(version) AS version FROM parsed_docs GROUP BY doc_id)
-        SELECT c.doc_id, c.n_chunks, c.filename, c.lang, coalesce(m.version, 1) AS version FROM c LEFT JOIN m ON m.doc_id = c.doc_id""",
     "j9_semi": "SELECT id, name FROM graph_nodes g WHERE EXISTS (SELECT 1 FROM chunks c WHERE c.id = g.props.source_chunk_id AND c.quality_score > 0)",
     "j10_anti": "SELECT f.id, f.file_name FROM file_inventory f WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.metadata.filename = f.file_name)",
     "j15_job_items": "SELECT o_orderkey, o_orderstatus, c_name, c_mktsegment FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0",

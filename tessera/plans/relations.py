@@ -222,13 +222,22 @@ def x14_mentions(spark, d):
     return graph.mentions(table(spark, d, "chunks"), ["id"], "content", _names(spark, d))
 
 
-@query()
+_G_ENGINE = r"\b\p{Lu}[\p{L}-]+\s*\p{Lu}?\d{3,4}\p{L}?\b"
+_G_SPEC = r"(?i)((?:[±+-]\s*)?\b\d+(?:[.,]\d+)?\s*(?:" + "|".join(sorted(vocab.GRAPH_UNITS, key=len, reverse=True)) + r"))(?:[^\p{L}\p{N}_/]|$)"
+_CO = {("engine", "part"): "HAS_PART", ("engine", "spec"): "HAS_SPEC", ("part", "spec"): "HAS_SPEC", ("part", "procedure"): "REQUIRES_PROCEDURE", ("part", "warning"): "RELATED_TO", ("symptom", "cause"): "CAUSED_BY", ("cause", "fix"): "FIXED_BY"}
+
+
+@query(
+    rf"""WITH m AS ({SQL['x14_mentions']} UNION SELECT id, 'engine', trim(regexp_replace(unnest(regexp_extract_all(content, '{_G_ENGINE}')), '\s+', ' ', 'g')) FROM chunks
+UNION SELECT id, 'spec', trim(regexp_replace(unnest(regexp_extract_all(content, '{_G_SPEC}', 1)), '\s+', ' ', 'g')) FROM chunks),
+p AS (SELECT a.type AS src_type, a.name AS src, CASE concat_ws('>', a.type, b.type) {' '.join(f"WHEN '{s}>{d}' THEN '{r}'" for (s, d), r in _CO.items())} END AS relation, b.type AS dst_type, b.name AS dst FROM m a JOIN m b USING (id) WHERE a.type <> b.type OR a.name <> b.name)
+SELECT src_type, src, relation, dst_type, dst, count(*) AS n_chunks FROM p WHERE relation IS NOT NULL GROUP BY ALL"""
+)
 def x14_cooccur(spark, d):
     """Edges between listed entities, engines and numbers with units that occur in one chunk, with their number of chunks."""
     chunks = table(spark, d, "chunks")
     found = graph.mentions(chunks, ["id"], "content", _names(spark, d)).unionByName(graph.pattern_mentions(chunks, ["id"], "content")).distinct()
-    relations = {("engine", "part"): "HAS_PART", ("engine", "spec"): "HAS_SPEC", ("part", "spec"): "HAS_SPEC", ("part", "procedure"): "REQUIRES_PROCEDURE", ("part", "warning"): "RELATED_TO", ("symptom", "cause"): "CAUSED_BY", ("cause", "fix"): "FIXED_BY"}
-    return graph.co_occurrence(found, ["id"], rules=relations).groupBy("src_type", "src", "relation", "dst_type", "dst").agg(F.count("*").alias("n_chunks"))
+    return graph.co_occurrence(found, ["id"], rules=_CO).groupBy("src_type", "src", "relation", "dst_type", "dst").agg(F.count("*").alias("n_chunks"))
 
 
 _GRAPH_PART_SQL = r"(?i)\b(?:" + "|".join(w.replace(" ", r"\s+") for w in vocab.GRAPH_PARTS) + r")\b"
@@ -353,7 +362,43 @@ def x6_formulas(spark, d):
     return answers.formulas(docs.unionByName(chunks), ["source_table", "row_id"], "text")
 
 
-@query()
+def _folded_sql(c: str) -> str:
+    """Mathematical letters and signs as plain ones."""
+    import unicodedata
+
+    letters = {chr(i): unicodedata.normalize("NFKC", chr(i)) for i in range(0x1D400, 0x1D800) if len(unicodedata.normalize("NFKC", chr(i))) == 1 and unicodedata.normalize("NFKC", chr(i)) != chr(i)}
+    out = f"translate({c}, '{''.join(letters)}', '{''.join(letters.values())}')"
+    signs = vocab.GREEK | vocab.FORMULA_SIGNS | {chr(0x2080 + i): f"_{i}" for i in range(10)} | {"²": "^2", "³": "^3", "¹": "^1"}
+    for a, b in signs.items():
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+def _tidy_sql(c: str) -> str:
+    out = rf"regexp_replace({c}, '^[ ,.;]+|[ ,.;]+$', '', 'g')"
+    for a, b in tx._FORMULA_REPAIRS:
+        if "(?=" in a:  # the other engine looks ahead
+            a, b = a.replace("(?=", "(").replace("(])", "(])"), "$1 * $2"
+            out = f"regexp_replace({out}, '{a}', '{b.replace('$', chr(92))}', 'g')"
+        out = f"regexp_replace({out}, '{a}', '{b.replace('$', chr(92))}', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({out}, '\s*=\s*', ' = ', 'g'), '\s+', ' ', 'g'), ' ')"
+
+
+_FORMULAS_SQL = rf"""WITH l AS (SELECT id, trim(unnest(string_split(t, chr(10))), ' ') AS l FROM (SELECT id, {_folded_sql('content')} AS t FROM chunks WHERE regexp_matches(content, '=|\\') OR regexp_matches(content, '{answers.MARKER}'))),
+f AS (SELECT id, unnest(regexp_extract_all(l, '{answers.COMMAND}')) AS f, true AS is_latex FROM l
+      UNION ALL SELECT id, f, false FROM (SELECT id, unnest(regexp_extract_all(l, '{answers.NAME}\s*=\s*{answers.EXPRESSION}')) AS f FROM l) WHERE regexp_matches(f, '{answers._OPERATOR}')
+      UNION ALL SELECT id, l, false FROM l WHERE contains(l, '=') AND length(l) <= 240 AND regexp_matches(l, '{answers._OPERATOR}')
+      UNION ALL SELECT id, left(l, 240), false FROM l WHERE regexp_matches(l, '{answers.MARKER}')),
+g AS (SELECT id, formula, bool_or(is_latex) AS is_latex FROM (SELECT id, {_tidy_sql('f')} AS formula, is_latex FROM f) x WHERE length(formula) >= 5 GROUP BY id, formula)"""
+
+
+@query(_FORMULAS_SQL + " SELECT id, formula, is_latex FROM g")
+def x6_chunk_formulas(spark, d):
+    """Formulas of all chunks."""
+    return stored_formulas(spark, d).select("id", "formula", "is_latex")
+
+
+@query(_FORMULAS_SQL + " SELECT coalesce(c.metadata.topic, 'Unsorted') AS topic, count(*) AS n FROM g JOIN chunks c USING (id) GROUP BY ALL")
 def a10_formula_topics(spark, d):
     """Formulas by topic."""
     return stored_formulas(spark, d).groupBy(F.coalesce("topic", F.lit("Unsorted")).alias("topic")).agg(F.count("*").alias("n"))

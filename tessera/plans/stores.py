@@ -92,6 +92,20 @@ def j18_figures(spark, d):
     return store.figures_for(hits, _images(spark, d))
 
 
+@query("""WITH c AS (SELECT doc_id, count(*) AS n_chunks, max(metadata.filename) AS filename, min(metadata.lang) AS lang FROM chunks GROUP BY doc_id),
+m AS (SELECT doc_id, max(version) AS version, CAST(sum(coalesce(len(images), 0)) AS BIGINT) AS n_images FROM parsed_docs GROUP BY doc_id) SELECT c.doc_id, c.n_chunks, c.filename, c.lang, coalesce(m.version, 1) AS version, coalesce(m.n_images, 0) AS n_images FROM c LEFT JOIN m ON m.doc_id = c.doc_id""")
+def j6_documents_list(spark, d):
+    c = table(spark, d, "chunks").groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("metadata.filename").alias("filename"), F.min("metadata.lang").alias("lang"))
+    m = table(spark, d, "parsed_docs").groupBy("doc_id").agg(F.max("version").alias("version"), F.sum(F.when(F.col("images").isNull(), 0).otherwise(F.size("images"))).alias("n_images"))
+    return c.join(m, "doc_id", "left").select("doc_id", "n_chunks", "filename", "lang", F.coalesce("version", F.lit(1)).alias("version"), F.coalesce("n_images", F.lit(0)).alias("n_images"))
+
+
+@query("SELECT extension, n, bytes FROM (SELECT extension, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM file_inventory GROUP BY extension) x ORDER BY n DESC, extension NULLS LAST LIMIT 40")
+def a3_top_extensions(spark, d):
+    """The forty most frequent extensions."""
+    return table(spark, d, "file_inventory").groupBy("extension").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes")).orderBy(F.desc("n"), F.asc_nulls_last("extension")).limit(40)
+
+
 # --- turns, feedback and gaps -------------------------------------------------------------------------------------
 
 
@@ -275,6 +289,29 @@ def n11_formula_term(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.formula_term(q).alias("term"))
 
 
+_PAIRS = [("°C", "°F"), ("°F", "°C"), ("K", "°C"), ("°C", "K"), ("bar", "psi"), ("kg", "s"), ("rpm", "rpm"), ("furlong", "mm")]
+
+
+@query("SELECT o_orderkey, p.a AS unit_from, p.b AS unit_to, round(round(CASE WHEN p.no = 1 THEN v * 9 / 5 + 32 WHEN p.no = 2 THEN (v - 32) * 5 / 9 WHEN p.no = 3 THEN v - 273.15 WHEN p.no = 4 THEN v + 273.15 WHEN p.no = 5 THEN v * 14.5038 WHEN p.no = 7 THEN v END, 6), 4) AS converted FROM (SELECT o_orderkey, o_totalprice AS v FROM orders) x CROSS JOIN (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(_PAIRS, 1)) + ") p(no, a, b)")
+def n13_temperatures(spark, d):
+    """Temperatures in other units, and pairs between which there is no conversion."""
+    pairs = spark.createDataFrame(_PAIRS, "unit_from string, unit_to string")
+    both = table(spark, d, "orders").select("o_orderkey", "o_totalprice").crossJoin(F.broadcast(pairs))  # a fixed list
+    return both.select("o_orderkey", "unit_from", "unit_to", F.round(tx.convert(F.col("o_totalprice"), F.col("unit_from"), F.col("unit_to")), 4).alias("converted"))
+
+
+@query(r"SELECT event_id, TRY_CAST(json_extract_string(regexp_extract(regexp_replace('<think>{' || event_type || '</think> Sure: ' || props || ' done', '(?s)<think>.*?</think>', ''), '(?s)\{.*\}'), '$.k') AS INT) AS k FROM events")
+def n27_salvaged_json(spark, d):
+    """The object within an answer that has other words around it."""
+    said = F.concat(F.lit("<think>{"), "event_type", F.lit("</think> Sure: "), "props", F.lit(" done"))
+    return table(spark, d, "events").select("event_id", F.get_json_object(tx.salvaged_json(said), "$.k").try_cast("int").alias("k"))
+
+
+@query(r"SELECT id, regexp_replace(lower(regexp_replace(file_name, '\.[^.]*$', '')), '[^\p{L}\p{M}\p{Nd}\p{Pc}.\-]', '_', 'g') AS stem, regexp_replace(lower(batch_id), '[^a-z0-9_.]', '_', 'g') AS batch FROM file_inventory")
+def n4_stem_slug(spark, d):
+    return table(spark, d, "file_inventory").select("id", tx.stem_slug(F.col("file_name")).alias("stem"), tx.slug(F.col("batch_id")).alias("batch"))
+
+
 @query("SELECT reading_id, CASE WHEN lower(trim(u, ' ')) IN ('c', '?c', '°c') THEN '°C' WHEN lower(trim(u, ' ')) IN ('f', '?f', '°f') THEN '°F' ELSE trim(u, ' ') END AS unit FROM (SELECT reading_id, regexp_extract(temperature_deg_c, '[^0-9.,]*$') AS u FROM sheet_readings)")
 def n14_unit_name(spark, d):
     return table(spark, d, "sheet_readings").select("reading_id", tx.unit_name(F.regexp_extract("temperature_deg_c", r"[^0-9.,]*$", 0)).alias("unit"))

@@ -17,30 +17,33 @@ from ..functions.text import tokens
 from .graph import few
 
 
-def bm25_statistics(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tokenised documents, term statistics, corpus statistics), to be kept for many questions."""
-    toks = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("toks")).where(F.col("toks").isNotNull()).withColumn("dl", F.size("toks"))
-    corpus = toks.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = toks.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms = df.crossJoin(F.broadcast(corpus.select("n_docs"))).select("term", "df", idf.alias("raw_idf"))  # one row
-    return toks, terms, corpus
+def term_statistics(docs: DataFrame, text_col: str) -> DataFrame:
+    """``term``, ``df``, ``dl``: in how many documents each term is, and in the row of the null term how many documents there are and how long they
+    are together. One pass; to be stored for many questions."""
+    base = docs.select(tokens(F.col(text_col)).alias("t")).where("t IS NOT NULL")
+    of_term = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("dl")))
+    of_all = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("t").alias("dl")))
+    return base.select(F.inline(F.concat(of_term, of_all))).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
 
 
-def bm25(docs: DataFrame, questions: DataFrame, *, id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+def bm25(docs: DataFrame, questions: DataFrame, *, id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, statistics: DataFrame | None = None) -> DataFrame:
     """``qid``, ``id``, ``score`` of every document that has a term of the question (``questions``: qid, text).
 
     Okapi weights over the whole corpus; a negative idf becomes ``epsilon`` times the mean idf of the vocabulary. A term
     that the question repeats counts as often. The documents are reduced to the questions' terms before anything is
-    shuffled; the vocabulary's statistics are one aggregation.
+    shuffled; the vocabulary's statistics are one aggregation, or those stored before (see ``term_statistics``).
     """
-    toks, terms, corpus = bm25_statistics(docs, id_col, text_col)
+    stats = term_statistics(docs, text_col) if statistics is None else statistics
+    corpus = stats.where("term IS NULL").select(F.col("df").alias("n_docs"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    idf0 = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    terms = stats.where("term IS NOT NULL").crossJoin(F.broadcast(corpus.select("n_docs"))).select("term", "df", idf0.alias("raw_idf"))  # one row
+    toks = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("toks")).where("toks IS NOT NULL")
     asked = few(questions, 10_000).select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     mean = terms.agg(F.avg("raw_idf").alias("mean_idf"))
     idf = F.when(F.col("raw_idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf"))
     weights = terms.join(F.broadcast(asked.select("term").distinct()), "term").crossJoin(F.broadcast(mean)).select("term", idf.alias("idf"))
     wanted = asked.agg(F.collect_set("term").alias("wanted"))  # the terms of the questions
-    hits = toks.crossJoin(F.broadcast(wanted)).select("id", "dl", F.explode(F.filter("toks", lambda t: F.array_contains("wanted", t))).alias("term"))
+    hits = toks.crossJoin(F.broadcast(wanted)).select("id", F.size("toks").alias("dl"), F.explode(F.filter("toks", lambda t: F.array_contains("wanted", t))).alias("term"))
     tf = hits.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
@@ -131,9 +134,10 @@ def hybrid(chunks: DataFrame, questions: DataFrame, *, k: int = 20) -> DataFrame
     sparse = top_k(bm25(chunks, questions, id_col="id", text_col="content"), 2 * k, order=order).where("score > 0")
     near = top_k(dense(chunks, questions, id_col="id", vec_col="embedding", most=2 * k), 2 * k, order=order)
     fused = fuse([near, sparse]).join(chunks.select("id", "quality_score", "downvote_count", "topic"), "id")
-    best = top_k(adjust_quality(fused), k, order=[F.round("score", 9).desc(), F.col("id")], rank="_r").drop("_r")
+    first = [F.round("score", 9).desc(), F.col("best_leg"), F.col("id")]  # of equal scores those of the vectors come first
+    best = top_k(adjust_quality(fused), k, order=first, rank="_r").drop("_r")
     asked = questions.select("qid", "wanted_topic")
-    return top_k(boost_topic(best.join(F.broadcast(asked), "qid")), k, order=[F.round("score", 9).desc(), F.col("id")]).select("qid", "rank", "id", "score")
+    return top_k(boost_topic(best.join(F.broadcast(asked), "qid")), k, order=first).select("qid", "rank", "id", "score")
 
 
 def lexical_rerank(hits: DataFrame, questions: DataFrame, *, text_col: str, k: int = 5) -> DataFrame:

@@ -211,11 +211,11 @@ sp AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round
 u AS (SELECT * FROM chunks WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda e: abs(e))) > 0),
 v AS (SELECT qid, wanted_topic, (SELECT arg_min(embedding, id) FROM u WHERE metadata.topic = wanted_topic) AS qvec FROM a),
 ds AS (SELECT qid, id, {_COS.format(a="embedding", b="qvec")} AS score FROM u, v WHERE qvec IS NOT NULL), dn AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM ds), dense AS (SELECT qid, id, rank FROM dn WHERE rank <= 40),
-f AS (SELECT qid, id, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM sparse UNION ALL SELECT * FROM dense) GROUP BY qid, id),
-k AS (SELECT f.qid, f.id, metadata.topic AS topic, CAST(score AS DOUBLE) + CASE WHEN coalesce(quality_score, 0) > 0 THEN 0.15 * quality_score WHEN coalesce(quality_score, 0) < 0 THEN 0.25 * quality_score ELSE 0 END AS score FROM f JOIN chunks USING (id) WHERE NOT (coalesce(quality_score, 0) <= -999 OR (coalesce(quality_score, 0) < -0.5 AND coalesce(downvote_count, 0) >= 3))),
-c1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS r FROM k),
-b AS (SELECT c1.qid, c1.id, CASE WHEN c1.topic = a.wanted_topic THEN c1.score * 1.18 + 0.01 ELSE c1.score END AS score FROM c1 JOIN a USING (qid) WHERE r <= 20)
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank, id, round(score, 6) AS score FROM b"""
+f AS (SELECT qid, id, sum(1.0 / (60 + rank)) AS score, min(leg * 1000000 + rank) AS best FROM (SELECT *, 1 AS leg FROM sparse UNION ALL SELECT *, 0 FROM dense) GROUP BY qid, id),
+k AS (SELECT f.qid, f.id, f.best, metadata.topic AS topic, CAST(score AS DOUBLE) + CASE WHEN coalesce(quality_score, 0) > 0 THEN 0.15 * quality_score WHEN coalesce(quality_score, 0) < 0 THEN 0.25 * quality_score ELSE 0 END AS score FROM f JOIN chunks USING (id) WHERE NOT (coalesce(quality_score, 0) <= -999 OR (coalesce(quality_score, 0) < -0.5 AND coalesce(downvote_count, 0) >= 3))),
+c1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, best, id) AS r FROM k),
+b AS (SELECT c1.qid, c1.id, c1.best, CASE WHEN c1.topic = a.wanted_topic THEN c1.score * 1.18 + 0.01 ELSE c1.score END AS score FROM c1 JOIN a USING (qid) WHERE r <= 20)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, best, id) AS rank, id, round(score, 6) AS score FROM b"""
 )
 
 

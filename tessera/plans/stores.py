@@ -292,12 +292,12 @@ def n11_formula_term(spark, d):
 _PAIRS = [("°C", "°F"), ("°F", "°C"), ("K", "°C"), ("°C", "K"), ("bar", "psi"), ("kg", "s"), ("rpm", "rpm"), ("furlong", "mm")]
 
 
-@query("SELECT o_orderkey, p.a AS unit_from, p.b AS unit_to, round(round(CASE WHEN p.no = 1 THEN v * 9 / 5 + 32 WHEN p.no = 2 THEN (v - 32) * 5 / 9 WHEN p.no = 3 THEN v - 273.15 WHEN p.no = 4 THEN v + 273.15 WHEN p.no = 5 THEN v * 14.5038 WHEN p.no = 7 THEN v END, 6), 4) AS converted FROM (SELECT o_orderkey, o_totalprice AS v FROM orders) x CROSS JOIN (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(_PAIRS, 1)) + ") p(no, a, b)")
+@query("SELECT o_orderkey, p.a AS unit_from, p.b AS unit_to, round(CASE WHEN p.no = 1 THEN v * 9 / 5 + 32 WHEN p.no = 2 THEN (v - 32) * 5 / 9 WHEN p.no = 3 THEN v - 273.15 WHEN p.no = 4 THEN v + 273.15 WHEN p.no = 5 THEN v * 14.5038 WHEN p.no = 7 THEN v END, 6) AS converted FROM (SELECT o_orderkey, o_totalprice AS v FROM orders) x CROSS JOIN (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(_PAIRS, 1)) + ") p(no, a, b)")
 def n13_temperatures(spark, d):
     """Temperatures in other units, and pairs between which there is no conversion."""
     pairs = spark.createDataFrame(_PAIRS, "unit_from string, unit_to string")
     both = table(spark, d, "orders").select("o_orderkey", "o_totalprice").crossJoin(F.broadcast(pairs))  # a fixed list
-    return both.select("o_orderkey", "unit_from", "unit_to", F.round(tx.convert(F.col("o_totalprice"), F.col("unit_from"), F.col("unit_to")), 4).alias("converted"))
+    return both.select("o_orderkey", "unit_from", "unit_to", tx.convert(F.col("o_totalprice"), F.col("unit_from"), F.col("unit_to")).alias("converted"))
 
 
 @query(r"SELECT event_id, TRY_CAST(json_extract_string(regexp_extract(regexp_replace('<think>{' || event_type || '</think> Sure: ' || props || ' done', '(?s)<think>.*?</think>', ''), '(?s)\{.*\}'), '$.k') AS INT) AS k FROM events")

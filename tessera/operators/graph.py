@@ -99,7 +99,7 @@ def mentions(passages: DataFrame, key_cols: list[str], text_col: str, terms: Dat
     words = passages.select(*key_cols, split(F.coalesce(F.col(text_col), F.lit(""))).alias("_w"))
     grams = lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array().cast("array<string>"))
     all_grams = F.array_distinct(F.concat(*[F.col("_w") if n == 1 else grams(n) for n in lengths])) if lengths else F.array().cast("array<string>")
-    return words.select(*key_cols, F.explode(all_grams).alias("_g")).join(vocabulary, "_g").select(*key_cols, "type", "name").distinct()
+    return words.select(*key_cols, F.explode_outer(all_grams).alias("_g")).join(vocabulary, "_g").select(*key_cols, "type", "name").distinct()
 
 
 def pattern_mentions(passages: DataFrame, key_cols: list[str], text_col: str) -> DataFrame:
@@ -107,7 +107,7 @@ def pattern_mentions(passages: DataFrame, key_cols: list[str], text_col: str) ->
     text = F.col(text_col)
     found = lambda kind, p: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda n: F.struct(F.lit(kind).alias("type"), F.trim(F.regexp_replace(n, r"\s+", " ")).alias("name")))
     hit = passages.where(text.rlike(r"\d"))
-    return hit.select(*key_cols, F.inline(F.array_distinct(F.concat(found("engine", _ENGINE), found("spec", quantity_pattern(vocab.GRAPH_UNITS))))))
+    return hit.select(*key_cols, F.inline_outer(F.array_distinct(F.concat(found("engine", _ENGINE), found("spec", quantity_pattern(vocab.GRAPH_UNITS)))))).where("name IS NOT NULL")
 
 
 def co_occurrence(found: DataFrame, key_cols: list[str], *, rules: dict[tuple[str, str], str], confidence: float = 0.78) -> DataFrame:

@@ -23,7 +23,7 @@ def term_statistics(docs: DataFrame, text_col: str) -> DataFrame:
     base = docs.select(tokens(F.col(text_col)).alias("t")).where("t IS NOT NULL")
     of_term = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("dl")))
     of_all = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("t").alias("dl")))
-    return base.select(F.inline(F.concat(of_term, of_all))).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
+    return base.select(F.inline_outer(F.concat(of_term, of_all))).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
 
 
 def bm25(docs: DataFrame, questions: DataFrame, *, id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, statistics: DataFrame | None = None) -> DataFrame:
@@ -43,7 +43,7 @@ def bm25(docs: DataFrame, questions: DataFrame, *, id_col: str, text_col: str, k
     idf = F.when(F.col("raw_idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf"))
     weights = terms.join(F.broadcast(asked.select("term").distinct()), "term").crossJoin(F.broadcast(mean)).select("term", idf.alias("idf"))
     wanted = asked.agg(F.collect_set("term").alias("wanted"))  # the terms of the questions
-    hits = toks.crossJoin(F.broadcast(wanted)).select("id", F.size("toks").alias("dl"), F.explode(F.filter("toks", lambda t: F.array_contains("wanted", t))).alias("term"))
+    hits = toks.crossJoin(F.broadcast(wanted)).select("id", F.size("toks").alias("dl"), F.explode_outer(F.filter("toks", lambda t: F.array_contains("wanted", t))).alias("term")).where("term IS NOT NULL")
     tf = hits.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm

@@ -39,7 +39,7 @@ _CUE = rf"(?i)caus|{_LABELS}|{'|'.join(vocab.ACTIONS)}|{'|'.join(vocab.WARNINGS)
 def sentences(passages: DataFrame, key_cols: list[str], text_col: str) -> DataFrame:
     """``key_cols``, ``pos``, ``s``: sentences and lines of each passage, without blank ones."""
     parts = F.split(F.regexp_replace(F.col(text_col), r"([.!?])\s+", "$1\n"), r"\n+")
-    return passages.select(*key_cols, F.posexplode(parts).alias("pos", "s")).select(*key_cols, "pos", F.trim("s").alias("s")).where("s <> ''")
+    return passages.select(*key_cols, F.posexplode_outer(parts).alias("pos", "s")).select(*key_cols, "pos", F.trim("s").alias("s")).where("s <> ''")
 
 
 def _clause(c: Column, last: bool) -> Column:
@@ -167,7 +167,7 @@ def stated_triples(passages: DataFrame, key_cols: list[str], text_col: str) -> D
     )
     said = f.select(*key_cols, evidence(F.col("s")).alias("evidence"), every.alias("triples"))
     both = said.withColumns({"confidence": F.lit(0.82), "extraction_method": F.lit("rule")}).unionByName(trouble_rows(passages, key_cols, text_col).withColumns({"confidence": F.lit(0.9), "extraction_method": F.lit("table")}))
-    out = both.select(*key_cols, "evidence", "confidence", "extraction_method", F.inline("triples")).where("src IS NOT NULL AND dst IS NOT NULL")
+    out = both.select(*key_cols, "evidence", "confidence", "extraction_method", F.inline_outer("triples")).where("src IS NOT NULL AND dst IS NOT NULL")
     return out.select(*key_cols, "src_type", "src", "relation", "dst_type", "dst", "evidence", "confidence", "extraction_method")
 
 

@@ -324,7 +324,7 @@ g AS (SELECT id, l, list_transform(l, lambda e: lower(e.name)) AS k FROM f), o A
 SELECT id, CAST(i AS INT) AS no, l[i].type AS type, l[i].name AS name FROM o, unnest(generate_series(1, len(l))) AS u(i)""")
 def x2_entities(spark, d):
     found, _ = answers.entities(F.col("content"))
-    return table(spark, d, "chunks").select("id", F.posexplode(found).alias("p", "e")).select("id", (F.col("p") + 1).alias("no"), "e.type", "e.name")
+    return table(spark, d, "chunks").select("id", F.posexplode_outer(found).alias("p", "e")).where("e IS NOT NULL").select("id", (F.col("p") + 1).alias("no"), "e.type", "e.name")
 
 
 @query(f"SELECT id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(content, '{_E_TAG}'), lambda n: lower(n))))[1:8], ', ') AS tags FROM chunks WHERE length(content) >= 80")
@@ -342,7 +342,7 @@ def a7_array_freq(spark, d):
 
     chunks = table(spark, d, "chunks")
     found, _ = answers.entities(F.col("content"))
-    every = chunks.select(F.inline(found)).select(F.col("type").alias("kind"), F.lower("name").alias("name")).unionByName(chunks.select(F.lit("tag").alias("kind"), F.explode("metadata.tags").alias("name")))
+    every = chunks.select(F.inline_outer(found)).where("name IS NOT NULL").select(F.col("type").alias("kind"), F.lower("name").alias("name")).unionByName(chunks.select(F.lit("tag").alias("kind"), F.explode("metadata.tags").alias("name")))
     n = every.groupBy("kind", "name").agg(F.count("*").alias("n"))
     return n.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "name"))).where("r <= 30").drop("r")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import answers, chunking
+from .graph import few
 
 
 def register_versions(stored: DataFrame, new: DataFrame, *, key: str, order: list[str]) -> DataFrame:
@@ -160,3 +161,13 @@ def latest_job(docs: DataFrame, files: DataFrame) -> DataFrame:
     f = files.select("id", "status", "error", "created_at", F.explode(F.array(key("any case", F.lower("file_name")), key("exact", F.col("file_name")))).alias("k")).where("k.name IS NOT NULL")
     hit = d.join(f, "k").groupBy("doc_id", "filename").agg(F.max_by(F.struct("status", "error"), F.struct("created_at", "id")).alias("j"))
     return docs.select("doc_id", "filename").distinct().join(hit, ["doc_id", "filename"], "left").select("doc_id", "filename", "j.status", "j.error")
+
+
+def spec_lookup(facts: DataFrame, asked: DataFrame, *, most: int = 20) -> DataFrame:
+    """``qid``, ``no`` and the columns of ``facts`` (doc_id, row_label, key ...): for each look-up (qid, key, engine or null) up to ``most`` facts whose key has
+    ``key`` and whose row or document has ``engine``, regardless of case, by key, document and value. Look-ups go to every task; there may be 10,000."""
+    has = lambda c, x: F.contains(F.lower(c), F.lower(x))
+    q = few(asked, 10_000).select("qid", F.col("key").alias("_key"), F.col("engine").alias("_engine"))
+    hit = facts.join(F.broadcast(q), has(F.col("key"), F.col("_key")) & (F.col("_engine").isNull() | has(F.concat_ws("\n", "row_label", "doc_id"), F.col("_engine"))))
+    w = Window.partitionBy("qid").orderBy("key", "doc_id", "value", "sheet")
+    return hit.withColumn("no", F.row_number().over(w)).where(F.col("no") <= most).select("qid", "no", *facts.columns)

@@ -96,7 +96,6 @@ QUERIES: dict[str, str] = {
     "n6_topic": f"WITH d AS (SELECT doc_id, lower(text) AS q FROM documents) SELECT doc_id, CASE {_TRIGGERS} END AS topic FROM d",
     "n15_confidence": "SELECT id, round(greatest(0.0, least(1.0, props.confidence)), 6) AS confidence FROM graph_nodes WHERE props.confidence IS NOT NULL",
     "n17_left_coalesce": "SELECT id, left(coalesce(content, ''), 120) AS head, lower(coalesce(lang, 'unknown')) AS lang FROM chunks",
-    "x15_seed": f"SELECT src_type, src, relation, dst_type, dst FROM {_SEED}",
     # --- windows of time, as batches ---
     "s_session": """
         WITH g AS (SELECT user_id, event_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= ts - INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS fresh FROM events),

@@ -123,6 +123,17 @@ def n23_coerced(spark, d):
     return table(spark, d, "graph_nodes").select("id", tx.node_type(F.col("type")).alias("node_type"), tx.relation(F.col("name")).alias("relation"))
 
 
+@query(f"WITH g AS (SELECT lower(trim(name)) AS name, count(*) AS n FROM graph_nodes WHERE trim(name) <> '' GROUP BY ALL) SELECT s.src_type, s.src, s.relation, s.dst_type, s.dst, coalesce(a.n, 0) AS src_nodes, coalesce(b.n, 0) AS dst_nodes FROM {_SEED} LEFT JOIN g a ON a.name = lower(s.src) LEFT JOIN g b ON b.name = lower(s.dst)")
+def x15_seed(spark, d):
+    """The built-in edges, and how many extracted nodes have the names at their ends."""
+    _, e = graph.seed_graph(spark)
+    n = table(spark, d, "graph_nodes").where(F.trim("name") != "").groupBy(F.lower(F.trim("name")).alias("k")).agg(F.count("*").alias("n"))
+    e = e.select("src_type", "src", "relation", "dst_type", "dst")
+    for end in ("src", "dst"):
+        e = e.join(n.select(F.col("k").alias(f"_{end}"), F.col("n").alias(f"{end}_nodes")), F.lower(end) == F.col(f"_{end}"), "left").drop(f"_{end}")
+    return e.na.fill(0, ["src_nodes", "dst_nodes"])
+
+
 # --- questions to the graph ---------------------------------------------------------------------------------------
 
 _HINTS = "[" + quoted(vocab.TERM_HINTS) + "]"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vocab
-from ..operators import graph, language_profile, store, trust
+from ..operators import chunking, graph, language_profile, store, trust
 from ..session import table
 from ..streaming import pipelines
 from . import knowledge, relations
@@ -207,6 +207,19 @@ def j17_word_overlap(spark, d):
     return both.withColumn("no", F.row_number().over(w)).where("no <= 3").select("qid", "doc_id", "shared", "no")
 
 
+_LOOKUPS = [(1, "torque", None), (2, "temp", "fuel"), (3, "rpm", "manual"), (4, "nothing like it", None)]
+
+
+@query(f"""WITH f AS (SELECT doc_id, x.* FROM ({knowledge.SQL["x5_facts"]}) x JOIN parsed_docs USING (parsed_id)), a AS (SELECT * FROM (VALUES (1, 'torque', NULL), (2, 'temp', 'fuel'), (3, 'rpm', 'manual'), (4, 'nothing like it', NULL)) v(qid, k, engine))
+SELECT qid, CAST(no AS INT) AS no, doc_id, sheet, key, value FROM (SELECT a.qid, f.*, row_number() OVER (PARTITION BY qid ORDER BY key, doc_id, value, sheet, parsed_id) AS no FROM f JOIN a ON contains(lower(f.key), a.k) AND (a.engine IS NULL OR contains(lower(f.row_label), a.engine) OR contains(lower(f.doc_id), a.engine))) x WHERE no <= 20""")
+def x18_lookup(spark, d):
+    """Cells of tables by what their key has, and their row or document."""
+    docs = table(spark, d, "parsed_docs")
+    facts = chunking.table_facts(docs, ["parsed_id", "doc_id"])
+    asked = spark.createDataFrame(_LOOKUPS, "qid int, key string, engine string")
+    return store.spec_lookup(facts, asked).select("qid", "no", "doc_id", "sheet", "key", "value")
+
+
 # --- files --------------------------------------------------------------------------------------------------------
 
 

@@ -19,6 +19,7 @@ def get_spark(app: str = "tessera", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # written rows go when nothing refers to them
     }
     return builder.config(map=defaults | conf).getOrCreate()
 

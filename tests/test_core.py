@@ -380,3 +380,20 @@ def test_routes(spark):
     assert s.entities().count() > 1 and s.chunk(1).count() == 1 and s.formula_summary().count() > 0 and s.formulas("").count() > 0
     nodes, edges = s.graph(min_confidence=0.5)
     assert nodes.count() > 10 and edges.count() > 10 and s.diagnostic_paths(["misfire and weak spark"]).count() == 5 and s.topics().count() > 1
+
+
+def test_spec_lookup(spark):
+    facts = spark.createDataFrame([("d", "Max", "Torque [Nm]", "Max::Torque [Nm]", "40"), ("fuel_book", "Idle", "Torque", "Idle::Torque", "3"), ("d", None, "T", "T", "9")], "doc_id string, row_label string, col_label string, key string, value string").withColumn("sheet", F.lit("s"))
+    asked = spark.createDataFrame([(1, "TORQUE", None), (2, "torque", "fuel"), (3, "none", None)], "qid int, key string, engine string")
+    got = sorted((r.qid, r.no, r.value) for r in store.spec_lookup(facts, asked, most=1).collect())
+    assert got == [(1, 1, "3"), (2, 1, "3")] and store.spec_lookup(facts.limit(0), asked).count() == 0
+
+
+def test_broken_optional_package_is_not_hidden(tmp_path, monkeypatch):
+    import importlib.util
+    import subprocess
+    import sys
+
+    code = "import sys, importlib.util as u; f = u.find_spec; u.find_spec = lambda n, *a: None if n.startswith('tessera.llm') else f(n, *a); import __spark_entry__ as e; assert not any(k.startswith('p1_') for k in e.queries())"
+    root = importlib.util.find_spec("tessera").submodule_search_locations[0].rsplit("/", 1)[0]
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=120).returncode == 0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import node_type, query_terms, relation, word_pattern
+from ..session import cut, spread
 from .rules import quantity_pattern
 
 NODE = "type string, name string"
@@ -80,6 +81,7 @@ def passage_score(text: Column, is_table: Column, weights: dict[str, float] = vo
 def select_passages(scored: DataFrame, *, doc: str, order: str, most: int = 40, few: int = 5) -> DataFrame:
     """Per document its ``most`` best passages of a positive score; all of them in a document of ``most`` or fewer; ``few`` if none has
     one. The best come out of a bounded aggregate for each document, not of sorting it whole."""
+    scored = cut(scored)  # narrow rows, used three times
     per = scored.groupBy(doc).agg(F.count("*").alias("_n"), F.max("score").alias("_best"))
     ranked = scored.withColumn("_rn", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("score"), order))).where(F.col("_rn") <= most)
     small = scored.join(per.where(F.col("_n") <= most).select(doc), doc).select(*scored.columns)
@@ -96,7 +98,7 @@ def mentions(passages: DataFrame, key_cols: list[str], text_col: str, terms: Dat
     vocabulary = terms.select("type", "name", split(F.col("alias")).alias("_w")).where(F.size("_w") > 0)
     vocabulary = vocabulary.select("type", "name", F.array_join("_w", " ").alias("_g"), F.size("_w").alias("_n")).dropDuplicates()
     lengths = sorted(r["_n"] for r in vocabulary.select("_n").distinct().collect())  # lengths of terms in words
-    words = passages.select(*key_cols, split(F.coalesce(F.col(text_col), F.lit(""))).alias("_w"))
+    words = spread(passages.select(*key_cols, text_col)).select(*key_cols, split(F.coalesce(F.col(text_col), F.lit(""))).alias("_w"))
     grams = lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array().cast("array<string>"))
     all_grams = F.array_distinct(F.concat(*[F.col("_w") if n == 1 else grams(n) for n in lengths])) if lengths else F.array().cast("array<string>")
     return words.select(*key_cols, F.explode_outer(all_grams).alias("_g")).join(vocabulary, "_g").select(*key_cols, "type", "name").distinct()
@@ -106,7 +108,7 @@ def pattern_mentions(passages: DataFrame, key_cols: list[str], text_col: str) ->
     """``key_cols``, ``type``, ``name``: engines and numbers with units that occur in a passage."""
     text = F.col(text_col)
     found = lambda kind, p: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda n: F.struct(F.lit(kind).alias("type"), F.trim(F.regexp_replace(n, r"\s+", " ")).alias("name")))
-    hit = passages.where(text.rlike(r"\d"))
+    hit = spread(passages.select(*key_cols, text_col)).where(text.rlike(r"\d"))
     return hit.select(*key_cols, F.inline_outer(F.array_distinct(F.concat(found("engine", _ENGINE), found("spec", quantity_pattern(vocab.GRAPH_UNITS)))))).where("name IS NOT NULL")
 
 

@@ -14,13 +14,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import tokens
+from ..session import spread
 from .graph import few
 
 
 def term_statistics(docs: DataFrame, text_col: str) -> DataFrame:
     """``term``, ``df``, ``dl``: in how many documents each term is, and in the row of the null term how many documents there are and how long they
     are together. One pass; to be stored for many questions."""
-    base = docs.select(tokens(F.col(text_col)).alias("t")).where("t IS NOT NULL")
+    base = spread(docs.select(text_col)).select(tokens(F.col(text_col)).alias("t")).where("t IS NOT NULL")
     of_term = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("dl")))
     of_all = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("t").alias("dl")))
     return base.select(F.inline_outer(F.concat(of_term, of_all))).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
@@ -37,7 +38,7 @@ def bm25(docs: DataFrame, questions: DataFrame, *, id_col: str, text_col: str, k
     corpus = stats.where("term IS NULL").select(F.col("df").alias("n_docs"), (F.col("dl") / F.col("df")).alias("avgdl"))
     idf0 = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     terms = stats.where("term IS NOT NULL").crossJoin(F.broadcast(corpus.select("n_docs"))).select("term", "df", idf0.alias("raw_idf"))  # one row
-    toks = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("toks")).where("toks IS NOT NULL")
+    toks = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("toks")).where("toks IS NOT NULL")
     asked = few(questions, 10_000).select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     mean = terms.agg(F.avg("raw_idf").alias("mean_idf"))
     idf = F.when(F.col("raw_idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf"))

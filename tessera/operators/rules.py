@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import evidence, word_pattern
+from ..session import spread
 from .normalize import normalize_entities
 
 TRIPLE = "array<struct<src_type:string,src:string,relation:string,dst_type:string,dst:string>>"
@@ -105,7 +106,8 @@ def facts(passages: DataFrame, key_cols: list[str], text_col: str) -> DataFrame:
     """``key_cols``, ``pos``, ``s`` and what each cue sentence states: ``stated`` (effect, cause), ``remedies``, ``part``, ``engines``, ``specs``, ``interval``,
     ``action``, ``warns``. Null passages and sentences without a cue give no row."""
     s = F.col("s")
-    cued = sentences(passages.where(F.col(text_col).rlike(_CUE)), key_cols, text_col).where(s.rlike(_CUE))
+    some = spread(passages.select(*key_cols, text_col).where(F.col(text_col).isNotNull()))
+    cued = sentences(some.where(F.col(text_col).rlike(_CUE)), key_cols, text_col).where(s.rlike(_CUE))
     return cued.select(
         *key_cols,
         "pos",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..session import spread
 
 #: numbers that a statement must have from its sources: of three digits, or with a fraction
 NUMBERS = r"\d{3,}(?:[.,]\d+)?|\d+[.,]\d+"
@@ -39,7 +40,7 @@ def measures(passages: DataFrame, key_cols: list[str], text_col: str, *, ranges:
     within ``around`` characters. One pass of the pattern cuts a text into pieces that end with a number and its unit; only their short
     surroundings leave it."""
     text = F.col(text_col)
-    base = passages.where(text.rlike(r"\d\s*(?:" + "|".join(_UNITS) + ")")).select(*key_cols, text.alias("_t"), F.regexp_extract_all(text, F.lit(r"(?s)\G.*?" + MEASURE), F.lit(0)).alias("_p"))
+    base = spread(passages.select(*key_cols, text_col)).where(text.rlike(r"\d\s*(?:" + "|".join(_UNITS) + ")")).select(*key_cols, text.alias("_t"), F.regexp_extract_all(text, F.lit(r"(?s)\G.*?" + MEASURE), F.lit(0)).alias("_p"))
     rows = base.select(*key_cols, "_t", F.posexplode_outer(F.transform("_p", lambda p, i: F.struct(p.alias("p"), F.aggregate(F.slice("_p", 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)).alias("end")))).alias("_i", "_z"))
     rows = rows.withColumn("_m", F.regexp_extract("_z.p", r"(?s)" + MEASURE + r"$", 0)).withColumn("pos", F.col("_z.end") - F.length("_m"))
     near = F.lower(F.substr(F.col("_t"), F.greatest(F.col("pos") + 1 - around, F.lit(1)), F.least(F.col("pos"), F.lit(around)) + F.length("_m") + around))

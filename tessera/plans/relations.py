@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vocab
 from ..operators import answers, graph, normalize, rules
-from ..session import table
+from ..session import spread, table
 from .portable import _SEED
 
 Q: dict = {}
@@ -262,7 +262,7 @@ _SCORED_SQL = f"SELECT id, doc_id, CAST({_SCORE_SQL} AS DOUBLE) AS score FROM (S
 
 
 def _scored(spark, d) -> DataFrame:
-    return table(spark, d, "chunks").select("id", "doc_id", graph.passage_score(F.col("content"), F.coalesce(F.col("metadata.chunk_type") == "table", F.lit(False))).alias("score"))
+    return spread(table(spark, d, "chunks").select("id", "doc_id", "content", "metadata.chunk_type")).select("id", "doc_id", graph.passage_score(F.col("content"), F.coalesce(F.col("chunk_type") == "table", F.lit(False))).alias("score"))
 
 
 @query("SELECT id, score FROM (" + _SCORED_SQL + ")")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import topic_of
 from .operators import answers, graph, retrieval, rules, store
 from .plans import knowledge, relations
 from .session import table
@@ -49,8 +50,8 @@ class Store:
     def search(self, questions: list[str], *, topic: str | None = None, k: int = 20) -> DataFrame:
         """GET /search: passages by their words and, where the questions have vectors, by these."""
         chunks, _ = knowledge._ask_chunks(self.spark, self.folder)
-        chunks = chunks.where(F.col("topic") == topic) if topic else chunks
-        asked = self._asked(questions, topic).withColumn("qvec", F.lit(None).cast("array<float>"))
+        asked = self._asked(questions, topic).withColumn("qvec", F.lit(None).cast("array<float>")).withColumn("only_topic", F.lit(topic is not None))
+        asked = asked.withColumn("wanted_topic", F.coalesce("wanted_topic", topic_of(F.col("text"))))
         return retrieval.hybrid(chunks, asked, k=k)
 
     def ask(self, questions: list[str], *, topic: str | None = None) -> DataFrame:

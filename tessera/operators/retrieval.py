@@ -127,14 +127,27 @@ def boost_topic(hits: DataFrame, *, factor: float = 1.18, plus: float = 0.01) ->
 
 
 def hybrid(chunks: DataFrame, questions: DataFrame, *, k: int = 20) -> DataFrame:
-    """``qid``, ``rank``, ``id``, ``score``: the ``k`` best passages of each question (qid, text, qvec, wanted_topic).
+    """``qid``, ``rank``, ``id``, ``score``: the ``k`` best passages of each question (qid, text, qvec, wanted_topic, and perhaps only_topic).
 
-    Both legs give 2k; BM25 hits without a positive score go after the cut. ``chunks`` need id, content, embedding,
-    quality_score, downvote_count and topic."""
+    Both legs give 2k; BM25 hits without a positive score go after the cut. A question without any such hit keeps the cosines of its
+    vector leg as scores. Passages on the wanted topic are raised; where ``only_topic`` is true no others count, in both legs
+    and before any cut. ``chunks`` need id, content, embedding, quality_score, downvote_count and topic."""
     order = [F.round("score", 9).desc(), F.col("id")]  # sums in another order differ in the last digits
-    sparse = top_k(bm25(chunks, questions, id_col="id", text_col="content"), 2 * k, order=order).where("score > 0")
-    near = top_k(dense(chunks, questions, id_col="id", vec_col="embedding", most=2 * k), 2 * k, order=order)
-    fused = fuse([near, sparse]).join(chunks.select("id", "quality_score", "downvote_count", "topic"), "id")
+    limited = "only_topic" in questions.columns
+
+    def within(scored: DataFrame) -> DataFrame:
+        if not limited:
+            return scored
+        asked = questions.select("qid", F.col("wanted_topic").alias("_w"), F.col("only_topic").alias("_o"))
+        on = scored.join(F.broadcast(asked), "qid").join(chunks.select("id", F.col("topic").alias("_t")), "id")
+        return on.where(~F.coalesce("_o", F.lit(False)) | (F.col("_t") == F.col("_w"))).select("qid", "id", "score")
+
+    sparse = top_k(within(bm25(chunks, questions, id_col="id", text_col="content")), 2 * k, order=order).where("score > 0")
+    near = top_k(within(dense(chunks, questions, id_col="id", vec_col="embedding", most=None if limited else 2 * k)), 2 * k, order=order)
+    worded = sparse.select("qid").distinct()
+    alone = near.join(F.broadcast(worded), "qid", "left_anti").select("qid", "id", "score", F.struct(F.lit(0).alias("leg"), "rank").alias("best_leg"))  # at most as many as questions
+    fused = fuse([near.join(F.broadcast(worded), "qid", "left_semi"), sparse]).unionByName(alone)
+    fused = fused.join(chunks.select("id", "quality_score", "downvote_count", "topic"), "id")
     first = [F.round("score", 9).desc(), F.col("best_leg"), F.col("id")]  # of equal scores those of the vectors come first
     best = top_k(adjust_quality(fused), k, order=first, rank="_r").drop("_r")
     asked = questions.select("qid", "wanted_topic")

@@ -15,6 +15,16 @@ _UNITS = sorted(vocab.UNIT_RANGES, key=len, reverse=True)
 MEASURE = r"(\d+(?:[.,]\d+)?)\s*(" + "|".join(_UNITS) + r")(?![\p{L}\d])"
 
 
+#: units whose numbers make a statement worth checking
+CHECKED_UNITS = ["rpm", "nm", "bar", "°c", "psi", "mm", "kg"]
+_CHECKED = r"(?i)\d\s*(?:" + "|".join(CHECKED_UNITS) + r")(?![\p{L}\p{N}_])"
+
+
+def worth_checking(draft: Column) -> Column:
+    """Whether a draft has a number with a unit, so that its grounding matters."""
+    return F.coalesce(draft, F.lit("")).rlike(_CHECKED)
+
+
 def grounded(draft: Column, sources: Column) -> Column:
     """Whether every number of three digits or with a fraction stands in the sources. Empty drafts aren't grounded, drafts
     without such numbers are."""

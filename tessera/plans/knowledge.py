@@ -225,6 +225,28 @@ def x9_hybrid(spark, d):
     return retrieval.hybrid(chunks, asked).select("qid", "rank", "id", F.round("score", 6).alias("score"))
 
 
+_TOPICAL = [(1, "why does the fuel pump trouble keep coming back", "fuel", True), (2, "What torque is the spark plug set to?", "ignition", False), (4, "zzqx vrrkly", "vibration", False), (5, "noise measurement", "nothing", True)]
+_TOPICAL_SQL = (
+    _HYBRID.replace(_ASKED, "(VALUES " + ", ".join(f"({i}, '{t}', '{w}', {o})" for i, t, w, o in _TOPICAL) + ") AS a(qid, text, wanted_topic, only_topic)")
+    .replace("FROM s), sparse AS", "FROM s JOIN a USING (qid) JOIN chunks c USING (id) WHERE NOT a.only_topic OR c.metadata.topic = a.wanted_topic), sparse AS")
+    .replace("SELECT qid, wanted_topic, (SELECT", "SELECT qid, wanted_topic, only_topic, (SELECT")
+    .replace("FROM u, v WHERE qvec IS NOT NULL)", "FROM u, v WHERE qvec IS NOT NULL AND (NOT only_topic OR u.metadata.topic = wanted_topic))")
+    .replace("dense AS (SELECT qid, id, rank FROM dn WHERE rank <= 40)", "dense AS (SELECT qid, id, rank FROM dn WHERE rank <= 40), word AS (SELECT DISTINCT qid FROM sparse)")
+    .replace("AS id, row_number()", "AS id, row_number()")
+    .replace("(SELECT *, 1 AS leg FROM sparse UNION ALL SELECT *, 0 FROM dense) GROUP BY qid, id)", "(SELECT *, 1 AS leg FROM sparse UNION ALL SELECT *, 0 FROM dense WHERE qid IN (SELECT qid FROM word)) GROUP BY qid, id UNION ALL SELECT qid, id, ds.score, dense.rank FROM dense JOIN ds USING (qid, id) WHERE qid NOT IN (SELECT qid FROM word))")
+)
+
+
+@query(_TOPICAL_SQL)
+def x9_topical(spark, d):
+    """Questions that want one topic only, and one without any known word."""
+    chunks, _ = _ask_chunks(spark, d)
+    usable = chunks.where((F.size("embedding") == 64) & F.exists("embedding", lambda e: e != 0))
+    first = usable.groupBy(F.col("topic").alias("wanted_topic")).agg(F.min_by("embedding", "id").alias("qvec"))
+    asked = spark.createDataFrame(_TOPICAL, "qid int, text string, wanted_topic string, only_topic boolean").join(F.broadcast(first), "wanted_topic", "left")
+    return retrieval.hybrid(chunks, asked).select("qid", "rank", "id", F.round("score", 6).alias("score"))
+
+
 def j11_rrf_union(spark, d):
     chunks, asked = _ask_chunks(spark, d)
     order = [F.round("score", 9).desc(), F.col("id")]
@@ -357,6 +379,12 @@ def x20_grounded(spark, d):
     return trust.grounded_in(table(spark, d, "chunks"), table(spark, d, "parsed_docs"), key="id", doc="doc_id", draft_col="content", text_col="text")
 
 
+@query(r"SELECT id, regexp_matches(coalesce(content, ''), '(?i)\d\s*(?:" + "|".join(trust.CHECKED_UNITS) + r")(?:[^\p{L}\p{N}_]|$)') AS checked FROM chunks")
+def x20_gate(spark, d):
+    """Whether a chunk has numbers with units, so that grounding is checked."""
+    return table(spark, d, "chunks").select("id", trust.worth_checking(F.col("content")).alias("checked"))
+
+
 # --- answers ------------------------------------------------------------------------------------------------------
 
 

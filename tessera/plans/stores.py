@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vocab
-from ..operators import chunking, graph, language_profile, store, trust
+from ..operators import answers, chunking, graph, language_profile, store, trust
 from ..session import table
 from ..streaming import pipelines
 from . import knowledge, relations
@@ -27,6 +27,19 @@ def query(sql: str | None = None):
     return add
 
 
+# --- citations of several kinds -----------------------------------------------------------------------------------
+
+
+@query(f"""WITH g AS ({relations.SQL["x16_kg_context"].replace(relations._ASKED, knowledge._ASKED)}), c AS ({knowledge.SQL["x22_citations"]}), u AS (SELECT qid, 0 AS leg, rank, kind, path AS label FROM g UNION ALL SELECT qid, 1, no, 'chunk', label FROM c)
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY leg, rank, label) AS INT) AS no, kind, label FROM u""")
+def x22_numbered(spark, d):
+    """Graph paths and passages that each question's answer cites, numbered through."""
+    asked = knowledge.questions(spark)
+    paths = graph.ranked_paths(graph.all_paths(relations.edges(spark, d)), asked).select("qid", "rank", "kind", F.col("path").alias("label"))
+    hits = knowledge.x22_citations(spark, d).select("qid", F.col("no").alias("rank"), F.lit("chunk").alias("kind"), "label")
+    return answers.number_citations(paths, hits)
+
+
 # --- batches, nodes and edges -------------------------------------------------------------------------------------
 
 @query(f"""SELECT p.parsed_id, coalesce(c.n_chunks, 0) + coalesce(len(p.tables), 0) AS n_chunks, coalesce(f.n, 0) AS n_facts FROM parsed_docs p

@@ -282,11 +282,11 @@ class Restorer:
         for w, p in zip(new, self.model.scores(new)):
             self.seen[w] = self.judge(w, p)
 
-    def judge(self, word: str, p: np.ndarray) -> tuple[bool, str | None, str | None, float]:
+    def judge(self, word: str, p: np.ndarray, lexicon: dict[str, int] | None = None) -> tuple[bool, str | None, str | None, float]:
         """(garbled, restored or None, chain, probability). Chains are tried from the most probable on until one
         inverts strictly into a plausible word: those from UTF-8, where strict decoding is proof by itself, as long
         as they are more than ``floor`` probable, the others from ``sure`` on."""
-        order = np.argsort(-p)
+        order, lexicon = np.argsort(-p), self.model.lexicon if lexicon is None else lexicon
         if _EDGES.fullmatch(word):
             return False, None, None, float(p[SOUND])
         if "�" in word:
@@ -303,7 +303,7 @@ class Restorer:
             if chain[0] == "utf-8":
                 if p[k] >= self.floor:
                     return True, back, ">".join(chain), float(p[k])
-            own, right = self.model.lexicon.get(bare(word), 0), self.model.lexicon.get(bare(back), 0)
+            own, right = lexicon.get(bare(word), 0), lexicon.get(bare(back), 0)
             # a word that looks sound is one unless its original is at least twice as frequent
             if own and right < 2 * own or not right and (plausible(word) or len(bare(back)) == 1 and not bare(back).isascii()):
                 continue
@@ -325,18 +325,18 @@ class Restorer:
 
     def text(self, text: str) -> tuple[bool, str | None, list[str]]:
         """(garbled, restored text or None where a part is lost, chains)."""
-        words = _TOKEN.findall(text)
-        if not words:
-            return False, text, []
-        self.words(words)
-        got = [self.seen[w] for w in words]
-        bad = [g for g in got if g[0]]
-        if not bad:
-            return False, text, []
-        lost = any(g[1] is None for g in bad)
-        chains = sorted({g[2] for g in bad})
-        fixed = None if lost else _TOKEN.sub(lambda m: self.seen[m[0]][1] if self.seen[m[0]][0] else m[0], text)
-        return True, fixed, chains
+        self.words(_TOKEN.findall(text))
+        return restore(text, self.seen)
+
+
+def restore(text: str, judged: dict[str, tuple]) -> tuple[bool, str | None, list[str]]:
+    """(garbled, restored text or None where a part is lost, chains), by what is known of the text's words: (garbled, restored, chain)."""
+    bad = [g for w in _TOKEN.findall(text) if (g := judged.get(w)) and g[0]]
+    if not bad:
+        return False, text, []
+    lost = any(g[1] is None for g in bad)
+    fixed = None if lost else _TOKEN.sub(lambda m: g[1] if (g := judged.get(m[0])) and g[0] else m[0], text)
+    return True, fixed, sorted({g[2] for g in bad})
 
 
 def plausible_after(word: str, chain: tuple[str, ...]) -> bool:
@@ -345,11 +345,15 @@ def plausible_after(word: str, chain: tuple[str, ...]) -> bool:
     return plausible(word)
 
 
+def _words(text_cols: list[str]):
+    """The words with a character beyond ASCII in these columns."""
+    token = r"(?<![^\x00-\x20/_|=()\[\]])[^\x00-\x20/_|=()\[\]\x7f-\x{10FFFF}]*+[^\x00-\x7F][^\x00-\x20/_|=()\[\]]*+"
+    return F.flatten(F.array(*[F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(token), F.lit(0)) for c in text_cols]))
+
+
 def word_counts(df: DataFrame, text_cols: list[str]) -> DataFrame:
     """``w``, ``count``: the words with a character beyond ASCII, counted over all rows."""
-    token = r"(?<![^\x00-\x20/_|=()\[\]])[^\x00-\x20/_|=()\[\]\x7f-\x{10FFFF}]*+[^\x00-\x7F][^\x00-\x20/_|=()\[\]]*+"
-    words = F.explode(F.flatten(F.array(*[F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(token), F.lit(0)) for c in text_cols])))
-    return df.select(words.alias("w")).groupBy("w").count()
+    return df.select(F.explode(_words(text_cols)).alias("w")).groupBy("w").count()
 
 
 def frequent_words(counted: DataFrame, *, limit: int) -> dict[str, int]:
@@ -357,10 +361,13 @@ def frequent_words(counted: DataFrame, *, limit: int) -> dict[str, int]:
     return {r["w"]: r["count"] for r in counted.orderBy(F.desc("count"), "w").limit(limit).collect()}
 
 
-def asked_counts(counted: DataFrame) -> dict[str, int]:
-    """Counts over all rows of the sound words that tell whether some word is another garbled through a single-byte chain:
-    of originals that occur, and of the words that would come from them. No other word's count matters. A single letter is
-    counted whether or not it looks sound: as a sign of its own (a Greek letter, say) it isn't rarer than its original."""
+def judged_words(counted: DataFrame, model: ChainModel) -> DataFrame:
+    """``w``, ``restored``, ``chain``: the garbled ones of the distinct words ``counted`` (w, count), each judged once.
+
+    Whether a word is another garbled through a single-byte chain depends on how often the other occurs, and it itself: every word
+    gets by join the counts, over all rows, of the sound words that it may stand for. A single letter is counted whether or
+    not it looks sound: as a sign of its own (a Greek letter, say) it isn't rarer than its original."""
+    shared = counted.sparkSession.sparkContext.broadcast(replace(model, lexicon={}))  # 4 MB
 
     def sound(b: pd.DataFrame) -> pd.DataFrame:
         b = b[[(_clean(w) or len(bare(w)) == 1) and re.search(r"[^\W\d_]", w) is not None for w in b["w"]]]
@@ -370,18 +377,24 @@ def asked_counts(counted: DataFrame) -> dict[str, int]:
         rows = []
         for w in b["w"]:
             backs = {bare(back) for c in CHAINS if c[0] not in ("utf-8", "lost") and (back := invert(w, c)) and plausible_after(back, c)}
-            rows += [(bare(w), x) for x in sorted(backs)] or []
-            if backs and (not plausible(w) or len(bare(w)) == 1):
-                rows.append((bare(w), bare(w)))
-        return pd.DataFrame(rows, columns=["own", "x"], dtype=str)
+            rows += [(w, x) for x in sorted(backs | {bare(w)})] if backs else []
+        return pd.DataFrame(rows, columns=["w", "x"], dtype=str)
 
-    known = cut(counted.mapInPandas(over_batches(sound), "x string, n bigint").groupBy("x").agg(F.sum("n").alias("n")))
-    pairs = counted.mapInPandas(over_batches(asked), "own string, x string").distinct().join(known, "x")
-    needed = pairs.select(F.explode(F.array("own", "x")).alias("x")).distinct()
-    return {r["x"]: r["n"] for r in known.join(needed, "x").collect()}
+    def judge(b: pd.DataFrame) -> pd.DataFrame:
+        tool, words = Restorer(shared.value), b["w"].tolist()
+        out = []
+        for w, p, known in zip(words, shared.value.scores(words), b["known"]):
+            got = tool.judge(w, p, {} if known is None else {k["x"]: k["n"] for k in known})
+            if got[0]:
+                out.append((w, got[1], got[2]))
+        return pd.DataFrame(out, columns=["w", "restored", "chain"], dtype=object)
 
+    known = counted.mapInPandas(over_batches(sound), "x string, n bigint").groupBy("x").agg(F.sum("n").alias("n"))
+    pairs = counted.mapInPandas(over_batches(asked), "w string, x string").join(known, "x").groupBy("w").agg(F.collect_list(F.struct("x", "n")).alias("known"))  # a word's own inversions
+    return counted.select("w").join(pairs, "w", "left").mapInPandas(over_batches(judge), "w string, restored string, chain string")
 
-def find_garbled(df: DataFrame, key_cols: list[str], text_cols: list[str], *, model: ChainModel | None = None, train_words: int = 1200) -> DataFrame:
+
+def find_garbled(df: DataFrame, key_cols: list[str], text_cols: list[str], *, model: ChainModel | None = None, train_words: int = 1200, small: int = 200_000) -> DataFrame:
     """Fields whose text was, at least in part, read in a wrong encoding.
 
     Returns ``key_cols``, ``field_name``, ``garbled`` (the text), ``restored`` (null where a character is lost for
@@ -390,9 +403,10 @@ def find_garbled(df: DataFrame, key_cols: list[str], text_cols: list[str], *, mo
     ``key_cols`` and ``text_cols`` are ignored, so their names can't clash. An empty table gives an empty result.
 
     ``train_words`` bounds the training words (the corpus's most frequent clean ones), not the words looked up, which are
-    counted over all rows. The scan is one pass without shuffle: rows without any character beyond ASCII never leave the JVM.
+    counted over all rows. Each distinct word beyond ASCII is judged once; rows get by join what was found of their
+    words, and rows without such words never leave the JVM. ``small`` only says up to where the garbled words are sent to the rows
+    instead of shuffled with their words.
     """
-    spark = df.sparkSession
     odd = [F.col(c).rlike(r"[^\x00-\x7F]") for c in text_cols]
     any_odd = odd[0]
     for o in odd[1:]:
@@ -400,27 +414,26 @@ def find_garbled(df: DataFrame, key_cols: list[str], text_cols: list[str], *, mo
     rows = df.where(any_odd).select(*key_cols, *text_cols)
     counted = cut(word_counts(rows, text_cols))
     if model is None:
-        model = replace(fit_chain_model(frequent_words(counted, limit=train_words), max_words=train_words), lexicon={})
-    model = replace(model, lexicon=model.lexicon | asked_counts(counted))
-    shared = spark.sparkContext.broadcast(model)  # 2 MB and the words asked for
+        model = fit_chain_model(frequent_words(counted, limit=train_words), max_words=train_words)
+    bad = cut(judged_words(counted, model))
+    bad = F.broadcast(bad) if bad.count() <= small else bad
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws("\x00", *[F.coalesce(c, F.lit("")) for c in text_cols])))
+    hints = hashed.select("_h", F.explode(F.array_distinct(_words(text_cols))).alias("w")).join(bad, "w").groupBy("_h").agg(F.collect_set(F.struct("w", "restored", "chain")).alias("_bad"))  # a row's own words
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*key_cols).schema), "field_name string", "garbled string", "restored string", "chains array<string>"])
 
-    def run(batches):
-        tool = Restorer(shared.value)
-
-        def one(b: pd.DataFrame) -> pd.DataFrame:
-            out = []
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for i, hint in enumerate(b["_bad"]):
+            judged = {h["w"]: (True, h["restored"], h["chain"]) for h in hint}
             for c in text_cols:
-                for i, t in enumerate(b[c].tolist()):
-                    if t and not t.isascii():
-                        bad, fixed, chains = tool.text(t)
-                        if bad:
-                            out.append((i, c, t, fixed, chains))
-            got = b[key_cols].iloc[[o[0] for o in out]].reset_index(drop=True)
-            got["field_name"], got["garbled"] = [o[1] for o in out], [o[2] for o in out]
-            got["restored"], got["chains"] = [o[3] for o in out], [o[4] for o in out]
-            return got
-
-        yield from over_batches(one)(batches)
-
-    return rows.mapInPandas(run, schema)
+                t = b[c].iat[i]
+                if t and not t.isascii():
+                    bad, fixed, chains = restore(t, judged)
+                    if bad:
+                        out.append((i, c, t, fixed, chains))
+        got = b[key_cols].iloc[[o[0] for o in out]].reset_index(drop=True)
+        got["field_name"], got["garbled"] = [o[1] for o in out], [o[2] for o in out]
+        got["restored"], got["chains"] = [o[3] for o in out], [o[4] for o in out]
+        return got
+
+    return hashed.join(hints, "_h").drop("_h").mapInPandas(over_batches(run), schema)

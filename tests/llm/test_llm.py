@@ -74,9 +74,12 @@ def test_garbled(spark):
 def test_originals_are_looked_up_over_all_rows(spark):
     """An original outside the training words counts, and a garbled word isn't sound for occurring."""
     df = spark.createDataFrame([("Gehäuse",)] * 6 + [("Gehõuse",), ("Gehõuse",), ("größer",)], "t string")
-    asked = encoding.asked_counts(encoding.word_counts(df, ["t"]))
-    assert asked["gehäuse"] == 6 and asked["gehõuse"] == 2
-    model = encoding.replace(encoding.fit_chain_model({"für": 5}, epochs=1), lexicon=asked)
+    model = encoding.fit_chain_model(CLEAN)
+    got = {r.w: (r.restored, r.chain) for r in encoding.judged_words(encoding.word_counts(df.unionByName(spark.createDataFrame([("σ",)] * 3 + [("å",), ("kürzer",)], "t string")), ["t"]), model).collect()}
+    assert got == {"Gehõuse": ("Gehäuse", "cp1252>cp850")}  # a sign as frequent as a letter it might come from is itself
+    found = encoding.find_garbled(df.withColumn("id", F.monotonically_increasing_id()).withColumn("w", F.lit("clash")), ["id"], ["t"], model=model).collect()
+    assert [(r.garbled, r.restored) for r in found] == [("Gehõuse", "Gehäuse")] * 2
+    model = encoding.replace(model, lexicon={"gehäuse": 6, "gehõuse": 2})
     p = np.full(len(encoding.CHAINS) + 1, 0.001)
     p[encoding.CHAINS.index(("cp1252", "cp850"))] = 0.9
     judge = encoding.Restorer(model).judge

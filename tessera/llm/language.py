@@ -202,10 +202,11 @@ class Labeller:
         return out
 
 
-def label_languages(df: DataFrame, key_cols: list[str], text_col: str, model: CodeModel) -> DataFrame:
+def label_languages(df: DataFrame, key_cols: list[str], text_col: str, model: CodeModel, *, least_confidence: float = 0.9) -> DataFrame:
     """The stretches of every text in one language: ``key_cols``, ``segment_no``, ``first_sentence``, ``n_sentences``,
-    ``segment_lang``, ``confidence``, ``ambiguous``, ``counts`` (whether the language counts for the text: a stretch of two
-    sentences or more in it, or the text's main language).
+    ``segment_lang``, ``confidence``, ``ambiguous``, ``counts`` (whether the language counts for the text: an unambiguous stretch of two
+    sentences or more in it, of ``least_confidence`` at least, or the text's main language). A page header and the fragment of a
+    sentence beside it make no language of their own.
 
     One pass without shuffle. Null, empty and wordless texts give no row, equal rows equal rows; columns other than
     keys and text aren't returned."""
@@ -225,7 +226,7 @@ def label_languages(df: DataFrame, key_cols: list[str], text_col: str, model: Co
                 for _, n, lang, _, _ in stretches:
                     total[lang] = total.get(lang, 0) + n
                 main = max(total, key=lambda k: (total[k], k)) if total else None
-                ok = {lang for _, n, lang, _, _ in stretches if n >= 2} | {main}
+                ok = {lang for _, n, lang, conf, amb in stretches if n >= 2 and conf >= least_confidence and not amb} | {main}
                 for j, (first, n, lang, conf, amb) in enumerate(stretches):
                     at.append(i)
                     rows.append((j, first, n, lang, conf, amb, lang in ok))

@@ -253,6 +253,8 @@ def test_language_rows(spark, lang_model):
     langs = lambda i: [r.segment_lang for r in got if r.id == i and r.counts]
     assert langs(1) == ["de", "de"] and langs(2) == ["en", "de"] and langs(3) == langs(4) == langs(5) == [] and set(langs(6)) == {"en"} and langs(7) == ["de"]
     assert all(0 <= r.confidence <= 1 for r in got)
+    sure = language.label_languages(df.where("id = 2"), ["id"], "t", model, least_confidence=1.1).collect()
+    assert [r.counts for r in sure].count(True) == 1  # only the main language counts by itself
     assert language.label_languages(df.limit(0), ["id"], "t", model).count() == 0
     labels = spark.createDataFrame([(x,) for x in ("EN", "en-GB", "Deutsch", " ", None, "n/a", "pt", "fr_CA")], "l string").select(language.normal_label(F.col("l")).alias("c"))
     assert [r.c for r in labels.collect()] == ["en", "en", "de", None, None, None, "pt", "fr"]

@@ -45,8 +45,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over as many partitions as there are cores, if its files come in fewer pieces than that: one small file is one
-    piece, and costly work on its rows would keep one core busy. Larger inputs stay as they are."""
+    """``df`` over as many partitions as there are cores, if it is read from files that come in fewer pieces than that: one small file
+    is one piece, and costly work on its rows would keep one core busy. Larger inputs, and what comes out of a shuffle, stay as they are."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Scan" not in plan or "Exchange" in plan or "AdaptiveSparkPlan" in plan:  # counting pieces must not run anything
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 

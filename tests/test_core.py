@@ -397,3 +397,17 @@ def test_broken_optional_package_is_not_hidden(tmp_path, monkeypatch):
     code = "import sys, importlib.util as u; f = u.find_spec; u.find_spec = lambda n, *a: None if n.startswith('tessera.llm') else f(n, *a); import __spark_entry__ as e; assert not any(k.startswith('p1_') for k in e.queries())"
     root = importlib.util.find_spec("tessera").submodule_search_locations[0].rsplit("/", 1)[0]
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=120).returncode == 0
+
+
+def test_small_inputs_are_spread(spark, tmp_path):
+    from tessera.session import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert one.rdd.getNumPartitions() < 4 and spread(one.where("id > 3")).rdd.getNumPartitions() == 4
+    grouped = one.groupBy("id").count()
+    assert spread(grouped) is grouped and spread(spark.range(3).coalesce(1)).count() == 3
+    many = one.repartition(9)
+    many.write.parquet(str(tmp_path / "many"))
+    read = spark.read.option("mergeSchema", "false").parquet(str(tmp_path / "many"))
+    assert read.rdd.getNumPartitions() < 4 or spread(read) is read

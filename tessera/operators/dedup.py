@@ -39,74 +39,140 @@ def _cells(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.n
     return i, j, own
 
 
-def close_pairs(x: np.ndarray, least: float, block: int = 2048, depth: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, product) of all rows i < j whose product is at least ``least``. Many rows are parted into overlapping cells first."""
-    n = len(x)
-    if n <= block or depth > 3:
-        out = []
-        for lo in range(0, n, block):
-            s = x[lo : lo + block] @ x[lo:].T
-            i, j = np.nonzero(s >= least - 1e-12)
-            ok = i < j
-            out.append((i[ok] + lo, j[ok] + lo, s[i[ok], j[ok]]))
-        return tuple(np.concatenate(a) if out else np.zeros(0) for a in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    c = x[np.random.default_rng(depth + 5).permutation(n)[: max(2, min(64, n // (block // 4)))]]
-    row, cell, own = _cells(x, c, math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6)
+def _close(y: np.ndarray, z: np.ndarray | None, least: float, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, product) of the rows i of ``y`` and j of ``z``, or i < j of ``y`` alone, whose product is at least ``least``; rows have
+    length one.
+
+    The distance along some orthogonal axes is never above the whole one, so few axes, those of most variance, rule out nearly all
+    pairs in single precision (with room for its error). What they leave is multiplied in full in double precision."""
+    w = y if z is None else z
+    if not len(y) or not len(w):
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    some = np.concatenate([y[:: len(y) // 2000 + 1], w[:: len(w) // 2000 + 1]])
+    mean = some.mean(axis=0)
+    axes = np.linalg.eigh((some - mean).T @ (some - mean))[1][:, ::-1]
+    width, most = y.shape[1], 2 - 2 * least
+    for k in sorted({min(width, n) for n in (16, 32, width)}):
+        p, q = (y - mean) @ axes[:, :k], (w - mean) @ axes[:, :k]
+        near = most + 1e-4 + 2e-6 * k
+        left = np.ascontiguousarray(np.column_stack([-2 * p, (p**2).sum(axis=1), np.ones(len(p))]), np.float32)
+        right = np.ascontiguousarray(np.column_stack([q, np.ones(len(q)), (q**2).sum(axis=1)]).T, np.float32)
+        if k == width or (left[:: len(left) // 500 + 1] @ right[:, :: len(w) // 2000 + 1] <= near).mean() <= 1e-3:
+            break
+    rows, columns = max(1, block // 8), block
     found = []
-    for k in range(len(c)):
-        at = row[cell == k]
-        if len(at) == n:  # the centres part nothing
-            return close_pairs(x, least, block, 9)
-        i, j, s = close_pairs(x[at], least, block, depth + 1)
-        i, j = at[i], at[j]
-        mine = np.minimum(own[i], own[j]) == k  # a pair may meet in several cells
-        found.append((i[mine], j[mine], s[mine]))
-    return tuple(np.concatenate(a) for a in zip(*found))
+    for lo in range(0, len(y), rows):
+        for at in range(0 if z is not None else lo // columns * columns, len(w), columns):
+            hit = left[lo : lo + rows] @ right[:, at : at + columns] <= near
+            some = np.flatnonzero(hit.ravel())
+            if not len(some):
+                continue
+            if len(some) > hit.size // 50:  # many pairs: all products at once are cheaper, and no larger than a block
+                s = y[lo : lo + rows] @ w[at : at + columns].T
+                i, j = np.nonzero(s >= least - 1e-12)
+                s = s[i, j]
+            else:
+                i, j = np.divmod(some, hit.shape[1])
+                s = np.einsum("ij,ij->i", y[lo + i], w[at + j])
+            ok = (s >= least - 1e-12) & ((lo + i < at + j) if z is None else True)
+            found.append((i[ok] + lo, j[ok] + at, s[ok]))
+    return tuple(np.concatenate(a) for a in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def close_pairs(x: np.ndarray, least: float, block: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, product) of all rows i < j, of length one, whose product is at least ``least``."""
+    return _close(x, None, least, block)
+
+
+def _parting(x: np.ndarray, total: float, reach: float, most_cells: int, pair_s: float = 3e-9, row_s: float = 3e-5) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, rows expected in each cell) that make the comparison of ``total`` rows like ``x`` cheapest: centres of groups part rows only where groups are
+    farther from each other than ``reach``; elsewhere more cells mean more rows in several of them."""
+    rng = np.random.default_rng(3)
+    some, best, worse, k = x[rng.permutation(len(x))[:4000]], None, 0, 1
+    while k <= max(1, min(most_cells, len(some) // 8)) and worse < 4:
+        costs = []
+        for _ in range(1 if k == 1 else 4 if k < 100 else 1):
+            c = some[rng.permutation(len(some))[:k]]
+            for _ in range(8):
+                own = (1 + (c**2).sum(axis=1)[None] - 2 * (some @ c.T)).argmin(axis=1)
+                n = np.bincount(own, minlength=k)
+                order = np.argsort(own, kind="stable")
+                starts = np.concatenate([[0], n.cumsum()[:-1]])[n > 0]
+                c = np.add.reduceat(some[order], starts) / n[n > 0][:, None]
+                k_now = len(c)
+                if k_now < k:
+                    break
+            expected = np.bincount(_cells(some, c, reach)[1], minlength=len(c)) * (total / len(some))
+            costs.append((pair_s * (expected**2).sum() / 2 + row_s * expected.sum(), len(costs), c, expected))
+        cost, _, c, expected = min(costs, key=lambda z: z[:2])
+        best, worse = ((cost, c, expected), 0) if best is None or cost < best[0] else (best, worse + 1)
+        k = k + 1 if k < 4 else -(-k * 5 // 4)
+    return best[1], best[2]
 
 
 def similar_pairs(df: DataFrame, id_col: str, vec_col: str, *, least: float = 0.98, cell_rows: int = 4000, sample_rows: int = 20_000, most_cells: int = 4096) -> DataFrame:
     """All pairs (``a`` < ``b``) of points with a cosine of at least ``least``, with the cosine; exact.
 
-    Vectors go to cells around centres, one for every ``cell_rows`` rows, taken from a bounded sample. A pair may fall into
-    two cells, so each vector also goes to every cell that a near one may have as its own. A cell larger than expected is
-    parted again within its task. Null, all-zero and odd-sized vectors have no pairs; of vectors of several lengths each
-    is compared with those of its own.
+    Vectors go to cells around centres of groups in a bounded sample, as many as make the comparison cheapest. A pair may fall into
+    two cells, so each vector also goes to every earlier cell that a near one may have as its own. A cell of more than ``cell_rows`` rows
+    (more in large tables) falls into parts at random, and each two of them are compared by a task. Null, all-zero and odd-sized
+    vectors have no pairs; of vectors of several lengths each is compared with those of its own.
     """
     spark = df.sparkSession
     rows = _usable(df, id_col, vec_col)
+    if dict(rows.dtypes)["v"] not in ("array<float>", "array<double>"):
+        rows = rows.withColumn("v", F.col("v").cast("array<double>"))
+    number = np.float32 if dict(rows.dtypes)["v"] == "array<float>" else np.float64
     total = rows.count()
     share = min(1.0, 2 * sample_rows / max(1, total))
     sample = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) <= int(share * (1 << 20))).orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toPandas()
-    centres: dict[int, np.ndarray] = {}
+    part_rows = max(cell_rows, min(10 * cell_rows, total // 24))
+    reach = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
+    plan: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     if len(sample):
         for width, group in sample.groupby(sample["v"].map(len)):
             x = np.stack(group["v"].to_numpy()).astype(np.float64)
             x = np.unique(x / np.linalg.norm(x, axis=1, keepdims=True), axis=0)
-            wanted = max(1, min(most_cells, len(x), -(-int(total * len(group) / len(sample)) // cell_rows)))
-            centres[int(width)] = x[np.random.default_rng(3).permutation(len(x))[:wanted]]
-    shared = spark.sparkContext.broadcast(centres)  # at most most_cells of each length
-    reach = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
+            centres, expected = _parting(x, total * len(x) / len(sample), reach, most_cells)
+            plan[int(width)] = centres, np.maximum(1, np.ceil(expected / part_rows)).astype(np.int64)
+    shared = spark.sparkContext.broadcast(plan)  # at most most_cells of each length
+    tasks = max(1, min(4096, int(sum((n * (n + 1) // 2).sum() for _, n in plan.values()))))
 
     def place(batches):
         for b in batches:
             for width, g in b.groupby(b["v"].map(len)) if len(b) else ():
-                c = shared.value.get(int(width))
-                y = np.stack(g["v"].to_numpy()).astype(np.float64)
+                x = np.stack(g["v"].to_numpy()).astype(number, copy=False)
+                y = x.astype(np.float64)
                 y /= np.linalg.norm(y, axis=1, keepdims=True)
-                c = y[:1] * 0 if c is None else c  # a length that the sample doesn't have: one cell
+                c, parts = shared.value.get(int(width)) or (np.zeros((1, int(width))), np.ones(1, np.int64))  # a length that the sample doesn't have: one cell
                 i, cell, own = _cells(y, c, reach)
-                yield pd.DataFrame({"width": np.int32(width), "cell": cell.astype(np.int32), "id": g["id"].to_numpy()[i], "own": own[i].astype(np.int32), "x": [r.tobytes() for r in y[i]]})
+                i, cell = i[cell <= own[i]], cell[cell <= own[i]]  # a pair belongs to the earlier of its own cells
+                ids, n = g["id"].to_numpy(), parts[cell]
+                part = (((ids[i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % n.astype(np.uint64)).astype(np.int64)
+                at = np.repeat(np.arange(len(i)), n)
+                other = np.arange(len(at)) - np.repeat(n.cumsum() - n, n)
+                i, cell, part = i[at], cell[at], part[at]
+                sent = np.array([r.tobytes() for r in x] + [None], object)[:-1]
+                yield pd.DataFrame({"width": np.int32(width), "cell": cell.astype(np.int32), "p": np.minimum(part, other).astype(np.int32), "q": np.maximum(part, other).astype(np.int32), "first": part <= other, "id": ids[i], "own": own[i].astype(np.int32), "x": sent[i]})
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("id", kind="stable")
-        y, ids, own, cell = np.stack([np.frombuffer(r) for r in b["x"]]), b["id"].to_numpy(), b["own"].to_numpy(), int(b["cell"].iloc[0])
-        i, j, s = close_pairs(y, least)
-        mine = np.minimum(own[i], own[j]) == cell  # both own cells hold the pair, and one of them reports it
-        return pd.DataFrame({"a": ids[i][mine], "b": ids[j][mine], "cosine": s[mine]})
+        y = np.frombuffer(b"".join(b["x"]), number).reshape(len(b), -1).astype(np.float64)
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        ids, own, one = b["id"].to_numpy(), (b["own"] == b["cell"]).to_numpy(), b["first"].to_numpy()
+        if int(b["p"].iloc[0]) == int(b["q"].iloc[0]):
+            i, j, s = _close(y, None, least, 2048)
+        else:
+            f, t = np.flatnonzero(one), np.flatnonzero(~one)
+            i, j, s = _close(y[f], y[t], least, 2048)
+            i, j = f[i], t[j]
+        mine = own[i] | own[j]
+        i, j = i[mine], j[mine]
+        return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "cosine": s[mine]})
 
     points = rows.groupBy("k1", "k2").agg(F.min("id").cast("bigint").alias("id"), F.first("v").alias("v")).select("id", "v")
-    placed = points.mapInPandas(place, "width int, cell int, id bigint, own int, x binary")
-    pairs = placed.groupBy("width", "cell").applyInPandas(compare, "a bigint, b bigint, cosine double")
+    placed = points.mapInPandas(place, "width int, cell int, p int, q int, first boolean, id bigint, own int, x binary")
+    placed = placed.repartition(tasks, "width", "cell", "p", "q")
+    pairs = placed.groupBy("width", "cell", "p", "q").applyInPandas(compare, "a bigint, b bigint, cosine double")
     return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 

@@ -362,6 +362,32 @@ def test_similar_pairs_across_cells_and_parts(spark, kind, least):
     assert all(abs(r.cosine - want[r.a, r.b]) < 1e-6 for r in got)
 
 
+def _rows_out(plan, name):
+    """Rows that the nodes of this name gave, in a plan that ran."""
+    kind = plan.nodeName()
+    if kind == "AdaptiveSparkPlan":
+        return _rows_out(plan.executedPlan(), name)
+    if "QueryStage" in kind:
+        return _rows_out(plan.plan(), name)
+    own = plan.metrics().apply("pythonNumRowsReceived").value() if kind == name else 0
+    return own + sum(_rows_out(plan.children().apply(i), name) for i in range(plan.children().size()))
+
+
+def test_references_of_many_groups(spark):
+    import numpy as np
+
+    x, rng = _grouped(3000, 8)
+    x = np.concatenate([x, x[:300] + rng.normal(size=(300, 64)) * 0.005])
+    rows = [(i, [float(v) for v in r], [f"file {i % 3000 % 7}", f"page {i}"]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id bigint, v array<float>, refs array<string>")
+    pairs = dedup.similar_pairs(df, "id", "v", cell_rows=1000)
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [(i, 3000 + i) for i in range(300)]
+    assert len(x) <= _rows_out(pairs._jdf.queryExecution().executedPlan(), "MapInPandas") < 2 * len(x)  # not nearly every row to each cell
+    merged = dedup.merge_refs(df.select("id", "refs"), dedup.greedy_keep(df.select("id"), pairs, dedup.members(df, "id", "v")), "refs")
+    want = {i: [f"file {i % 7}", f"page {i}"] + [f"page {3000 + i}"] * (i < 300) for i in range(3000)}
+    assert {r.id: r.refs for r in merged.collect()} == want
+
+
 def test_enrichment_and_formulas(spark):
     text = "The report on transport says: Rotax 582 has a Main Jet and a fuel pump, 5 bar and 5 BAR at 20 °C. Endurance test by EASA; the jet was fine again and again."
     ents, tags = answers.entities(F.col("t"))

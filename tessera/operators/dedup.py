@@ -176,27 +176,53 @@ def similar_pairs(df: DataFrame, id_col: str, vec_col: str, *, least: float = 0.
     return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-def greedy_keep(ids: DataFrame, pairs: DataFrame, membership: DataFrame | None = None) -> DataFrame:
+def _dropped(pairs: DataFrame) -> DataFrame:
+    """``id`` of those that going through these pairs in order drops, by one task, which holds no more than these ids."""
+    kind = dict(pairs.dtypes)["b"]
+
+    def go(batches):
+        dropped = set()
+        for g in batches:
+            new = []
+            for a, b in zip(g["a"].tolist(), g["b"].tolist()):  # by b: whatever is said of an a has been said before
+                if a not in dropped and b not in dropped:
+                    dropped.add(b)
+                    new.append(b)
+            yield pd.DataFrame({"id": pd.Series(new, dtype=g["b"].dtype)})
+
+    return pairs.repartition(1).sortWithinPartitions("b", "a").mapInPandas(go, f"id {kind}")
+
+
+def greedy_keep(ids: DataFrame, pairs: DataFrame, membership: DataFrame | None = None, *, block_pairs: int = 1_000_000) -> DataFrame:
     """``id``, ``kept``, ``kept_as``: what going through the rows by id and dropping each that is similar to a kept one before
     leaves. ``kept_as`` is the first kept similar row of a dropped one. With ``membership`` (id, point), pairs are between points, and rows
     go with their point: a later copy is dropped for what its point is kept as.
 
-    This is the lexicographically first independent set: in each round a row without undecided smaller partner is
-    decided. Rows without partners need no round, and each round decides the smallest undecided row at least; there are as many as
-    the longest chain of falling ids needs."""
+    This is the lexicographically first independent set. Whether a row is kept depends on smaller ids only, so the pairs of the smallest
+    ids, about ``block_pairs``, are gone through by one task. Pairs beyond those come in rounds: each takes such a block, and all rows
+    beyond it without an undecided smaller partner, and what they drop leaves the pairs. So there are as many rounds as blocks at most,
+    however long a chain of similar ids is."""
     pairs = cut(pairs.select("a", "b"))
-    state = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    while state.where("kept IS NULL").take(1):
-        seen = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a")
-        smaller = seen.groupBy(F.col("b").alias("id")).agg(F.max(F.when(F.col("ka"), 1).otherwise(0)).alias("beaten"), F.max(F.when(F.col("ka").isNull(), 1).otherwise(0)).alias("open"))
-        now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("beaten", F.lit(0)) == 1, F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
-        state = cut(state.join(smaller, "id", "left").select("id", now.alias("kept")))
-    owner = pairs.join(state.where("kept").select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("kept_as"))
-    decided = state.join(owner, "id", "left").select(F.col("id").alias("point"), "kept", F.when(F.col("kept"), F.col("id")).otherwise(F.col("kept_as")).alias("kept_as"))
+    left, n, dropped = pairs, pairs.count(), []
+    while n > block_pairs:
+        upto = left.agg(F.percentile_approx("b", block_pairs / n).alias("b")).first()["b"]
+        within = cut(_dropped(left.where(F.col("b") <= F.lit(upto))))
+        open_ = within.union(left.where(F.col("b") > F.lit(upto)).select("b")).distinct()
+        kept = left.select(F.col("a").alias("id")).distinct().join(open_, "id", "left_anti")
+        gone = cut(within.union(left.join(kept.withColumnRenamed("id", "a"), "a").select("b")).distinct())
+        dropped.append(gone)
+        left = cut(left.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
+        n = left.count()
+    if n:
+        dropped.append(cut(_dropped(left)))
+    owner = pairs
+    for gone in dropped:
+        owner = owner.join(gone.withColumnRenamed("id", "a"), "a", "left_anti")
+    decided = owner.groupBy(F.col("b").alias("point")).agg(F.min("a").alias("kept_as"))
     rows = ids.select("id").distinct()
     rows = rows.join(membership.distinct(), "id", "left").select("id", F.coalesce("point", "id").alias("point")) if membership is not None else rows.select("id", F.col("id").alias("point"))
     got = rows.join(decided, "point", "left")
-    return got.select("id", (F.coalesce("kept", F.lit(True)) & (F.col("id") == F.col("point"))).alias("kept"), F.coalesce("kept_as", "point").alias("kept_as"))
+    return got.select("id", (F.col("kept_as").isNull() & (F.col("id") == F.col("point"))).alias("kept"), F.coalesce("kept_as", "point").alias("kept_as"))
 
 
 def merge_refs(rows: DataFrame, keep: DataFrame, refs_col: str) -> DataFrame:

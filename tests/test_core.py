@@ -388,6 +388,23 @@ def test_references_of_many_groups(spark):
     assert {r.id: r.refs for r in merged.collect()} == want
 
 
+@pytest.mark.parametrize("block_pairs, most", [(1_000_000, 2), (40, 20)])
+def test_long_chains_take_few_rounds(spark, monkeypatch, block_pairs, most):
+    import random
+
+    rng, cut, cuts = random.Random(9), dedup.cut, []
+    chain = [(i, i + 1) for i in range(80)]
+    some = {tuple(sorted(rng.sample(range(1000, 1060), 2))) for _ in range(120)} | {(5, 1001), (80, 1002)}
+    monkeypatch.setattr(dedup, "cut", lambda df: cuts.append(1) or cut(df))
+    pairs, ids = chain + sorted(some), [*range(82), *range(1000, 1062)]
+    keep = dedup.greedy_keep(spark.createDataFrame([(i,) for i in ids], "id bigint"), spark.createDataFrame(rng.sample(pairs, len(pairs)), "a bigint, b bigint"), **({} if block_pairs == 1_000_000 else {"block_pairs": block_pairs}))
+    got, want = {r.id: (r.kept, r.kept_as) for r in keep.collect()}, {}
+    for i in ids:
+        owner = min((a for a, b in pairs if b == i and want[a][0]), default=None)
+        want[i] = (owner is None, i if owner is None else owner)
+    assert got == want and len(cuts) <= most  # one round for each row of the chain before
+
+
 def test_enrichment_and_formulas(spark):
     text = "The report on transport says: Rotax 582 has a Main Jet and a fuel pump, 5 bar and 5 BAR at 20 °C. Endurance test by EASA; the jet was fine again and again."
     ents, tags = answers.entities(F.col("t"))
